@@ -32,7 +32,7 @@ def number_text(name: str, whole: bool = False) -> str:
 
 def split_list(text: Column, separator: str) -> Column:
     """Split on a separator, trim the parts and drop empty ones; null gives an empty list."""
-    parts = F.transform(F.split(text, f"[{separator}]"), F.trim)
+    parts = F.transform(F.split(text, f"[{separator}]"), lambda part: F.trim(part))
     return F.coalesce(F.filter(parts, lambda part: part != ""), F.array().cast("array<string>"))
 
 

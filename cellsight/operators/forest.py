@@ -189,18 +189,24 @@ def _pack(forest: Forest) -> dict[str, np.ndarray]:
     return packed
 
 
-def score_matrix(packed: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Anomaly score 2^(-mean path / norm) per row."""
+def score_matrix(packed: dict[str, np.ndarray], x: np.ndarray, counts: list[int] | None = None) -> np.ndarray:
+    """Anomaly score 2^(-mean path / norm) per row, one column per number of leading trees in `counts`."""
     total = np.zeros(len(x))
+    trees = packed["feature"].shape[0]
+    wanted = counts or [trees]
+    scores = np.empty((len(x), len(wanted)))
     rows = np.arange(len(x))
-    for t in range(packed["feature"].shape[0]):
+    for t in range(trees):
         feature, split = packed["feature"][t], packed["split"][t]
         left, right = packed["left"][t], packed["right"][t]
         at = np.zeros(len(x), np.int32)
         for _ in range(int(packed["steps"])):
             at = np.where(x[rows, feature[at]] <= split[at], left[at], right[at])
         total += packed["length"][t][at]
-    return np.power(2.0, -total / packed["feature"].shape[0] / float(packed["norm"]))
+        for i, count in enumerate(wanted):
+            if count == t + 1:
+                scores[:, i] = np.power(2.0, -total / count / float(packed["norm"]))
+    return scores
 
 
 def score_column(forest: Forest, spark: SparkSession) -> Column:
@@ -210,7 +216,7 @@ def score_column(forest: Forest, spark: SparkSession) -> Column:
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float) for c in columns]), nan=0.0)
-        return pd.Series(score_matrix(shared.value, x))
+        return pd.Series(score_matrix(shared.value, x)[:, 0])
 
     return score(*[F.col(c).cast("double") for c in forest.features])
 
@@ -220,6 +226,18 @@ def score_forest(df: DataFrame, forest: Forest, output: str = "score") -> DataFr
     return df.withColumn(output, score_column(forest, df.sparkSession))
 
 
+def score_prefixes(df: DataFrame, forest: Forest, counts: list[int], output: str = "scores") -> DataFrame:
+    """Scores of the forests made of the first trees, for several tree counts in one pass, as an array."""
+    shared = df.sparkSession.sparkContext.broadcast(_pack(forest))
+
+    @F.pandas_udf("array<double>")
+    def scores(*columns: pd.Series) -> pd.Series:
+        x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float) for c in columns]), nan=0.0)
+        return pd.Series(list(score_matrix(shared.value, x, counts)))
+
+    return df.withColumn(output, scores(*[F.col(c).cast("double") for c in forest.features]))
+
+
 def predict(scored: DataFrame, offset: float, score: str = "score", output: str = "predicted") -> DataFrame:
     """1 where the decision value (-score - offset) is negative."""
     return scored.withColumn(output, (F.col(score) > F.lit(-offset)).cast("int"))

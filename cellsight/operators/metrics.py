@@ -6,7 +6,7 @@ which is built without a global window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cellsight.operators.joins import null_safe_join
 from cellsight.operators.quantiles import exact_quantiles
@@ -68,13 +68,38 @@ def best_f1_threshold(steps: DataFrame, by: list[str] = ("dataset_name",)) -> Da
 
 
 def f1_curve(scored: DataFrame, by: list[str] = ("dataset_name",), points: int = 120) -> DataFrame:
-    """F1 at evenly spaced score quantiles between 1 % and 99 %."""
+    """F1 at evenly spaced score quantiles between 1 % and 99 %.
+
+    Scores are first counted between neighbouring cuts, which leaves points + 1 rows per group.
+    """
+    by = list(by)
     probs = [0.01 + (0.99 - 0.01) * i / (points - 1) for i in range(points)]
-    grid = exact_quantiles(scored, {"score": probs}, by).select(
-        *by, F.format_string("%.6f", "prob").alias("method"), F.col("value").alias("threshold")
+    grid = materialise(exact_quantiles(scored, {"score": probs}, by).select(*by, "prob", "value"), "grid")
+    cuts = grid.groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("cuts"))
+    rows = scored.where(F.col("score").isNotNull()).select(*by, "score", "label")
+    placed = null_safe_join(rows, materialise(cuts, "cuts"), by) if by else rows.withColumn(
+        "cuts", F.lit(cuts.first()["cuts"])
+    )
+    counts = placed.groupBy(*by, F.expr("size(filter(cuts, c -> c <= score))").alias("passed")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos")
     )
-    return class_metrics(confusion(scored, grid, by)).select(
-        *by, F.col("method").cast("double").alias("prob"), "threshold", "f1"
+    position = F.row_number().over(Window.partitionBy(*by).orderBy("prob"))
+    numbered = grid.withColumn("position", position)
+    pairs = null_safe_join(numbered.withColumn("_one", F.lit(1)), counts.withColumn("_one", F.lit(1)), [*by, "_one"])
+    flagged = F.col("passed") >= F.col("position")
+    return (
+        pairs.groupBy(*by, "prob", "value")
+        .agg(
+            F.sum(F.when(flagged, F.col("n")).otherwise(0)).alias("flagged"),
+            F.sum(F.when(flagged, F.col("pos")).otherwise(0)).alias("tp"),
+            F.sum("pos").alias("positives"),
+        )
+        .select(
+            *by,
+            F.round("prob", 6).alias("prob"),
+            F.col("value").alias("threshold"),
+            F.expr("coalesce(try_divide(2D * tp, flagged + positives), 0D)").alias("f1"),
+        )
     )
 
 

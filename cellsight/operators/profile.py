@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 
 import numpy as np
@@ -17,8 +16,6 @@ CORRELATION_LIMIT = 0.95
 VARIANCE_LIMIT = 0.0
 OVERLAP_BINS = 50
 INFORMATION_BINS = 20
-# Up to this many columns all pairs fit in one built-in aggregate.
-BUILT_IN_PAIR_COLUMNS = 16
 
 
 def _inline(df: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
@@ -61,28 +58,11 @@ def kpi_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (feature_a, feature_b, position_a, position_b, corr, cov) for all pairs with a <= b.
 
+    One matrix product per Arrow batch gives the sums of all pairs at once; each task returns one row
+    per pair.  Columns are centred on their means first, so that the sums keep their precision.
     Rows with a missing value in either column do not count for the pair.
     """
     numbers = df.selectExpr(*[f"nanvl(CAST({c} AS DOUBLE), NULL) AS {c}" for c in columns])
-    if len(columns) > BUILT_IN_PAIR_COLUMNS:
-        return _matrix_moments(numbers, columns)
-    pairs = list(itertools.combinations_with_replacement(enumerate(columns), 2))
-    wide = numbers.selectExpr(
-        *[f"{f}({a}, {b}) AS {f}_{i}_{j}" for (i, a), (j, b) in pairs for f in ("corr", "covar_samp")]
-    )
-    cells = ", ".join(
-        f"struct('{a}' AS feature_a, '{b}' AS feature_b, {i} AS position_a, {j} AS position_b, "
-        f"nanvl(corr_{i}_{j}, NULL) AS corr, covar_samp_{i}_{j} AS cov)"
-        for (i, a), (j, b) in pairs
-    )
-    return wide.selectExpr(f"inline(array({cells}))")
-
-
-def _matrix_moments(numbers: DataFrame, columns: list[str]) -> DataFrame:
-    """Wide tables: one matrix product per batch, summed over the partitions.
-
-    Columns are centred on their means first, so that the sums keep their precision.
-    """
     means = numbers.selectExpr(*[f"avg({c}) AS {c}" for c in columns]).first()
     centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
     i, j = np.triu_indices(len(columns))

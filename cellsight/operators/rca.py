@@ -367,12 +367,16 @@ def classify(df: DataFrame) -> DataFrame:
     )
 
 
-def explain_rows(df: DataFrame) -> DataFrame:
-    """All analysis columns for rows with thresholds; lists stay arrays."""
+def explain_rows(df: DataFrame, value_sql: dict[str, str] | None = None) -> DataFrame:
+    """All analysis columns for rows with thresholds; lists stay arrays.
+
+    `value_sql` replaces the default text of KPI values in the signals.
+    """
     whole = {f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
     kpis = dict.fromkeys(rule.kpi for rule in RULES if rule.kpi in df.columns)
     value_text = {kpi: f"_text_{kpi}" for kpi in kpis}
-    staged = classify(df).selectExpr("*", *[f"{number_text(k, k in whole)} AS {t}" for k, t in value_text.items()])
+    spelled = {k: (value_sql or {}).get(k, number_text(k, k in whole)) for k in kpis}
+    staged = classify(df).selectExpr("*", *[f"{spelled[k]} AS {t}" for k, t in value_text.items()])
     signals = _by_cause("root_cause", {c: rule_signals(df, c, value_text) for c in TIE_ORDER})
     staged = staged.selectExpr("*", f"coalesce({signals}, {_EMPTY}) AS signals").drop(*value_text.values())
     return staged.selectExpr(

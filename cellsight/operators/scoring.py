@@ -186,10 +186,13 @@ def fit_offsets(scored: DataFrame, contaminations: list[float] = CONTAMINATIONS,
     return quantile_values(negated, named)
 
 
-def score_fusion(scored: DataFrame, columns: list[str], key: str = "record_id", by: list[str] = ()) -> DataFrame:
-    """Weighted mean, mean and maximum of the percentile ranks of the score columns, within `by`."""
+def score_fusion(scored: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """Weighted mean, mean and maximum of the percentile ranks of the score columns, within `by`.
+
+    A column that is named more than once is ranked once.
+    """
     ranked = scored
-    for c in columns:
+    for c in dict.fromkeys(columns):
         ranked = percentile_rank(ranked, c, f"_rank_{c}", by)
     ranks = [F.col(f"_rank_{c}") for c in columns]
     weighted = sum((r * F.lit(w) for r, w in zip(ranks[1:], FUSION_WEIGHTS[1:])), ranks[0] * F.lit(FUSION_WEIGHTS[0]))
@@ -197,7 +200,7 @@ def score_fusion(scored: DataFrame, columns: list[str], key: str = "record_id",
         *scored.columns,
         weighted.alias("weighted_average"),
         (sum(ranks[1:], ranks[0]) / len(columns)).alias("rank_aggregation"),
-        F.greatest(*ranks).alias("percentile_max") if len(ranks) > 1 else ranks[0].alias("percentile_max"),
+        F.greatest(*ranks).alias("percentile_max"),
     )
 
 
