@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from cellsight.plans.oracle_tables import FLAGS, KPIS, LABELLED, LIMITS, POINTS, CAUSES, RATIO_NAMES, RATIOS, SCORED, SCORE_TABLE, query, r
+from cellsight.plans.oracle_tables import FLAGS, KPIS, LABELLED, LIMITS, MEANING, POINTS, CAUSES, RATIO_NAMES, RATIOS, SCORED, SCORE_TABLE, USE, query, r
 
 ALL = [*KPIS, *RATIO_NAMES]
 _USES = [LIMITS, FLAGS, POINTS, CAUSES]
@@ -69,7 +69,7 @@ _SEPARATION = """separation AS (SELECT feature,
  (sqrt((var_pop(value) FILTER (label = 1) + var_pop(value) FILTER (label = 0)) / 2) + 1e-9) AS anomaly_separation_power
 FROM long GROUP BY feature)"""
 _EDGES = "edges AS (SELECT feature, list_distinct(quantile_cont(value, [" + ", ".join(str(k / 20) for k in range(1, 20)) + "])) AS cuts FROM long GROUP BY feature)"
-_CELLS = """cells AS (SELECT feature, label, len(list_filter(cuts, c -> value > c)) AS bin, count(*) AS n
+_CELLS = """cells AS (SELECT feature, label, len(list_filter(cuts, lambda c: value > c)) AS bin, count(*) AS n
 FROM long JOIN edges USING (feature) GROUP BY ALL)"""
 _INFORMATION = """information AS (SELECT feature, sum(n / t * ln(CAST(n AS DOUBLE) * t / (CAST(b AS DOUBLE) * l))) AS mutual_information FROM (
 SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS b,
@@ -168,7 +168,7 @@ _DRIVERS = "drivers AS (SELECT filled.*, list_sort([" + ", ".join(
 ) + "]) AS d FROM filled, stats)"
 _DRIVER_COLUMNS = ", ".join(
     f"CASE WHEN label THEN d[{i}].name ELSE '' END AS {n}_driver, "
-    f"{r(f'CASE WHEN label THEN round_even(-d[{i}].less, 6) ELSE 0 END', 5)} AS driver_{i}_deviation"
+    f"CASE WHEN label THEN round_even(-d[{i}].less, 6) ELSE CAST(0 AS DOUBLE) END AS driver_{i}_deviation"
     for i, n in ((1, "primary"), (2, "secondary"), (3, "tertiary"))
 )
 _FAMILY = """CASE WHEN NOT label THEN 'Unknown' WHEN prb_utilization_pct > active_users AND latency_ms > 0 THEN 'Congestion'
@@ -322,6 +322,17 @@ ORACLE = {
         "(SELECT median(discriminative_score) FROM power WHERE feature IN ('throughput_mbps', 'rsrq_db'))",
         *POWER,
     ),
+    "importance_rank": query(
+        f"SELECT feature, row_number() OVER (ORDER BY discriminative_score DESC, feature) AS importance_rank, {r('discriminative_score')} AS discriminative_power, "
+        f"{MEANING} AS business_interpretation, {USE} AS usefulness_reason FROM power",
+        *POWER,
+    ),
+    "feature_power_join": query(
+        "SELECT feature, coalesce(place, (SELECT count(DISTINCT feature) FROM long) + 1) AS importance_rank, coalesce(" + r("discriminative_score") + ", 0) AS discriminative_power "
+        "FROM (SELECT DISTINCT feature FROM long) LEFT JOIN (SELECT feature, discriminative_score, row_number() OVER (ORDER BY discriminative_score DESC, feature) AS place FROM power "
+        "WHERE feature IN ('throughput_mbps', 'latency_ms', 'packet_loss_pct', 'handover_count')) USING (feature)",
+        *POWER,
+    ),
     "confusion": query(f"SELECT dataset_name, method, {r('threshold')} AS threshold, tn, fp, fn, tp FROM matrix", *EVALUATION),
     "class_metrics": query(f"SELECT dataset_name, method, {_rounded(_FOUR)} FROM measured", *EVALUATION),
     "roc_auc": query(f"SELECT dataset_name, {r('roc_auc')} AS roc_auc FROM auc", SCORED, _STEPS, _AUC),
@@ -334,7 +345,7 @@ ORACLE = {
     "f1_curve": query(
         f"SELECT dataset_name, prob, {r('threshold')} AS threshold, {r('2 * CAST(count(*) FILTER (label = 1 AND score >= threshold) AS DOUBLE) / (count(*) FILTER (score >= threshold) + count(*) FILTER (label = 1))')} AS f1 "
         "FROM scored JOIN grid USING (dataset_name) GROUP BY dataset_name, prob, threshold",
-        SCORED,
+        SCORED.replace("SELECT record_id, slice_type", "SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT record_id, slice_type") + ")",
         f"grid AS (SELECT dataset_name, unnest({[round(p, 6) for p in _GRID]}::DOUBLE[]) AS prob, unnest(q) AS threshold FROM "
         f"(SELECT dataset_name, quantile_cont(score, {_GRID}) AS q FROM scored GROUP BY 1))",
     ),
@@ -451,7 +462,7 @@ ORACLE = {
         SCORED,
     ),
     "production_output": query(
-        f"SELECT record_id, {r('round_even(score, 6)', 5)} AS ensemble_score, {r('round_even(normalized, 6)', 5)} AS normalized_score, {r('round_even(pr, 6)', 5)} AS anomaly_percentile, "
+        f"SELECT record_id, round_even(score, 6) AS ensemble_score, round_even(normalized, 6) AS normalized_score, round_even(pr, 6) AS anomaly_percentile, "
         "'given' AS threshold_method, CASE WHEN label AND normalized >= 0.75 THEN 'High Risk' WHEN label THEN 'Moderate Risk' ELSE 'Healthy' END AS risk_level, "
         f"CAST(label AS INT) AS is_anomaly, {_DRIVER_COLUMNS}, {_FAMILY} AS anomaly_family_candidate "
         f"FROM (SELECT drivers.*, score, (score - (SELECT min(score) FROM scored)) / ((SELECT max(score) - min(score) FROM scored) + 1e-9) AS normalized, {_RANK.format(by='1', c='score')} AS pr "

@@ -210,8 +210,8 @@ def rca_query(columns: str, where: str = "true") -> str:
     return query(f"SELECT {columns} FROM result WHERE {where}", *RCA)
 
 
-_TIME = "strftime(timestamp, '%Y-%m-%d %H:%M:%S')"
-_INCIDENT = "'INC-' || lpad(CAST(row_number() OVER (ORDER BY record_id) AS VARCHAR), 6, '0')"
+TIME = "strftime(timestamp, '%Y-%m-%d %H:%M:%S')"
+INCIDENT = "'INC-' || lpad(CAST(row_number() OVER (ORDER BY record_id) AS VARCHAR), 6, '0')"
 _RISK = "(score - (SELECT min(score) FROM scored)) / (SELECT max(score) - min(score) FROM scored)"
 _STATUS = "CASE WHEN anomaly_score <= 0.3 THEN 'Healthy' WHEN anomaly_score <= 0.6 THEN 'Moderate Risk' ELSE 'High Risk' END"
 SCORE_TABLE = f"score_table AS (SELECT *, {_STATUS} AS status FROM (SELECT record_id, round_even({_RISK}, 4) AS anomaly_score, label FROM scored))"
@@ -277,7 +277,7 @@ def _first_match(pairs: list[tuple[str, str]], other: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower(feature), '{w}') THEN '{t}'" for w, t in pairs) + f" ELSE '{other}' END"
 
 
-_MEANING = _first_match(
+MEANING = _first_match(
     [
         ("latency", "Service delay and responsiveness"), ("packet_loss", "Packet delivery reliability"),
         ("throughput", "Traffic carrying performance"), ("prb", "Radio resource utilization"), ("active_users", "Cell user load"),
@@ -288,7 +288,7 @@ _MEANING = _first_match(
     ],
     "General telecom operating context",
 )
-_USE = _first_match(
+USE = _first_match(
     [
         ("latency|packet_loss", "Captures service degradation and transport instability."),
         ("throughput|spectral", "Highlights capacity loss and radio efficiency collapse."),
@@ -326,7 +326,7 @@ _LIMIT_COLUMNS = ", ".join(f"{r(s)} AS {n}" for n, s in LIMIT_NAMES.items()) + "
 _SLICELESS = "CASE WHEN sla_compliant IS NULL THEN NULL ELSE slice_type END"
 
 ORACLE = {
-    "scan_kpi_csv": query(f"SELECT * REPLACE ({_TIME} AS timestamp) FROM kpi"),
+    "scan_kpi_csv": query(f"SELECT * REPLACE ({TIME} AS timestamp) FROM kpi"),
     "scan_dataset_glob": query(
         f"SELECT {_SET} AS dataset_name, count(*) AS rows, {r('avg(score)')} AS mean_score, CAST(sum(label) AS BIGINT) AS positives FROM scored GROUP BY 1",
         SCORED,
@@ -365,7 +365,7 @@ ORACLE = {
     "source || '.v' || CAST(doc_id AS VARCHAR) AS document_id, CAST(length(text) AS INT) AS length FROM documents WHERE text IS NOT NULL",
     "trim_columns": query("SELECT record_id, cell_id, throughput_mbps FROM kpi"),
     "coerce_types": query(
-        f"SELECT record_id, CASE WHEN cell_type <> 'pico' THEN throughput_mbps END AS number, CASE WHEN cell_type <> 'macro' THEN {_TIME} END AS time FROM kpi"
+        f"SELECT record_id, CASE WHEN cell_type <> 'pico' THEN throughput_mbps END AS number, CASE WHEN cell_type <> 'macro' THEN {TIME} END AS time FROM kpi"
     ),
     "time_features": query("SELECT record_id, hour_of_day, day_of_week, is_peak_hour FROM basic", RATIOS),
     "ratio_features": query(f"SELECT record_id, {', '.join(RATIO_NAMES)} FROM basic", RATIOS),
@@ -409,7 +409,7 @@ ORACLE = {
     "kpi_columns": query(f"SELECT * FROM counts WHERE regexp_matches(lower(feature), '{_KPI_WORDS}')", *FEATURE_COUNTS),
     "feature_taxonomy": query(
         "SELECT *, CASE WHEN regexp_matches(feature, '^(cell_type_|slice_type_)') THEN 'encoded_categorical' WHEN regexp_matches(feature, '_z$|ratio|index|_x_|_per_') "
-        f"THEN 'engineered_numeric' ELSE 'numeric' END AS feature_type, {_MEANING} AS business_interpretation, {_USE} AS usefulness_reason FROM counts",
+        f"THEN 'engineered_numeric' ELSE 'numeric' END AS feature_type, {MEANING} AS business_interpretation, {USE} AS usefulness_reason FROM counts",
         *FEATURE_COUNTS,
     ),
     "risk_status": query("SELECT record_id, anomaly_score, status FROM score_table", SCORED, SCORE_TABLE),
@@ -427,7 +427,7 @@ ORACLE = {
     ),
     "sla_infer": query(f"SELECT record_id, {_SLA} AS sla FROM kpi"),
     "enrich_defaults": query(
-        f"SELECT record_id, CASE WHEN cell_type = 'macro' THEN '2024-01-01 00:00:00' ELSE {_TIME} END AS timestamp, "
+        f"SELECT record_id, CASE WHEN cell_type = 'macro' THEN '2024-01-01 00:00:00' ELSE {TIME} END AS timestamp, "
         "CASE WHEN handover_count = 1 THEN 'LIVE_INPUT' ELSE cell_id END AS cell_id, CASE WHEN handover_count = 2 THEN 'unknown' ELSE cell_type END AS cell_type, "
         "CASE WHEN handover_count = 3 THEN 'unknown' ELSE slice_type END AS slice_type, "
         "CASE WHEN handover_count = 4 THEN 'core' WHEN handover_count = 3 THEN 'unknown' ELSE slice_type END AS network_slice, "
@@ -453,14 +453,14 @@ ORACLE = {
         "nullif(string_split(affected, ', ')[-1], '') AS last_affected"
     ),
     "incident_id": rca_query(
-        f"{_INCIDENT} AS incident_id, {_TIME} AS timestamp, cell_id AS \"cell_id/site_id\", slice_type AS network_slice, sla_compliant, root_cause"
+        f"{INCIDENT} AS incident_id, {TIME} AS timestamp, cell_id AS \"cell_id/site_id\", slice_type AS network_slice, sla_compliant, root_cause"
     ),
     "adapt_incident": rca_query(
-        f"{_INCIDENT} AS incident_id, {_TIME} AS timestamp, cell_id, cell_type, slice_type AS network_slice, slice_type, sla_compliant, root_cause, severity, "
+        f"{INCIDENT} AS incident_id, {TIME} AS timestamp, cell_id, cell_type, slice_type AS network_slice, slice_type, sla_compliant, root_cause, severity, "
         f"confidence_score AS confidence, affected AS affected_kpis, signals AS matched_signals, score_breakdown, {EXPLANATION} AS explanation"
     ),
     "incident_listing": query(
-        f"SELECT * FROM (SELECT {_INCIDENT} AS incident_id, cell_id, root_cause, severity FROM result) WHERE root_cause <> 'Normal'", *RCA
+        f"SELECT * FROM (SELECT {INCIDENT} AS incident_id, cell_id, root_cause, severity FROM result) WHERE root_cause <> 'Normal'", *RCA
     ),
     "retrieval_query_text": rca_query(
         f"record_id, 'Root Cause: ' || root_cause || chr(10) || '    Severity: ' || severity || chr(10) || '    Network Slice: ' || slice_type || chr(10) || "

@@ -190,7 +190,8 @@ def curve_points(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def f1_curve(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(metrics.f1_curve(scored_view(spark, sf_dir)))
+    # Equal scores must be equal to the last bit for cuts that fall on them.
+    return rounded(metrics.f1_curve(scored_view(spark, sf_dir).withColumn("score", F.round("score", 6))))
 
 
 def best_f1_threshold(spark: Spark, sf_dir: str) -> DataFrame:
@@ -329,7 +330,7 @@ def top_drivers(spark: Spark, sf_dir: str) -> DataFrame:
     rows = feat.clean_infinite(feat.ratio_features(labelled_kpi(spark, sf_dir)), [*KPI_FIELDS, *RATIO_FIELDS])
     found = scoring.top_drivers(rows, scoring.fit_deviation(rows), "label")
     names = ["primary_driver", "secondary_driver", "tertiary_driver"]
-    return rounded(found.select("record_id", *names, *[f"driver_{i}_deviation" for i in (1, 2, 3)]), 5)
+    return found.select("record_id", *names, *[f"driver_{i}_deviation" for i in (1, 2, 3)])
 
 
 # Sampling and perturbation
@@ -428,8 +429,7 @@ def live_decision(spark: Spark, sf_dir: str) -> DataFrame:
 def production_output(spark: Spark, sf_dir: str) -> DataFrame:
     rows = feat.ratio_features(kpi_view(spark, sf_dir)).join(scored_view(spark, sf_dir).select("record_id", "score", "label"), "record_id")
     rows = feat.clean_infinite(rows, [*KPI_FIELDS, *RATIO_FIELDS]).withColumnsRenamed({"score": "ensemble_score", "label": "is_anomaly"})
-    output = scoring.production_output(rows, scoring.fit_deviation(rows), "given")
-    return rounded(output, 5)
+    return scoring.production_output(rows, scoring.fit_deviation(rows), "given")
 
 
 QUERIES = {
