@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def number_text(name: str, whole: bool = False) -> str:
-    """SQL for a number as text: whole numbers without a fraction, doubles in shortest decimal form.
+def with_number_texts(df: DataFrame, texts: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Add text columns for numbers: output -> (column, is it a whole-number column).
 
-    Doubles print in plain decimals from 1e-4 up to 1e16 and with a two-digit exponent outside,
-    while a plain cast switches to the exponent form at 1e-3 and 1e7.
+    Whole numbers print without a fraction and doubles in shortest decimal form.  Doubles print in
+    plain decimals from 1e-4 up to 1e16 and with a two-digit exponent outside, while a plain cast
+    switches to the exponent form at 1e-3 and 1e7.  The parts are separate columns, which keeps
+    each expression small.
     """
-    text = f"CAST({name} AS STRING)"
-    if whole:
-        return text
-    exponent = f"TRY_CAST(split_part({text}, 'E', 2) AS INT)"
-    mantissa = f"regexp_replace(split_part({text}, 'E', 1), '^-|[.]0$', '')"
-    digits = f"replace({mantissa}, '.', '')"
+    plain = df.selectExpr("*", *[f"CAST({c} AS STRING) AS {out}" for out, (c, _) in texts.items()])
+    doubles = {out: c for out, (c, whole) in texts.items() if not whole}
+    parts = plain.selectExpr(
+        "*",
+        *[f"TRY_CAST(split_part({out}, 'E', 2) AS INT) AS {out}_exp" for out in doubles],
+        *[f"regexp_replace(split_part({out}, 'E', 1), '^-|[.]0$', '') AS {out}_man" for out in doubles],
+    )
+    digits = parts.selectExpr("*", *[f"replace({out}_man, '.', '') AS {out}_dig" for out in doubles])
+    spelled = digits.withColumns({out: F.expr(_spelled(out, c)) for out, c in doubles.items()})
+    return spelled.drop(*[f"{out}_{part}" for out in doubles for part in ("exp", "man", "dig")])
+
+
+def _spelled(out: str, c: str) -> str:
+    exponent, mantissa, digits = f"{out}_exp", f"{out}_man", f"{out}_dig"
     large = (
         f"concat(substring(rpad({digits}, {exponent} + 1, '0'), 1, {exponent} + 1), '.', "
         f"IF(length({digits}) > {exponent} + 1, substring({digits}, {exponent} + 2), '0'))"
@@ -24,9 +34,8 @@ def number_text(name: str, whole: bool = False) -> str:
     small = f"concat('0.', repeat('0', -{exponent} - 1), {digits})"
     scientific = f"concat({mantissa}, IF({exponent} < 0, 'e-', 'e+'), lpad(CAST(abs({exponent}) AS STRING), 2, '0'))"
     return (
-        f"CASE WHEN {text} NOT LIKE '%E%' OR {exponent} IS NULL THEN {text} "
-        f"ELSE concat(IF({name} < 0, '-', ''), CASE WHEN {exponent} BETWEEN 0 AND 15 THEN {large} "
-        f"WHEN {exponent} BETWEEN -4 AND -1 THEN {small} ELSE {scientific} END) END"
+        f"IF({exponent} IS NULL, {out}, concat(IF({c} < 0, '-', ''), CASE WHEN {exponent} BETWEEN 0 AND 15 THEN {large} "
+        f"WHEN {exponent} BETWEEN -4 AND -1 THEN {small} ELSE {scientific} END))"
     )
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cellsight.operators.quantiles import exact_quantiles, quantile_values
+from cellsight.session import materialise
 from cellsight.sources.schema import KPI_KEYWORDS, numeric_columns
 
 PROFILE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -137,9 +138,9 @@ def kpi_columns(features: DataFrame, name: str = "feature") -> DataFrame:
     return features.where(F.lower(name).rlike("|".join(map(re.escape, KPI_KEYWORDS))))
 
 
-def variances(df: DataFrame, columns: list[str], population: bool = True) -> DataFrame:
-    function = "var_pop" if population else "var_samp"
-    wide = df.selectExpr(*[f"{function}(nanvl(CAST({c} AS DOUBLE), NULL)) AS {c}" for c in columns])
+def variances(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Population variance per column; null for a column without values."""
+    wide = df.selectExpr(*[f"var_pop(nanvl(CAST({c} AS DOUBLE), NULL)) AS {c}" for c in columns])
     return _inline(wide, columns, {"variance": "{c}"})
 
 
@@ -232,27 +233,62 @@ def _widen(low: float, high: float) -> tuple[float, float]:
     return (low - 0.5, high + 0.5) if low == high else (low, high)
 
 
+def _class_bins(df: DataFrame, columns: list[str], label: str, place) -> DataFrame:
+    """Counts (feature, bin, label, n) of binned columns.
+
+    `place(column, values)` gives bin numbers, negative outside all bins.  Each task counts its
+    batches first, so it returns at most columns x bins x 2 rows.
+    """
+    numbers = df.where(F.col(label).isNotNull()).selectExpr(
+        f"CAST({label} AS INT) AS _class", *[f"nanvl(CAST({c} AS DOUBLE), NULL) AS {c}" for c in columns]
+    )
+
+    def count(batches):
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            classes = batch["_class"].to_numpy()
+            for c in columns:
+                v = batch[c].to_numpy(dtype=float)
+                bins = np.full(len(v), -1)
+                known = ~np.isnan(v)
+                bins[known] = place(c, v[known])
+                for k in np.unique(classes):
+                    found = np.bincount(bins[(classes == k) & (bins >= 0)])
+                    before = totals.get((c, k))
+                    if before is not None:
+                        size = max(len(before), len(found))
+                        found = np.pad(found, (0, size - len(found))) + np.pad(before, (0, size - len(before)))
+                    totals[c, k] = found
+        for (c, k), found in totals.items():
+            used = np.flatnonzero(found)
+            yield pd.DataFrame({"feature": c, "bin": used.astype("int32"), label: np.int32(k), "n": found[used]})
+
+    return (
+        numbers.mapInPandas(count, f"feature string, bin int, {label} int, n long")
+        .groupBy("feature", "bin", label)
+        .agg(F.sum("n").alias("n"))
+    )
+
+
 def histogram_overlap(df: DataFrame, columns: list[str], label: str = "label", bins: int = OVERLAP_BINS) -> DataFrame:
     """Shared area of the normal and anomalous densities over bins of the normal range.
 
     The anomalous density is normalised within that range; without anomalies in range it is null.
     """
-    row = df.selectExpr(
-        *[
-            f"{f}(IF({label} = 0, nanvl(CAST({c} AS DOUBLE), NULL), NULL)) AS {c}__{f}"
-            for c in columns
-            for f in ("min", "max")
-        ]
+    row = df.where(F.col(label) == 0).selectExpr(
+        *[f"{f}(nanvl(CAST({c} AS DOUBLE), NULL)) AS {c}__{f}" for c in columns for f in ("min", "max")]
     ).first()
     ranges = {c: _widen(row[f"{c}__min"], row[f"{c}__max"]) for c in columns if row[f"{c}__min"] is not None}
-    cells = []
-    for c, (low, high) in ranges.items():
-        value = f"nanvl(CAST({c} AS DOUBLE), NULL)"
-        position = f"least(floor(({value} - {low!r}D) / {(high - low) / bins!r}D), {bins - 1})"
-        cells.append(f"struct('{c}' AS feature, IF({value} BETWEEN {low!r}D AND {high!r}D, {position}, NULL) AS bin)")
-    placed = df.selectExpr(label, f"inline(array({', '.join(cells)}))").where("bin IS NOT NULL")
-    counts = placed.groupBy("feature", "bin").agg(
-        F.count_if(F.col(label) == 0).alias("normal"), F.count_if(F.col(label) == 1).alias("anomalous")
+
+    def place(c: str, v: np.ndarray) -> np.ndarray:
+        low, high = ranges[c]
+        at = np.minimum(np.floor((v - low) / ((high - low) / bins)), bins - 1)
+        return np.where((v >= low) & (v <= high), at, -1).astype(int)
+
+    binned = materialise(_class_bins(df, list(ranges), label, place), "bins")
+    counts = binned.groupBy("feature", "bin").agg(
+        F.sum(F.when(F.col(label) == 0, F.col("n")).otherwise(0)).alias("normal"),
+        F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("anomalous"),
     )
     totals = counts.groupBy("feature").agg(F.sum("normal").alias("_normal"), F.sum("anomalous").alias("_anomalous"))
     # Density times width is the share of the class in the bin.
@@ -266,16 +302,15 @@ def histogram_overlap(df: DataFrame, columns: list[str], label: str = "label", b
 
 def class_separation(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
     """Distance of the class means in units of the pooled population deviation."""
-    wide = df.selectExpr(
+    moments = unpivot(df, columns, [label]).groupBy("feature").agg(
         *[
-            f"{f}(IF({label} = {k}, nanvl(CAST({c} AS DOUBLE), NULL), NULL)) AS {c}__{f}{k}"
-            for c in columns
+            F.expr(f"{f}(value) FILTER (WHERE {label} = {k})").alias(f"{f}{k}")
             for f in ("avg", "var_pop")
             for k in (0, 1)
         ]
     )
-    distance = "abs({c}__avg1 - {c}__avg0) / (sqrt(({c}__var_pop1 + {c}__var_pop0) / 2D) + 1e-9D)"
-    return _inline(wide, columns, {"anomaly_separation_power": distance})
+    distance = "abs(avg1 - avg0) / (sqrt((var_pop1 + var_pop0) / 2D) + 1e-9D)"
+    return moments.select("feature", F.expr(distance).alias("anomaly_separation_power"))
 
 
 def mutual_information(df: DataFrame, columns: list[str], label: str = "label", bins: int = INFORMATION_BINS) -> DataFrame:
@@ -285,17 +320,8 @@ def mutual_information(df: DataFrame, columns: list[str], label: str = "label",
     edges: dict[str, set[float]] = {c: set() for c in columns}
     for row in found.collect():  # columns x (bins - 1) rows
         edges[row["feature"]].add(row["value"])
-    cells = []
-    for c in columns:
-        value = f"nanvl(CAST({c} AS DOUBLE), NULL)"
-        above = " + ".join(f"IF({value} > {e!r}D, 1, 0)" for e in sorted(edges[c])) or "0"
-        cells.append(f"struct('{c}' AS feature, IF({value} IS NULL, NULL, {above}) AS bin)")
-    counts = (
-        df.selectExpr(label, f"inline(array({', '.join(cells)}))")
-        .where(f"bin IS NOT NULL AND {label} IS NOT NULL")
-        .groupBy("feature", "bin", label)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cuts = {c: np.array(sorted(e)) for c, e in edges.items()}
+    counts = materialise(_class_bins(df, columns, label, lambda c, v: np.searchsorted(cuts[c], v, side="left")), "bins")
     by_bin = counts.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"))
     by_label = counts.groupBy("feature", label).agg(F.sum("n").alias("n_label"))
     total = counts.groupBy("feature").agg(F.sum("n").alias("n_all"))

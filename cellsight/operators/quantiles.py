@@ -9,6 +9,8 @@ buffer grows with the data.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cellsight.operators.ranking import running_totals
@@ -63,10 +65,11 @@ def _narrowed(
     values: DataFrame, wanted: dict[str, list[float]], by: list[str], accuracy: int, small_group: int | None
 ) -> DataFrame:
     probs = {c: sorted(set(ps)) for c, ps in wanted.items()}
-    marked = _snap(values, probs, by, accuracy, small_group)
-    counts = (
-        marked.where("v IS NOT NULL").groupBy(*by, "feature", "v", "side").agg(F.count(F.lit(1)).alias("n"))
-    )
+    if by or small_group is None:
+        marked = _snap(values, probs, by, accuracy, small_group).withColumn("n", F.lit(1).cast("long"))
+    else:
+        marked = _snap_batches(values, probs, accuracy, small_group)
+    counts = marked.where("v IS NOT NULL").groupBy(*by, "feature", "v", "side").agg(F.sum("n").alias("n"))
     ranked = running_totals(counts, [*by, "feature"], ["v", "side"], ["n"])
     return materialise(_pick(ranked, probs, by), "quantiles")
 
@@ -78,6 +81,13 @@ def _snap(
     if small_group is None:
         pieces = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"), F.lit(0).alias("side")) for c in probs]
         return values.select(*by, F.inline(F.array(*pieces)))
+    brackets = materialise(values.groupBy(*by).agg(*_bracket_columns(probs, accuracy, small_group)), "brackets")
+    pieces = [_snapped_value(c, len(ps)) for c, ps in probs.items()]
+    return values.join(brackets, by, "inner").select(*by, F.inline(F.array(*pieces)))
+
+
+def _bracket_columns(probs: dict[str, list[float]], accuracy: int, small_group: int) -> list[Column]:
+    """Aggregates lo_<column>_<i> and hi_<column>_<i> for each wanted quantile."""
     aggregates = []
     for c, ps in probs.items():
         ends = [e for p in ps for e in (max(0.0, p - PAD), min(1.0, p + PAD))]
@@ -86,23 +96,40 @@ def _snap(
         for i, p in enumerate(ps):
             aggregates.append(F.when(n <= small_group, low).otherwise(sketch[2 * i]).alias(f"lo_{c}_{i}"))
             aggregates.append(F.when(n <= small_group, high).otherwise(sketch[2 * i + 1]).alias(f"hi_{c}_{i}"))
-    if by:
-        brackets = materialise(values.groupBy(*by).agg(*aggregates), "brackets")
-        values = values.join(brackets, by, "inner")
+    return aggregates
 
-        def end(name: str) -> Column:
-            return F.col(name)
-    else:
-        found = values.agg(*aggregates).first().asDict()
-
-        def end(name: str) -> Column:
-            return F.lit(found[name]).cast("double")
-
-    pieces = [_snapped_value(c, len(ps), end) for c, ps in probs.items()]
-    return values.select(*by, F.inline(F.array(*pieces)))
 
+def _snap_batches(values: DataFrame, probs: dict[str, list[float]], accuracy: int, small_group: int) -> DataFrame:
+    """As `_snap` without groups, for any number of columns: each batch is snapped by binary search
+    and counted before it leaves the task."""
+    found = values.agg(*_bracket_columns(probs, accuracy, small_group)).first()
+    ends = {
+        c: np.array([float(found[f"{e}_{c}_{i}"]) for i in range(len(ps)) for e in ("lo", "hi")])
+        for c, ps in probs.items()
+        if found[f"lo_{c}_0"] is not None
+    }
+
+    def snap(batches):
+        for batch in batches:
+            for c, bounds in ends.items():
+                v = batch[c].to_numpy(dtype=float)
+                v = v[~np.isnan(v)]
+                low, high = bounds[0::2], bounds[1::2]
+                # The last bracket that starts at or below a value, and whether the value is inside.
+                at = np.searchsorted(low, v, side="right") - 1
+                reach = np.maximum.accumulate(high)
+                inside = (at >= 0) & (v <= reach[np.maximum(at, 0)])
+                side = np.where(inside, 0, np.where(at < 0, -1, 1))
+                snapped = np.where(inside, v, np.where(at < 0, low[0], reach[np.maximum(at, 0)]))
+                counted = pd.DataFrame({"v": snapped, "side": side}).groupby(["v", "side"], as_index=False).size()
+                yield pd.DataFrame({"feature": c, "v": counted["v"], "side": counted["side"], "n": counted["size"]})
+
+    return values.mapInPandas(snap, "feature string, v double, side int, n long")
+
+
+def _snapped_value(c: str, n_probs: int) -> Column:
+    end = F.col
 
-def _snapped_value(c: str, n_probs: int, end) -> Column:
     def piece(value: Column, side: int) -> Column:
         return F.struct(F.lit(c).alias("feature"), value.alias("v"), F.lit(side).alias("side"))
 

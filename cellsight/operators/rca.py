@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellsight.functions.text import number_text
+from cellsight.functions.text import with_number_texts
 from cellsight.operators.quantiles import wide_quantiles
 from cellsight.operators.ranking import stable_row_ids
 from cellsight.session import materialise
@@ -232,48 +232,57 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "\\'") + "'"
 
 
-def _breached(df: DataFrame, kpi: str, op: str, limit: str | float) -> str:
-    """SQL for `kpi op limit`, false when either side is missing."""
-    if kpi not in df.columns:
-        return "false"
-    bound = limit if isinstance(limit, str) else f"CAST({limit} AS DOUBLE)"
-    return f"coalesce(nanvl(CAST({kpi} AS DOUBLE), NULL) {op} {bound}, false)"
+def _comparisons() -> list[tuple[str, str, str | float]]:
+    """Every distinct comparison of a KPI with a limit that a rule or check makes."""
+    made = [(rule.kpi, rule.op, rule.limit) for rule in RULES] + AFFECTED_CHECKS
+    return list(dict.fromkeys(made))
 
 
-def rule_hits(df: DataFrame) -> list[tuple[Rule, str]]:
+_TEST = {comparison: f"_test_{i}" for i, comparison in enumerate(_comparisons())}
+
+
+def with_tests(df: DataFrame) -> DataFrame:
+    """Add one boolean per comparison, false when the KPI or its limit is missing."""
+    sql = []
+    for (kpi, op, limit), name in _TEST.items():
+        bound = limit if isinstance(limit, str) else f"CAST({limit} AS DOUBLE)"
+        present = kpi in df.columns
+        sql.append(f"{f'coalesce(nanvl(CAST({kpi} AS DOUBLE), NULL) {op} {bound}, false)' if present else 'false'} AS {name}")
+    return df.selectExpr("*", *sql)
+
+
+def rule_hits() -> list[tuple[Rule, str]]:
     """Each rule with its condition; later rules of a step need the earlier ones to fail."""
     hits: list[tuple[Rule, str]] = []
     for rule in RULES:
-        test = _breached(df, rule.kpi, rule.op, rule.limit)
-        for other, condition in hits:
-            if (other.cause, other.step) == (rule.cause, rule.step):
-                test = f"{test} AND NOT ({condition})"
-        hits.append((rule, test))
+        test = _TEST[rule.kpi, rule.op, rule.limit]
+        earlier = [f"NOT {_TEST[o.kpi, o.op, o.limit]}" for o, _ in hits if (o.cause, o.step) == (rule.cause, rule.step)]
+        hits.append((rule, " AND ".join([test, *earlier])))
     return hits
 
 
-def rule_scores(df: DataFrame) -> dict[str, str]:
+def rule_scores() -> dict[str, str]:
     """The additive score of every cause."""
-    hits = rule_hits(df)
+    hits = rule_hits()
     return {
         cause: " + ".join(f"IF({hit}, {rule.points}, 0)" for rule, hit in hits if rule.cause == cause)
         for cause in TEXT_ORDER
     }
 
 
-def rule_signals(df: DataFrame, cause: str, value_text: dict[str, str]) -> str:
+def rule_signals(cause: str, value_text: dict[str, str]) -> str:
     """The labels of the matched rules of one cause, with the KPI value."""
     texts = [
         f"IF({hit}, concat({_sql_text(rule.label + ' (')}, {value_text[rule.kpi]}, ')'), NULL)"
-        for rule, hit in rule_hits(df)
+        for rule, hit in rule_hits()
         if rule.cause == cause and rule.kpi in value_text
     ]
     return f"array_compact(array({', '.join(texts)}))" if texts else _EMPTY
 
 
-def affected_kpis(df: DataFrame) -> str:
+def affected_kpis() -> str:
     """Names of the KPIs outside their thresholds, each once, in the fixed order."""
-    names = [f"IF({_breached(df, kpi, op, limit)}, '{kpi}', NULL)" for kpi, op, limit in AFFECTED_CHECKS]
+    names = [f"IF({_TEST[check]}, '{check[0]}', NULL)" for check in AFFECTED_CHECKS]
     return f"array_distinct(array_compact(array({', '.join(names)})))"
 
 
@@ -347,19 +356,23 @@ SCORE_COLUMNS = {
 }
 
 
+def _scored(df: DataFrame) -> DataFrame:
+    scores = [f"{sql} AS {SCORE_COLUMNS[cause]}" for cause, sql in rule_scores().items()]
+    return with_tests(df).selectExpr("*", *scores, f"{affected_kpis()} AS affected")
+
+
 def score_rows(df: DataFrame) -> DataFrame:
     """Add the six rule scores and the affected KPIs to rows with thresholds, before any gate."""
-    scores = [f"{sql} AS {SCORE_COLUMNS[cause]}" for cause, sql in rule_scores(df).items()]
-    return df.selectExpr("*", *scores, f"{affected_kpis(df)} AS affected")
+    return _scored(df).drop(*_TEST.values())
 
 
-def classify(df: DataFrame) -> DataFrame:
-    """Add root_cause, the six scores, top_score and affected KPIs; Normal rows have zeros and no KPI."""
-    scored = score_rows(df)
+def _classified(df: DataFrame) -> DataFrame:
+    scored = _scored(df)
     caused = scored.selectExpr("*", f"{root_cause(SCORE_COLUMNS, is_issue(df, 'affected'))} AS root_cause")
     normal = f"root_cause = {_sql_text(NORMAL)}"
     return caused.selectExpr(
         *[f"`{c}`" for c in df.columns],
+        *_TEST.values(),
         *[f"IF({normal}, 0, {name}) AS {name}" for name in SCORE_COLUMNS.values()],
         f"IF({normal}, {_EMPTY}, affected) AS affected",
         "root_cause",
@@ -367,20 +380,29 @@ def classify(df: DataFrame) -> DataFrame:
     )
 
 
-def explain_rows(df: DataFrame, value_sql: dict[str, str] | None = None) -> DataFrame:
+def classify(df: DataFrame) -> DataFrame:
+    """Add root_cause, the six scores, top_score and affected KPIs; Normal rows have zeros and no KPI."""
+    return _classified(df).drop(*_TEST.values())
+
+
+def explain_rows(df: DataFrame, given: dict[str, str] | None = None) -> DataFrame:
     """All analysis columns for rows with thresholds; lists stay arrays.
 
-    `value_sql` replaces the default text of KPI values in the signals.
+    `given` names columns with the original text of KPI values; whole numbers are shown as given.
     """
+    given = given or {}
     whole = {f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
     kpis = dict.fromkeys(rule.kpi for rule in RULES if rule.kpi in df.columns)
     value_text = {kpi: f"_text_{kpi}" for kpi in kpis}
-    spelled = {k: (value_sql or {}).get(k, number_text(k, k in whole)) for k in kpis}
-    staged = classify(df).selectExpr("*", *[f"{spelled[k]} AS {t}" for k, t in value_text.items()])
-    signals = _by_cause("root_cause", {c: rule_signals(df, c, value_text) for c in TIE_ORDER})
-    staged = staged.selectExpr("*", f"coalesce({signals}, {_EMPTY}) AS signals").drop(*value_text.values())
+    staged = with_number_texts(_classified(df), {t: (k, k in whole) for k, t in value_text.items()})
+    if given:
+        staged = staged.withColumns(
+            {value_text[k]: F.expr(f"IF({c} RLIKE '^-?[0-9]+$', {c}, {value_text[k]})") for k, c in given.items() if k in kpis}
+        )
+    signals = _by_cause("root_cause", {c: rule_signals(c, value_text) for c in TIE_ORDER})
+    staged = staged.selectExpr("*", f"coalesce({signals}, {_EMPTY}) AS signals")
     return staged.selectExpr(
-        "*",
+        *[f"`{c}`" for c in staged.columns if c not in value_text.values() and c not in _TEST.values()],
         f"{severity('root_cause')} AS severity",
         f"{confidence('root_cause', 'top_score')} AS confidence_score",
         f"{score_breakdown(SCORE_COLUMNS)} AS score_breakdown",

@@ -270,18 +270,19 @@ def incident_job(incidents: DataFrame, documents: DataFrame, k: int = retrieval.
     The searched text holds the class of an incident (cause, severity, slice, affected KPIs), so
     equal texts are searched once and the found context is joined back to every incident.
     """
-    chunks = materialise(
-        retrieval.chunk_fixed(documents).withColumn("chunk_id", F.concat_ws("#", "document_id", "page_number", "chunk_no")),
-        "chunks",
-    )
-    embedder = retrieval.fit_embedder(chunks, "chunk_text")
-    index = materialise(retrieval.embed_text(chunks, embedder).withColumnRenamed("chunk_text", "text"), "index")
+    chunks = retrieval.chunk_fixed(documents).withColumnRenamed("chunk_text", "text")
+    chunks = materialise(chunks.withColumn("chunk_id", F.concat_ws("#", "document_id", "page_number", "chunk_no")), "chunks")
+    embedder = retrieval.fit_embedder(chunks, "text")
+    index = materialise(retrieval.embed_text(chunks, embedder), "index")
     classes = ["root_cause", "severity", "network_slice", "affected_kpis"]
-    queries = incidents.select(*classes).distinct().withColumn("explanation", F.lit(""))
-    queries = retrieval.query_text(queries).withColumn("query_id", F.md5("query"))
-    vectors = materialise(retrieval.embed_text(queries, embedder, "embedding").select("query_id", *classes, "embedding"), "queries")
-    found = retrieval.retrieve_shape(retrieval.retrieve(vectors.select("query_id", "embedding"), index, k))
+
+    def class_key(df: DataFrame) -> DataFrame:
+        keyed = retrieval.query_text(df.withColumn("_full", F.col("explanation")).withColumn("explanation", F.lit("")), output="text")
+        return keyed.withColumn("query_id", F.md5("text")).withColumn("explanation", F.col("_full")).drop("_full")
+
+    texts = class_key(incidents.select(*classes).distinct().withColumn("explanation", F.lit("")))
+    vectors = materialise(retrieval.embed_text(texts, embedder).select("query_id", "embedding"), "queries")
+    found = retrieval.retrieve_shape(retrieval.retrieve(vectors, index, k))
     context = retrieval.context_text(found, ["query_id"])
-    keyed = retrieval.query_text(recommend.recommend(incidents).withColumn("_explanation", F.col("explanation")).withColumn("explanation", F.lit("")))
-    keyed = keyed.withColumn("query_id", F.md5("query")).withColumn("explanation", F.col("_explanation")).drop("_explanation", "query")
+    keyed = class_key(recommend.recommend(incidents)).drop("text")
     return retrieval.with_context(keyed, context, ["query_id"])

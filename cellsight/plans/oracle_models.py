@@ -20,8 +20,8 @@ _INDEXED = _MATCHES.format(items=_WITH_TEXT)
 _FOUND = """found AS (SELECT query_id, CAST(rank AS INT) AS rank, score, source || '.v' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_pdf,
  source || '.v' || CAST(doc_id AS VARCHAR) AS document_id, CAST(n_chars + 1 AS INT) AS page_number, text
 FROM matches JOIN documents ON item_id = doc_id WHERE rank <= 3)"""
-_CONTEXTS = r"""contexts AS (SELECT query_id, string_agg('Source: ' || source_pdf || chr(10) || 'Page: ' || CAST(page_number AS VARCHAR) || chr(10) || chr(10) || text,
- chr(10) || chr(10) || '--------------------------------' || chr(10) || chr(10) ORDER BY rank) AS body FROM found WHERE query_id <> 7 GROUP BY 1)"""
+_CONTEXTS = r"""contexts AS (SELECT query_id, md5(string_agg('Source: ' || source_pdf || chr(10) || 'Page: ' || CAST(page_number AS VARCHAR) || chr(10) || chr(10) || text,
+ chr(10) || chr(10) || '--------------------------------' || chr(10) || chr(10) ORDER BY rank)) AS body FROM found WHERE query_id <> 7 GROUP BY 1)"""
 
 
 def _with(sql: str, *ctes: str) -> str:
@@ -52,7 +52,7 @@ ORACLE = {
     ),
     "index_table": "SELECT doc_id, CAST(greatest(length(text) - 101, 0) // 400 + 1 AS BIGINT) AS chunks, CAST(256 AS INT) AS places FROM documents WHERE length(text) > 0",
     "incident_context_text": query(
-        f"SELECT record_id, md5({_BULLETS}) AS actions, md5(coalesce(body, 'No relevant supporting documentation was retrieved.')) AS context "
+        f"SELECT record_id, md5({_BULLETS}) AS actions, coalesce(body, 'No relevant supporting documentation was retrieved.') AS context "
         "FROM result LEFT JOIN contexts ON query_id = handover_count WHERE root_cause <> 'Normal'",
         *RCA, _QUERIES, _INDEXED, _FOUND, _CONTEXTS,
     ),

@@ -125,13 +125,14 @@ def index_table(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def incident_context_text(spark: Spark, sf_dir: str) -> DataFrame:
-    """Digests of the action and context texts of each incident; the context is found by the handover count."""
+    """Action text and context of each incident, as digests; the context is found by the handover count."""
     found = retrieval.retrieve_shape(retrieval.retrieve(_queries(spark, sf_dir), _index(spark, sf_dir)))
     contexts = retrieval.context_text(found, ["query_id"]).where("query_id <> 7")
+    contexts = contexts.withColumn("supporting_documentation", F.md5("supporting_documentation"))
     rows = explained(spark, sf_dir).where(F.col("root_cause") != rca.NORMAL)
     incidents = recommend.recommend(rows).select("record_id", "recommendations", F.col("handover_count").cast("int").alias("query_id"))
     texts = retrieval.with_context(incidents, contexts, ["query_id"])
-    return texts.select("record_id", F.md5("action_text").alias("actions"), F.md5("supporting_documentation").alias("context"))
+    return texts.select("record_id", F.md5("action_text").alias("actions"), F.col("supporting_documentation").alias("context"))
 
 
 def _incidents(spark: Spark, sf_dir: str) -> DataFrame:
