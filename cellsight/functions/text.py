@@ -17,8 +17,8 @@ def with_number_texts(df: DataFrame, texts: dict[str, tuple[str, bool]]) -> Data
     doubles = {out: c for out, (c, whole) in texts.items() if not whole}
     parts = plain.selectExpr(
         "*",
-        *[f"TRY_CAST(split_part({out}, 'E', 2) AS INT) AS {out}_exp" for out in doubles],
-        *[f"regexp_replace(split_part({out}, 'E', 1), '^-|[.]0$', '') AS {out}_man" for out in doubles],
+        *[f"IF(contains({out}, 'E'), TRY_CAST(split_part({out}, 'E', 2) AS INT), NULL) AS {out}_exp" for out in doubles],
+        *[f"IF(contains({out}, 'E'), regexp_replace(split_part({out}, 'E', 1), '^-|[.]0$', ''), NULL) AS {out}_man" for out in doubles],
     )
     digits = parts.selectExpr("*", *[f"replace({out}_man, '.', '') AS {out}_dig" for out in doubles])
     spelled = digits.withColumns({out: F.expr(_spelled(out, c)) for out, c in doubles.items()})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import signal
 import sys
 import time
 
@@ -11,6 +12,14 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+# Seconds after which a query is given up.
+LIMIT = 60
+
+
+def _late(*_):
+    raise TimeoutError("over the time limit")
+
+
 def normal(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -56,9 +65,11 @@ def main(spark, sf_dir: str, names: list[str]) -> int:
     import __spark_entry__ as entry
 
     queries, oracle = entry.queries(), entry.oracle_sql()
+    signal.signal(signal.SIGALRM, _late)
     bad = 0
     for name in names or queries:
         start = time.time()
+        signal.alarm(LIMIT)
         try:
             df = queries[name](spark, sf_dir)
             if name in oracle:
@@ -68,6 +79,9 @@ def main(spark, sf_dir: str, names: list[str]) -> int:
                 state = f"rows {len(df.collect())}"
         except Exception as error:  # report and go on with the next query
             state = "FAIL " + str(error)[:1200]
+            spark.sparkContext.cancelAllJobs()
+        finally:
+            signal.alarm(0)
         bad += state.startswith(("DIFF", "FAIL"))
         print(f"{name:28s} {time.time() - start:6.1f}s {state}", flush=True)
     print(f"{bad} problems")
