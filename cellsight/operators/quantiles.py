@@ -50,15 +50,17 @@ def exact_quantiles(
     return result.drop("outside")
 
 
+def _array(values: list[float]) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+
 def _in_memory(values: DataFrame, wanted: dict[str, list[float]], by: list[str]) -> DataFrame:
     probs = {c: sorted({float(p) for p in ps}) for c, ps in wanted.items()}
-    found = values.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, ps))).alias(c) for c, ps in probs.items()])
-    cells = [
-        F.struct(F.lit(c).alias("feature"), F.lit(p).alias("prob"), F.col(c)[i].alias("value"))
-        for c, ps in probs.items()
-        for i, p in enumerate(ps)
-    ]
-    return found.select(*by, F.inline(F.array(*cells))).where("value IS NOT NULL")
+    found = values.groupBy(*by).agg(*[F.expr(f"percentile({c}, {_array(ps)}) AS {c}") for c, ps in probs.items()])
+    cells = ", ".join(
+        f"struct('{c}' AS feature, {p!r}D AS prob, {c}[{i}] AS value)" for c, ps in probs.items() for i, p in enumerate(ps)
+    )
+    return found.selectExpr(*by, f"inline(array({cells}))").where("value IS NOT NULL")
 
 
 def _narrowed(
@@ -81,32 +83,36 @@ def _snap(
     if small_group is None:
         pieces = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"), F.lit(0).alias("side")) for c in probs]
         return values.select(*by, F.inline(F.array(*pieces)))
-    brackets = materialise(values.groupBy(*by).agg(*_bracket_columns(probs, accuracy, small_group)), "brackets")
-    pieces = [_snapped_value(c, len(ps)) for c, ps in probs.items()]
-    return values.join(brackets, by, "inner").select(*by, F.inline(F.array(*pieces)))
+    found = values.groupBy(*by).agg(*_sketches(probs, accuracy))
+    ends = [
+        f"IF(n_{c} <= {small_group}, {edge}_{c}, sketch_{c}[{2 * i + k}]) AS {name}_{c}_{i}"
+        for c, ps in probs.items()
+        for i in range(len(ps))
+        for k, (name, edge) in enumerate((("lo", "min"), ("hi", "max")))
+    ]
+    brackets = materialise(found.selectExpr(*by, *ends), "brackets")
+    pieces = ", ".join(_snapped_value(c, len(ps)) for c, ps in probs.items())
+    return values.join(brackets, by, "inner").selectExpr(*by, f"inline(array({pieces}))")
 
 
-def _bracket_columns(probs: dict[str, list[float]], accuracy: int, small_group: int) -> list[Column]:
-    """Aggregates lo_<column>_<i> and hi_<column>_<i> for each wanted quantile."""
+def _sketches(probs: dict[str, list[float]], accuracy: int) -> list[Column]:
+    """Bounded sketch of both bracket ends of each wanted quantile, with range and count, per column."""
     aggregates = []
     for c, ps in probs.items():
-        ends = [e for p in ps for e in (max(0.0, p - PAD), min(1.0, p + PAD))]
-        sketch = F.percentile_approx(c, ends, accuracy)
-        low, high, n = F.min(c), F.max(c), F.count(c)
-        for i, p in enumerate(ps):
-            aggregates.append(F.when(n <= small_group, low).otherwise(sketch[2 * i]).alias(f"lo_{c}_{i}"))
-            aggregates.append(F.when(n <= small_group, high).otherwise(sketch[2 * i + 1]).alias(f"hi_{c}_{i}"))
+        ends = _array([e for p in ps for e in (max(0.0, p - PAD), min(1.0, p + PAD))])
+        aggregates.append(F.expr(f"percentile_approx({c}, {ends}, {accuracy}) AS sketch_{c}"))
+        aggregates += [F.expr(f"{f}({c}) AS {name}_{c}") for f, name in (("min", "min"), ("max", "max"), ("count", "n"))]
     return aggregates
 
 
 def _snap_batches(values: DataFrame, probs: dict[str, list[float]], accuracy: int, small_group: int) -> DataFrame:
     """As `_snap` without groups, for any number of columns: each batch is snapped by binary search
     and counted before it leaves the task."""
-    found = values.agg(*_bracket_columns(probs, accuracy, small_group)).first()
+    found = values.agg(*_sketches(probs, accuracy)).first()
     ends = {
-        c: np.array([float(found[f"{e}_{c}_{i}"]) for i in range(len(ps)) for e in ("lo", "hi")])
+        c: np.array([found[f"min_{c}"], found[f"max_{c}"]] * len(ps) if found[f"n_{c}"] <= small_group else found[f"sketch_{c}"], float)
         for c, ps in probs.items()
-        if found[f"lo_{c}_0"] is not None
+        if found[f"n_{c}"]
     }
 
     def snap(batches):
@@ -127,26 +133,24 @@ def _snap_batches(values: DataFrame, probs: dict[str, list[float]], accuracy: in
     return values.mapInPandas(snap, "feature string, v double, side int, n long")
 
 
-def _snapped_value(c: str, n_probs: int) -> Column:
-    end = F.col
+def _snapped_value(c: str, n_probs: int) -> str:
+    """SQL for (feature, v, side): the value inside a bracket, else the nearest bracket end before it."""
 
-    def piece(value: Column, side: int) -> Column:
-        return F.struct(F.lit(c).alias("feature"), value.alias("v"), F.lit(side).alias("side"))
+    def piece(value: str, side: int) -> str:
+        return f"struct('{c}' AS feature, {value} AS v, {side} AS side)"
 
-    v = F.col(c)
-    chain = F.when(v < end(f"lo_{c}_0"), piece(end(f"lo_{c}_0"), -1))
+    steps = [f"WHEN {c} < lo_{c}_0 THEN {piece(f'lo_{c}_0', -1)}"]
     for i in range(n_probs):
         if i:
-            chain = chain.when(v < end(f"lo_{c}_{i}"), piece(end(f"hi_{c}_{i - 1}"), 1))
-        chain = chain.when(v <= end(f"hi_{c}_{i}"), piece(v, 0))
-    return chain.otherwise(piece(F.when(v.isNotNull(), end(f"hi_{c}_{n_probs - 1}")), 1))
+            steps.append(f"WHEN {c} < lo_{c}_{i} THEN {piece(f'hi_{c}_{i - 1}', 1)}")
+        steps.append(f"WHEN {c} <= hi_{c}_{i} THEN {piece(c, 0)}")
+    last = piece(f"IF({c} IS NULL, NULL, hi_{c}_{n_probs - 1})", 1)
+    return f"CASE {' '.join(steps)} ELSE {last} END"
 
 
 def _pick(ranked: DataFrame, probs: dict[str, list[float]], by: list[str]) -> DataFrame:
     """Interpolate between the two order statistics around each wanted position."""
-    wanted = F.coalesce(
-        *[F.when(F.col("feature") == c, F.array(*[F.lit(float(p)) for p in ps])) for c, ps in probs.items()]
-    )
+    wanted = F.expr("CASE feature " + " ".join(f"WHEN '{c}' THEN {_array(ps)}" for c, ps in probs.items()) + " END")
     position = lambda p: (F.col("total_n") - 1) * p
     first, last = F.col("before_n"), F.col("before_n") + F.col("n") - 1
     touching = F.filter(
@@ -181,8 +185,7 @@ def wide_quantiles(
         wanted.setdefault(column, []).append(prob)
     long = exact_quantiles(df, wanted, by, accuracy)
     cells = [
-        F.max(F.when((F.col("feature") == c) & (F.col("prob") == F.lit(float(p))), F.col("value"))).alias(name)
-        for name, (c, p) in named.items()
+        F.expr(f"max(IF(feature = '{c}' AND prob = {float(p)!r}D, value, NULL)) AS `{name}`") for name, (c, p) in named.items()
     ]
     return long.groupBy(*by).agg(*cells) if by else long.agg(*cells)
 

@@ -129,28 +129,29 @@ def _mixture_metrics(with_posterior: DataFrame) -> DataFrame:
     return metrics.class_metrics(metrics.confusion(posterior, grid))
 
 
-def model_select_job(kpi: DataFrame, key: str = "record_id", rates: list[float] = (0.01, 0.05, 0.20), trees: int = 350) -> dict[str, DataFrame]:
+def model_select_job(
+    kpi: DataFrame,
+    key: str = "record_id",
+    rates: list[float] = (0.01, 0.05, 0.20),
+    regimes: list[str] = tuple(perturb.CROSS_REGIMES),
+    trees: int = 350,
+) -> dict[str, DataFrame]:
     """Rank features by power, train on the chosen ones, fuse, compare threshold methods."""
     model = fit_feature_model(kpi)
     base = ratio_features(kpi)
-    sets = perturb.stress_sets(base, list(rates), key).unionByName(perturb.cross_sets(base, key))
+    sets = perturb.stress_sets(base, list(rates), key).unionByName(perturb.cross_sets(base, regimes, key))
     prepared = materialise(model.apply(sets), "labelled_features")
     power = materialise(profile.feature_power(prepared, model.names(), "ground_truth_label"), "power")
     chosen = [row["feature"] for row in profile.select_by_power(power, model.base).collect()]
     clean_rows = model.apply(kpi)
     scored = _scored_sets(clean_rows, prepared, chosen, key, trees)
     # The scores of all contaminations differ by constants, so one ranking serves every column.
-    fused = materialise(scoring.score_fusion(scored, ["score"] * 5, by=["dataset_name"]), "fused")
-    rows = []
-    for fusion in ("weighted_average", "rank_aggregation", "percentile_max"):
-        one = fused.select("dataset_name", F.col(fusion).alias("score"), "label")
-        rows.append(metrics.evaluate(one, thresholds.adaptive_thresholds(one)).withColumn("fusion_method", F.lit(fusion)))
-    raw = scored.select("dataset_name", "score", "label")
-    rows.append(metrics.evaluate(raw, thresholds.adaptive_thresholds(raw)).withColumn("fusion_method", F.lit("raw_score")))
-    evaluation = rows[0]
-    for other in rows[1:]:
-        evaluation = evaluation.unionByName(other)
-    evaluation = materialise(evaluation, "evaluation")
+    fused = scoring.score_fusion(scored, ["score"] * 5, by=["dataset_name"])
+    names = {"raw_score": "score", **{f: f for f in ("weighted_average", "rank_aggregation", "percentile_max")}}
+    cells = ", ".join(f"struct('{name}' AS fusion_method, {column} AS score)" for name, column in names.items())
+    long = materialise(fused.selectExpr("dataset_name", "label", f"inline(array({cells}))"), "fused")
+    by = ["dataset_name", "fusion_method"]
+    evaluation = materialise(metrics.evaluate(long, thresholds.adaptive_thresholds(long, by), by), "evaluation")
     grouped = metrics.method_comparison(evaluation, ["fusion_method", "method"], [*metrics.METRICS, "roc_auc", "pr_auc"])
     best = metrics.rank_score_best(grouped, ["fusion_method", "method"])
     spark = kpi.sparkSession
@@ -213,11 +214,17 @@ def best_parameters(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(*[F.desc(k) for k in keys], "n_estimators", "max_samples", "contamination").limit(1)
 
 
-def threshold_job(kpi: DataFrame, key: str = "record_id", rates: list[float] = (0.01, 0.05, 0.20), trees: int = 200) -> dict[str, DataFrame]:
+def threshold_job(
+    kpi: DataFrame,
+    key: str = "record_id",
+    rates: list[float] = (0.01, 0.05, 0.20),
+    regimes: list[str] = tuple(perturb.CROSS_REGIMES),
+    trees: int = 200,
+) -> dict[str, DataFrame]:
     """Sweep percentile thresholds over labelled sets, pick one and rescore the table with it."""
     base = ratio_features(kpi)
     features = [*KPI_FIELDS, "throughput_per_user", "spectral_efficiency"]
-    sets = perturb.stress_sets(base, list(rates), key).unionByName(perturb.cross_sets(base, key))
+    sets = perturb.stress_sets(base, list(rates), key).unionByName(perturb.cross_sets(base, regimes, key))
     scored = _scored_sets(base, sets, features, key, trees)
     sweep = materialise(metrics.with_average_rows(metrics.threshold_sweep(scored)), "sweep")
     best = materialise(metrics.constrained_best(sweep.where("dataset_name = 'AVERAGE'")), "best")

@@ -231,7 +231,7 @@ def robustness_job(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def model_select_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(jobs.model_select_job(kpi_view(spark, sf_dir), rates=[0.05], trees=TREES)["methods"])
+    return rounded(jobs.model_select_job(kpi_view(spark, sf_dir), rates=[0.05], regimes=["rural_cells"], trees=TREES)["methods"])
 
 
 def param_sweep_job(spark: Spark, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ def param_sweep_job(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def threshold_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(jobs.threshold_job(kpi_view(spark, sf_dir), rates=[0.05], trees=TREES)["sweep"])
+    return rounded(jobs.threshold_job(kpi_view(spark, sf_dir), rates=[0.05], regimes=["rural_cells", "urban_cells"], trees=TREES)["sweep"])
 
 
 def production_job(spark: Spark, sf_dir: str) -> DataFrame:
