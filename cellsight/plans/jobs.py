@@ -93,6 +93,12 @@ def _scored_sets(kpi: DataFrame, sets: DataFrame, features: list[str], key: str,
     return materialise(iforest.score_forest(sets, forest).select(*keep, "score"), "scored_sets")
 
 
+def _labelled_sets(base: DataFrame, rates: list[float], regimes: list[str], key: str) -> DataFrame:
+    """Stress sets, and regime sets when any are named."""
+    sets = perturb.stress_sets(base, list(rates), key)
+    return sets.unionByName(perturb.cross_sets(base, regimes, key)) if regimes else sets
+
+
 def robustness_job(kpi: DataFrame, key: str = "record_id", rates: list[float] = perturb.STRESS_RATES, trees: int = 200) -> dict[str, DataFrame]:
     """Stress sets at several anomaly rates against all threshold methods."""
     base = ratio_features(kpi)
@@ -139,7 +145,7 @@ def model_select_job(
     """Rank features by power, train on the chosen ones, fuse, compare threshold methods."""
     model = fit_feature_model(kpi)
     base = ratio_features(kpi)
-    sets = perturb.stress_sets(base, list(rates), key).unionByName(perturb.cross_sets(base, regimes, key))
+    sets = _labelled_sets(base, rates, regimes, key)
     prepared = materialise(model.apply(sets), "labelled_features")
     power = materialise(profile.feature_power(prepared, model.names(), "ground_truth_label"), "power")
     chosen = [row["feature"] for row in profile.select_by_power(power, model.base).collect()]
@@ -224,7 +230,7 @@ def threshold_job(
     """Sweep percentile thresholds over labelled sets, pick one and rescore the table with it."""
     base = ratio_features(kpi)
     features = [*KPI_FIELDS, "throughput_per_user", "spectral_efficiency"]
-    sets = perturb.stress_sets(base, list(rates), key).unionByName(perturb.cross_sets(base, regimes, key))
+    sets = _labelled_sets(base, rates, regimes, key)
     scored = _scored_sets(base, sets, features, key, trees)
     sweep = materialise(metrics.with_average_rows(metrics.threshold_sweep(scored)), "sweep")
     best = materialise(metrics.constrained_best(sweep.where("dataset_name = 'AVERAGE'")), "best")

@@ -231,7 +231,7 @@ def robustness_job(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def model_select_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(jobs.model_select_job(kpi_view(spark, sf_dir), rates=[0.05], regimes=["rural_cells"], trees=TREES)["methods"])
+    return rounded(jobs.model_select_job(kpi_view(spark, sf_dir), rates=[0.05], regimes=[], trees=TREES)["methods"])
 
 
 def param_sweep_job(spark: Spark, sf_dir: str) -> DataFrame:

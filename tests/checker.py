@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 # Seconds after which a query is given up.
-LIMIT = 100
+LIMIT = 120
 
 
 def _late(*_):
