@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from cellsight.llm import mixing, quality, token_counts, warc
+from cellsight.llm import embedding_dedup, hyperminhash, mixing, paragraph_dedup, quality, token_counts, warc
 from cellsight.llm.common import table
 from cellsight.session import scratch_path
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -28,6 +32,14 @@ def op5_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model)
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -35,9 +47,12 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
     "op5_tokens": op5_tokens,
+    "op7_paragraphs": op7_paragraphs,
+    "op9_hyperminhash": op9_hyperminhash,
     "op10_archive": op10_archive,
 }
 
