@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from cellsight.llm import embedding_dedup, hyperminhash, mixing, paragraph_dedup, quality, token_counts, warc
+from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, token_counts, warc
 from cellsight.llm.common import table
 from cellsight.session import scratch_path
 
@@ -17,6 +17,10 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -32,6 +36,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
+
+
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -48,9 +56,11 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embeddings": op1_embeddings,
+    "op2_language_model": op2_language_model,
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
     "op5_tokens": op5_tokens,
+    "op6_decontaminate": op6_decontaminate,
     "op7_paragraphs": op7_paragraphs,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_archive": op10_archive,
