@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellsight.session import materialise
+from cellsight.session import materialise  # noqa: F401  (for the operators)
 
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 1 << 15
@@ -197,4 +197,3 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-__all__ = ["materialise"]

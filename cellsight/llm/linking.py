@@ -6,11 +6,12 @@ fp1 and fp2 (fingerprint of the set) and sig (registers of the set as bytes).
 1. Texts with equal shingle sets are one class, whose least _row stands for it.
 2. Representatives that share a band of registers meet in a bucket.  First each is paired with the
    least of its bucket only, the pairs are verified on the full sets, and components are formed.
-3. Buckets that still hold several components are compared block by block: pairs of different
-   components whose registers agree often enough are verified too, each pair once.
+3. Buckets that still hold several components are compared block by block, in tasks that have the texts:
+   pairs of different components whose registers agree often enough are verified too, each in its first
+   common band.  Only links leave a task, so a group of many near misses makes no rows.
 4. The components of all verified links are the result.
 
-Verification deals pairs to a grid of cells by the hashes of both ends, so a text travels to at most one
+Verification of pairs deals pairs to a grid of cells by the hashes of both ends, so a text travels to at most one
 row or column of the grid, a text with very many partners is spread, and no cell is unbounded.
 """
 
@@ -24,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cellsight.llm.common import ROW, chunks, group_starts, grouped, materialise, mixed, shingle_sets, sized
+from cellsight.llm.common import ROW, Chunk, chunks, group_starts, grouped, materialise, mixed, shingle_sets, sized
 from cellsight.llm.components import components
 
 _U = np.uint64
 PAIRS_PER_CELL = 6000
-BLOCK = 512
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -136,15 +137,22 @@ def verified(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
     return materialise(rows.mapInArrow(run, "a long, b long"), "links")
 
 
-def _residual_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, banding: Banding) -> DataFrame:
-    """Pairs of a bucket in different components whose registers agree often enough, each from its first common band."""
+def _one_set(text: bytes, shingle: int) -> np.ndarray:
+    data = np.frombuffer(text, dtype=np.uint8)
+    return shingle_sets(*Chunk(None, data, np.array([0, len(data)])).word_hashes(), 1, shingle)[0]
+
+
+def _residual_links(members: DataFrame, classes: DataFrame, labels: DataFrame, banding: Banding) -> DataFrame:
+    """Links between different components of a bucket, without those that close a ring in a block."""
     labelled = members.join(labels.withColumnRenamed("root", "_root"), "node", "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
     labelled = materialise(labelled, "labelled")
     mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     blocks = F.ceil(F.col("size") / BLOCK)
-    rows = labelled.join(mixed_keys.select("key", "size"), "key").join(classes.select("node", "sig"), "node")
+    rows = materialise(labelled.join(mixed_keys.select("key", "size"), "key"), "mixed")
+    wanted = sized(rows.select("node").distinct(), 16)
+    rows = rows.join(classes.join(wanted, "node", "left_semi").select("node", "sig", "_text"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sig")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sig", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["key", "i", "j"]):
@@ -152,27 +160,39 @@ def _residual_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, b
             block, node, root = (group.column(c).to_numpy() for c in ("block", "node", "root"))
             if len(node) < 2 or root.min() == root.max():
                 continue
+            root = root.copy()
             sigs = banding.matrix(group.column("sig").combine_chunks())
             band = int(np.flatnonzero(banding.keys(sigs[:1])[0] == key)[0])
-            found_a, found_b = [], []
+            sets: dict[int, np.ndarray] = {}
+
+            def full(x: int, group: pa.Table = group, sets: dict = sets) -> np.ndarray:
+                if x not in sets:
+                    sets[x] = _one_set(group.column("_text")[x].as_py(), banding.shingle)
+                return sets[x]
+
+            found = []
             for x in range(len(node)):
+                if i != j and block[x] != i:
+                    continue
                 others = np.flatnonzero((root != root[x]) & ((node > node[x]) if i == j else (block == j)))
-                if (i != j and block[x] != i) or not len(others):
+                if not len(others):
                     continue
                 same = sigs[others] == sigs[x]
-                estimate = (same.mean(axis=1) - banding.chance) / (1 - banding.chance)
-                others, same = others[estimate >= banding.floor], same[estimate >= banding.floor]
-                if len(others):
-                    whole = same[:, : banding.bands * banding.rows].reshape(len(others), banding.bands, banding.rows).all(axis=2)
-                    others = others[whole.argmax(axis=1) == band]
-                    found_a += [node[x]] * len(others)
-                    found_b += node[others].tolist()
-            if found_a:
-                a, b = np.array(found_a, dtype=np.int64), np.array(found_b, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                near = (same.mean(axis=1) - banding.chance) / (1 - banding.chance) >= banding.floor
+                others, same = others[near], same[near]
+                if not len(others):
+                    continue
+                whole = same[:, : banding.bands * banding.rows].reshape(len(others), banding.bands, banding.rows).all(axis=2)
+                for y in others[whole.argmax(axis=1) == band].tolist():
+                    if root[x] != root[y] and banding.linked(full(x), full(y)):
+                        root[root == root[y]] = root[x]
+                        found.append((min(node[x], node[y]), max(node[x], node[y])))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return materialise(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(signed: DataFrame, banding: Banding) -> DataFrame:
@@ -187,8 +207,7 @@ def near_duplicates(signed: DataFrame, banding: Banding) -> DataFrame:
     pairs = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = verified(pairs, texts.select("node", "_text"), banding)
     labels = components(links)
-    more = materialise(_residual_pairs(members.select("key", "node"), classes, labels, banding), "pairs")
-    rest = verified(more, texts.select("node", "_text"), banding)
+    rest = _residual_links(members.select("key", "node"), texts.select("node", "sig", "_text"), labels, banding)
     labels = components(links.unionByName(rest))
     of_class = groups.join(labels, "node", "left").select("fp1", "fp2", "n", F.coalesce("root", "node").alias("root"))
     return present.select(ROW, "fp1", "fp2", "n").join(of_class, ["fp1", "fp2", "n"]).select(ROW, "root")

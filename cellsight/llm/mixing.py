@@ -69,9 +69,9 @@ def _open(rows: DataFrame, room: str) -> DataFrame:
 
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED,
                carry: list[str] | None = None, **parameters) -> DataFrame:
-    """Per row: id, source, size, source_size, target, copies and taken, with the columns in `carry`."""
+    """Per row: _id, _source, size, source_size, target, copies and taken, with the columns in `carry` as _c0, _c1, ..."""
     text = F.col(f"`{text_col}`")
-    carried = [F.col(f"`{c}`") for c in carry or []]
+    carried = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry or [])]
     rows = materialise(
         with_row(
             docs.select(
@@ -102,6 +102,15 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     result = null_safe_join(rows, targets, ["source"]).join(extra, ROW, "left")
     copies = F.when(F.col("size") > 0, F.floor(rate) + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
     return result.select(
-        *[F.col(f"`{c}`") for c in carry or []], F.col("id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target",
+        *[F.col(f"_c{i}") for i in range(len(carried))], F.col("id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of `docs` as often as the mix takes it, with its columns and `copy` from 1 on."""
+    columns = docs.columns
+    drawn = pareto_mix(docs, carry=columns, **options).where("copies > 0")
+    copy = "copy" if "copy" not in columns else "mix_copy"
+    named = [F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)]
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*named, F.col("_copy").alias(copy))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, token_counts, warc
+from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, suffix_dedup, token_counts, warc
 from cellsight.llm.common import table
 from cellsight.session import scratch_path
 
@@ -44,6 +44,10 @@ def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_tokens": op5_tokens,
     "op6_decontaminate": op6_decontaminate,
     "op7_paragraphs": op7_paragraphs,
+    "op8_suffixes": op8_suffixes,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_archive": op10_archive,
 }
