@@ -26,7 +26,8 @@ BUCKET_BITS = 17
 DIMENSIONS = 12
 GRAMS = (3, 5)
 SAMPLE_ROWS = 4000
-EPOCHS = 5
+#: Steps of the descent, in whole rounds over the sample.
+STEPS = 16_000
 RATE = 0.4
 ACCEPT = 0.3
 _END, _TWICE = 0, 1
@@ -71,14 +72,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / count + self.bias, -500, 500)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
     """Stochastic gradient descent over bags of (buckets, counts, label)."""
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (size, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((DIMENSIONS, 2), dtype=np.float64), np.zeros(2)
-    steps, done = epochs * len(bags), 0
-    for _ in range(epochs):
+    rounds, done = -(-steps // len(bags)), 0
+    steps = rounds * len(bags)
+    for _ in range(rounds):
         for i in rng.permutation(len(bags)):
             buckets, counts, label = bags[i]
             share = (counts / counts.sum()).astype(np.float32)
