@@ -1,4 +1,4 @@
-"""Joins that treat null keys as equal and that cope with a key holding a large share of the rows."""
+"""Joins that treat null keys as equal."""
 
 from __future__ import annotations
 
@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys with null equal to null; the key columns of `left` are kept."""
+    """Join on keys with null equal to null; the key columns of `left` are kept.
+
+    Without keys the right side is the one row of a whole-table aggregate.
+    """
+    if not keys:
+        return left.crossJoin(F.broadcast(right.limit(1)))
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
     joined = left.join(renamed, condition, how)
@@ -16,17 +21,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def attach_by_value(rows: DataFrame, lookup: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """Join a per-value table (with its row count `n` and group total `total_n`) back to the rows.
+    """Join a table with one row per value back to the rows.
 
-    Values with more than 10,000 rows that hold over a thousandth of their group are set apart: a
-    group has fewer than a thousand of them, so they are broadcast and their rows stay where they
-    are.  The other values have a bounded number of rows each and join by shuffle.
+    The side of the rows is what a frequent value makes large, and the skew rule of the adaptive planner
+    splits it; the other side has one row per value.
     """
-    is_hot = (F.col("n") > 10_000) & (F.col("n") * 1000 > F.col("total_n"))
-    hot = lookup.where(is_hot).select(*keys, *payload)
-    if not hot.take(1):
-        return null_safe_join(rows, lookup.select(*keys, *payload), keys)
-    cold = lookup.where(~is_hot).select(*keys, *payload)
-    return null_safe_join(rows, F.broadcast(hot), keys).unionByName(
-        null_safe_join(null_safe_join(rows, F.broadcast(hot.select(*keys)), keys, "left_anti"), cold, keys)
-    )
+    return null_safe_join(rows, lookup.select(*keys, *payload), keys)

@@ -1,9 +1,8 @@
 """Exact linear-interpolated quantiles of many columns, globally or per group.
 
-The built-in exact `percentile` keeps every distinct value of a group in one aggregation buffer, so
-it is used only for tables whose counted size is below a fixed limit.  Beyond it, a bounded sketch first brackets each wanted quantile; values outside the brackets are snapped
-to the bracket ends, which keeps the order but collapses nearly all rows to a few counted values
-before the shuffle.  The remaining values are ranked range by range, so the answer is exact and no
+A bounded sketch first brackets each wanted quantile; values outside the brackets are snapped to the
+bracket ends, which keeps the order but collapses nearly all rows to a few counted values before the
+shuffle.  The remaining values are ranked range by range, so the answer is exact at any size and no
 buffer grows with the data.
 """
 
@@ -17,8 +16,6 @@ from cellsight.operators.ranking import running_totals
 from cellsight.session import materialise
 from cellsight.sources.schema import number
 
-# Tables with at most this many values use the built-in aggregate.
-IN_MEMORY_VALUES = 8_000_000
 # Groups up to this size are bracketed by their minimum and maximum.
 SMALL_GROUP = 20_000
 # Half width of a bracket; ten times the error bound of the sketch at the default accuracy.
@@ -30,7 +27,6 @@ def exact_quantiles(
     wanted: dict[str, list[float]],
     by: list[str] = (),
     accuracy: int = 10_000,
-    in_memory_values: int = IN_MEMORY_VALUES,
 ) -> DataFrame:
     """Rows (by..., feature, prob, value) for each column and probability in `wanted`.
 
@@ -41,8 +37,8 @@ def exact_quantiles(
     values = df.select(*by, *[number(c).alias(c) for c in wanted])
     for key in by:
         values = values.where(F.col(key).isNotNull())
-    if values.select(F.lit(1)).count() * len(wanted) <= in_memory_values:
-        return _in_memory(values, wanted, by)
+    if not wanted:
+        raise ValueError("quantiles need at least one column")
     result = _narrowed(values, wanted, by, accuracy, small_group=SMALL_GROUP)
     if result.where("outside").take(1):
         # The sketch missed a bracket: rank all values instead.
@@ -54,15 +50,6 @@ def _array(values: list[float]) -> str:
     return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
 
-def _in_memory(values: DataFrame, wanted: dict[str, list[float]], by: list[str]) -> DataFrame:
-    probs = {c: sorted({float(p) for p in ps}) for c, ps in wanted.items()}
-    found = values.groupBy(*by).agg(*[F.expr(f"percentile({c}, {_array(ps)}) AS {c}") for c, ps in probs.items()])
-    cells = ", ".join(
-        f"struct('{c}' AS feature, {p!r}D AS prob, {c}[{i}] AS value)" for c, ps in probs.items() for i, p in enumerate(ps)
-    )
-    return found.selectExpr(*by, f"inline(array({cells}))").where("value IS NOT NULL")
-
-
 def _narrowed(
     values: DataFrame, wanted: dict[str, list[float]], by: list[str], accuracy: int, small_group: int | None
 ) -> DataFrame:

@@ -54,13 +54,21 @@ def value_ranks(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
 
 
 def percentile_rank(df: DataFrame, value: str, output: str, by: list[str] = ()) -> DataFrame:
-    """Average-tie rank divided by the row count, within `by`."""
+    """Average-tie rank divided by the row count, within `by`; a missing value has a missing rank and is not counted."""
     ranks = materialise(value_ranks(df.select(*by, value), value, by), "ranks")
     share = (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total_n")
-    return attach_by_value(df, ranks.withColumn(output, share), [*by, value], [output])
+    present = attach_by_value(df.where(F.col(value).isNotNull()), ranks.withColumn(output, share), [*by, value], [output])
+    missing = df.where(F.col(value).isNull()).withColumn(output, F.lit(None).cast("double"))
+    return present.unionByName(missing)
 
 
 def stable_row_ids(df: DataFrame, key: str, output: str = "row_id") -> DataFrame:
-    """1-based position of each row in the order of a unique key."""
-    ids = value_ranks(df.select(key), key).select(key, (F.col("before_n") + 1).alias(output))
-    return df.join(ids, key, "inner")
+    """1-based position of each row in the order of a key.
+
+    Rows with equal keys follow the order of their other columns, rows without a key come last; every row
+    gets an id of its own.
+    """
+    ties = [f.name for f in df.schema if f.name != key and f.dataType.typeName() not in ("map", "variant")]
+    order = df.withColumns({"_no_key": F.col(f"`{key}`").isNull(), "_one": F.lit(1).cast("long")})
+    placed = running_totals(order, [], ["_no_key", key, *ties], ["_one"])
+    return placed.select(*df.columns, (F.col("before__one") + 1).alias(output))

@@ -46,7 +46,7 @@ def detect_job(raw: DataFrame, key: str = "record_id", trees: int = 200, contami
 
 def train_test_job(raw: DataFrame, key: str = "record_id", sample: int = 2_000, trees: int = 200) -> dict[str, DataFrame]:
     """Sample, split, fit on the training part only, score the test part."""
-    split = materialise(perturb.train_test_split(perturb.sample_n(raw, sample, key), key=key), "split")
+    split = materialise(perturb.train_test_split(perturb.sample_n(raw, sample, key), key=key, seed="42|split"), "split")
     parts = {name: clean.clean(split.where(F.col("split") == name).drop("split")) for name in ("train", "test")}
     preparation = clean.fit_preparation(parts["train"])
     fences = clean.fit_fences(parts["train"], KPI_FIELDS)

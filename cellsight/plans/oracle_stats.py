@@ -407,7 +407,7 @@ ORACLE = {
     ),
     "percentile_rank": query(f"SELECT record_id, {r(_RANK.format(by='1', c='score'))} AS rank FROM scored", SCORED),
     "dataset_partition_rank": query(f"SELECT record_id, dataset_name, {r(_RANK.format(by='dataset_name', c='score'))} AS rank FROM scored", SCORED),
-    "stable_row_ids": query("SELECT record_id, cell_id, row_number() OVER (ORDER BY record_id) AS row_id FROM kpi"),
+    "stable_row_ids": query("SELECT record_id, cell_id, row_number() OVER (ORDER BY record_id NULLS LAST, cell_id) AS row_id FROM kpi"),
     "sort_multi": query(
         f"SELECT dataset_name, threshold_percentile, {_rounded(['roc_auc', 'recall', 'precision', 'f1'])} FROM swept ORDER BY swept.roc_auc DESC, swept.recall DESC", *SWEEP, _SWEPT
     ),

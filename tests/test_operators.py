@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellsight.functions.text import parse_breakdown, split_list, with_number_texts
-from cellsight.operators import clean, features, forest, joins, metrics, profile, quantiles, ranking, rca, retrieval, scoring, thresholds
+from cellsight.operators import clean, features, forest, joins, metrics, perturb, profile, quantiles, ranking, rca, retrieval, scoring, thresholds
 from cellsight.sources import readers
 from cellsight.sources.fixtures import kpi_view, scored_view
 from cellsight.sources.schema import KPI_FIELDS
@@ -88,7 +88,7 @@ def test_distributed_quantiles_match_numpy(spark, sf_dir, parts):
     wanted = {"throughput_mbps": [0.0, 0.05, 0.2, 0.5, 1.0], "latency_ms": [0.8, 0.95], "handover_count": [0.85]}
     data = rows.select("slice_type", *wanted).toPandas()
     for by in ([], ["slice_type"]):
-        found = quantiles.exact_quantiles(rows, wanted, by, in_memory_values=0).collect()
+        found = quantiles.exact_quantiles(rows, wanted, by).collect()
         for r in found:
             part = data if not by else data[data["slice_type"] == r.slice_type]
             assert r.value == pytest.approx(np.percentile(part[r.feature].dropna().astype(float), r.prob * 100), rel=1e-12)
@@ -241,3 +241,29 @@ def test_feature_plan_stays_in_the_jvm(spark, sf_dir):
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "BroadcastHashJoin" in text
     assert features.engineered_names(features.base_features())
+
+
+def test_ranks_keep_rows_without_a_score(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, None), (3, 2.0), (4, 5.0)], "record_id long, score double")
+    ranked = {r["record_id"]: r["rank"] for r in ranking.percentile_rank(rows, "score", "rank").collect()}
+    assert ranked == {1: 0.5, 2: None, 3: 0.5, 4: 1.0}
+
+
+def test_row_ids_are_unique_for_repeated_and_missing_keys(spark):
+    rows = spark.createDataFrame([(5, "b"), (5, "a"), (None, "x"), (1, "z"), (5, "a")], "record_id long, cell_id string")
+    found = sorted((r["row_id"], r["record_id"], r["cell_id"]) for r in ranking.stable_row_ids(rows, "record_id").collect())
+    assert found == [(1, 1, "z"), (2, 5, "a"), (3, 5, "a"), (4, 5, "b"), (5, None, "x")]
+
+
+def test_draws_and_strata_with_repeated_keys(spark):
+    rows = spark.createDataFrame([(i % 40, i) for i in range(100)], "record_id long, v long")
+    assert perturb.bootstrap_rows(rows, 100).count() == 100
+    sizes = [r["count"] for r in perturb.split_strata(rows, 7).groupBy("stratum").count().collect()]
+    assert sum(sizes) == 100 and max(sizes) - min(sizes) <= 1
+
+
+def test_sampled_rows_split_into_both_parts(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "record_id")
+    split = perturb.train_test_split(perturb.sample_n(rows, 2_000), seed="42|split")
+    counts = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert counts["train"] + counts["test"] == 2_000 and 0.15 < counts["test"] / 2_000 < 0.25
