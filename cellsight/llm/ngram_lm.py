@@ -6,7 +6,7 @@ and exact word counts, the probability of w after v is (c(v w) + M * P(w)) / (c(
 P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)) is the base model.  Every text ends with an end token, which
 is counted like a word, and begins after a begin mark, which is not.
 
-Sizes.  The filter has six bits per training token and is cut into slices of at most 64 MiB; one slice at
+Sizes.  The filter has six bits per training token and is cut into slices of at most 32 MiB; one slice at
 a time is broadcast and scores the tokens whose bigrams hash to it, so a larger corpus means more slices
 and not a larger broadcast.  A part of a slice is built by one task from at most as many rows as it has room for.
 Exact counts of at most 2**22 words, the most frequent, are broadcast (64 MiB); the counts of all other
@@ -31,13 +31,13 @@ from cellsight.llm.common import ROW, Chunk, chunks, materialise, mixed, sized,
 
 _U = np.uint64
 BITS_PER_TOKEN = 6
-SLICE_BYTES = 64 << 20
-PART_BYTES = 2 << 20
+SLICE_BYTES = 32 << 20
+PART_BYTES = 1 << 20
 HEAD_WORDS = 1 << 22
 LEVEL_BASE = 1.5
 SMOOTHING = 20.0
 _END, _BEGIN = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-_TOKENS_PER_COUNT = 3_000_000
+_TOKENS_PER_COUNT = 2_000_000
 _PART_WORDS = PART_BYTES // 8
 
 
@@ -177,10 +177,6 @@ def _filter_parts(rows: DataFrame, layout: Layout) -> DataFrame:
     return materialise(dealt.mapInArrow(run, "part long, words binary"), "filter")
 
 
-def _column(df: DataFrame, name: str) -> np.ndarray:
-    return df.select(name).toArrow().column(name).to_numpy()
-
-
 def _head(vocabulary: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
     """The most frequent words (at most HEAD_WORDS) as sorted keys and counts, and the table of the others."""
     if size <= HEAD_WORDS:
@@ -293,6 +289,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         done = materialise(ready.mapInArrow(scorer(words, low, high), schema), "scores")
         words.destroy()
         scored = done if scored is None else scored.unionByName(done)
+    head.destroy()
     if len(layout.slices) > 1:
         rest = [F.first(c).alias(c) for c in ("_id", "_held", "n_tokens", "n_known", "base_score")]
         scored = scored.groupBy(ROW).agg(*rest, F.sum("part_score").alias("part_score"))
