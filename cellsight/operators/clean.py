@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellsight.operators.quantiles import quantile_values
-from cellsight.sources.schema import ID_COLUMNS, TIME_COLUMNS, categorical_columns, numeric_columns
+from cellsight.sources.schema import ID_COLUMNS, TIME_COLUMNS, categorical_columns, literal, numeric_columns, quoted
 
 # A column with more categories than this is not a categorical feature.
 MAX_CATEGORIES = 1_000
@@ -25,12 +25,12 @@ def trim_columns(df: DataFrame) -> DataFrame:
 
 def coerce_number(name: str) -> str:
     """SQL for text as a number, null when it is not one."""
-    return f"nanvl(TRY_CAST({name} AS DOUBLE), NULL)"
+    return f"nanvl(TRY_CAST({quoted(name)} AS DOUBLE), NULL)"
 
 
 def coerce_timestamp(name: str) -> str:
     """SQL for text as a timestamp without zone, null when it is not one."""
-    return f"TRY_CAST({name} AS TIMESTAMP_NTZ)"
+    return f"TRY_CAST({quoted(name)} AS TIMESTAMP_NTZ)"
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def fit_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """
     if not columns:
         return {}
-    cells = ", ".join(f"struct('{c}' AS feature, CAST({c} AS STRING) AS value)" for c in columns)
+    cells = ", ".join(f"struct({literal(c)} AS feature, CAST({quoted(c)} AS STRING) AS value)" for c in columns)
     counts = (
         df.selectExpr(f"inline(array({cells}))")
         .where("value IS NOT NULL")
@@ -79,12 +79,12 @@ def impute(df: DataFrame, fills: dict[str, float | str | None]) -> DataFrame:
         if value is None:
             continue
         if types[c] in ("double", "float"):
-            filled[c] = F.coalesce(F.expr(f"nanvl({c}, NULL)"), F.lit(value).cast(types[c]))
+            filled[c] = F.coalesce(F.expr(f"nanvl({quoted(c)}, NULL)"), F.lit(value).cast(types[c]))
         elif types[c] in ("string", "boolean"):
-            filled[c] = F.coalesce(F.col(c), F.lit(value).cast(types[c]))
+            filled[c] = F.coalesce(F.col(quoted(c)), F.lit(value).cast(types[c]))
         else:
             # Medians of whole numbers may be fractional.
-            filled[c] = F.coalesce(F.col(c).cast("double"), F.lit(value).cast("double"))
+            filled[c] = F.coalesce(F.col(quoted(c)).cast("double"), F.lit(value).cast("double"))
     return df.withColumns(filled) if filled else df
 
 
@@ -106,15 +106,15 @@ def fit_fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> di
 
 
 def flag_outliers(df: DataFrame, fences: dict[str, tuple[float, float]], output: str = "eda_outlier_flag") -> DataFrame:
-    tests = [f"coalesce({c} < {low!r}D OR {c} > {high!r}D, false)" for c, (low, high) in fences.items()]
+    tests = [f"coalesce({quoted(c)} < {low!r}D OR {quoted(c)} > {high!r}D, false)" for c, (low, high) in fences.items()]
     return df.withColumn(output, F.expr(f"CAST({' OR '.join(tests) or 'false'} AS INT)"))
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per column; a constant column is divided by 1."""
     row = df.selectExpr(
-        *[f"{e} AS {c}_{s}" for c in columns for s, e in (
-            ("mean", f"avg({c})"), ("sd", f"stddev_pop({c})"), ("low", f"min({c})"), ("high", f"max({c})"))]
+        *[f"{f}({quoted(c)}) AS {quoted(f'{c}_{s}')}" for c in columns for s, f in (
+            ("mean", "avg"), ("sd", "stddev_pop"), ("low", "min"), ("high", "max"))]
     ).first()
     scaler = {}
     for c in columns:
@@ -126,15 +126,15 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, floa
 
 
 def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
-    return df.withColumns({c: (F.col(c) - F.lit(mean)) / F.lit(sd) for c, (mean, sd) in scaler.items()})
+    return df.withColumns({c: (F.col(quoted(c)) - F.lit(mean)) / F.lit(sd) for c, (mean, sd) in scaler.items()})
 
 
 def fit_categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     """Sorted categories per column, refused beyond a fixed number."""
     found = {}
     for c in columns:
-        rows = df.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull()).distinct()
-        values = [row[c] for row in rows.take(MAX_CATEGORIES + 1)]
+        rows = df.select(F.col(quoted(c)).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+        values = [row["value"] for row in rows.take(MAX_CATEGORIES + 1)]
         if len(values) > MAX_CATEGORIES:
             raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
         found[c] = sorted(values)
@@ -144,7 +144,7 @@ def fit_categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
 def one_hot(df: DataFrame, categories: dict[str, list[str]], keep: bool = False) -> DataFrame:
     """0/1 columns `<column>_<category>`; a category not seen in the fit gives all zeros."""
     dummies = {
-        f"{c}_{value}": F.coalesce((F.col(c).cast("string") == F.lit(value)).cast("int"), F.lit(0))
+        f"{c}_{value}": F.coalesce((F.col(quoted(c)).cast("string") == F.lit(value)).cast("int"), F.lit(0))
         for c, values in categories.items()
         for value in values
     }

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from cellsight.operators.joins import null_safe_join
 from cellsight.operators.quantiles import quantile_values
 from cellsight.session import materialise
-from cellsight.sources.schema import CELL_TYPES, KPI_FIELDS, RATIO_FIELDS, SLICE_TYPES
+from cellsight.sources.schema import CELL_TYPES, KPI_FIELDS, RATIO_FIELDS, SLICE_TYPES, double, quoted
 
 # Evening hours counted as peak, and the small constant that keeps ratios finite.
 PEAK_HOURS = (18, 22)
 EPSILON = 0.001
 
-# New feature -> (left, right, operation).
+# New feature -> (left, right, operation).
 PAIRS = {
     "latency_x_packet_loss": ("latency_ms", "packet_loss_pct", "mul"),
     "latency_per_throughput": ("latency_ms", "throughput_mbps", "ratio"),
@@ -30,7 +30,7 @@ PAIRS = {
     "utilization_per_spectral_efficiency": ("prb_utilization_pct", "spectral_efficiency", "ratio"),
 }
 
-# New feature -> (needed columns, SQL).
+# New feature -> (needed columns, SQL).
 INDICES = {
     "service_degradation_index": (
         ["latency_ms", "packet_loss_pct", "throughput_mbps"],
@@ -100,7 +100,7 @@ def ratio_features(df: DataFrame) -> DataFrame:
 def clean_infinite(df: DataFrame, columns: list[str], fill: float | None = 0.0) -> DataFrame:
     """Infinite and NaN values become null, then `fill`."""
     finite = "IF(isnan({0}) OR abs({0}) = double('Infinity'), NULL, CAST({0} AS DOUBLE))"
-    cleaned = {c: finite.format(c) for c in columns}
+    cleaned = {c: finite.format(quoted(c)) for c in columns}
     if fill is not None:
         cleaned = {c: f"coalesce({sql}, {float(fill)}D)" for c, sql in cleaned.items()}
     return add_sql(df, cleaned)
@@ -130,7 +130,7 @@ def label_encode(df: DataFrame, reference: DataFrame, category: str, code: str)
 def fit_ranges(reference: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Minimum and maximum per column; constant and empty columns are left out."""
     row = reference.selectExpr(
-        *[f"{f}(nanvl(CAST({c} AS DOUBLE), NULL)) AS {c}_{f}" for c in columns for f in ("min", "max")]
+        *[f"{f}({double(c)}) AS {quoted(f'{c}_{f}')}" for c in columns for f in ("min", "max")]
     ).first()
     ranges = {c: (row[f"{c}_min"], row[f"{c}_max"]) for c in columns}
     return {c: r for c, r in ranges.items() if r[0] is not None and r[0] != r[1]}
@@ -168,7 +168,7 @@ def fit_context(reference: DataFrame, columns: list[str] | None = None) -> dict[
     present = [c for c in (columns or CONTEXT_FEATURES) if c in reference.columns]
     quartiles = quantile_values(reference, {f"{c}|{p}": (c, p) for c in present for p in (0.25, 0.5, 0.75)})
     row = reference.selectExpr(
-        *[f"{f}(nanvl(CAST({c} AS DOUBLE), NULL)) AS {c}_{f}" for c in present for f in ("avg", "stddev_samp")]
+        *[f"{f}({double(c)}) AS {quoted(f'{c}_{f}')}" for c in present for f in ("avg", "stddev_samp")]
     ).first()
     stats = {}
     for c in present:

@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cellsight.functions.sampling import uniform
-from cellsight.sources.schema import require_columns
+from cellsight.sources.schema import double, quoted, require_columns
 
 EULER = 0.5772156649
-MAX_SAMPLE = 4_096
+# Rows per tree that a task can hold; callers may pass another bound.
+MAX_SAMPLE = 1_000_000
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size long, depth int"
 # Share of rows pooled beyond the exact need, so that every tree finds its full sample.
 POOL_MARGIN = 1.3
@@ -65,13 +66,13 @@ class Forest:
         return Forest(self.nodes[self.nodes["tree"] < count], self.features, count, self.sample_size, self.seed)
 
 
-def resolve_sample_size(max_samples: str | float | int, rows: int) -> int:
-    """'auto' is 256; a fraction is taken of the rows and refused where it would not fit a task."""
+def resolve_sample_size(max_samples: str | float | int, rows: int, most: int = MAX_SAMPLE) -> int:
+    """'auto' is 256; a fraction is taken of the rows and refused where it would not fit a task of `most` rows."""
     if max_samples == "auto":
         return min(256, rows)
     size = int(max_samples * rows) if isinstance(max_samples, float) else int(max_samples)
-    if size > MAX_SAMPLE:
-        raise ValueError(f"max_samples gives {size} rows per tree; the limit is {MAX_SAMPLE}")
+    if size > most:
+        raise ValueError(f"max_samples gives {size} rows per tree; the limit is {most}")
     return max(2, min(size, rows))
 
 
@@ -84,8 +85,8 @@ def tree_samples(df: DataFrame, features: list[str], key: str, trees: int, sampl
     need = POOL_MARGIN * trees * sample_size + 64 * trees
     copies = min(trees, max(1, math.ceil(need / rows)))
     rate = min(1.0, need / (rows * copies))
-    values = [F.coalesce(F.expr(f"nanvl(CAST({c} AS DOUBLE), NULL)"), F.lit(0.0)).alias(c) for c in features]
-    offered = df.select(F.col(key).cast("string").alias("_key"), *values)
+    values = [F.coalesce(F.expr(double(c)), F.lit(0.0)).alias(c) for c in features]
+    offered = df.select(F.col(quoted(key)).cast("string").alias("_key"), *values)
     if copies > 1:
         offered = offered.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     else:
@@ -102,7 +103,7 @@ def tree_samples(df: DataFrame, features: list[str], key: str, trees: int, sampl
     return (
         pooled.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= sample_size)
-        .select("tree", "draw", "_key", *features)
+        .select("tree", "draw", "_key", *map(quoted, features))
     )
 
 
@@ -141,50 +142,60 @@ def fit_forest(
     trees: int = 200,
     max_samples: str | float | int = "auto",
     seed: int = 42,
+    max_rows_per_tree: int = MAX_SAMPLE,
 ) -> Forest:
-    """Train on a table; only the finished node table returns to the driver."""
+    """Train on a table; only the finished node table returns to the driver.
+
+    A tree grows in one task, so `max_rows_per_tree` bounds the rows that `max_samples` may ask for.
+    """
     require_columns(df, [key, *features], "training table")
     rows = df.select(key).count()
     if rows == 0:
         raise ValueError("cannot train on an empty table")
-    sample_size = resolve_sample_size(max_samples, rows)
+    sample_size = resolve_sample_size(max_samples, rows, max_rows_per_tree)
     limit = max(1, math.ceil(math.log2(max(2, sample_size))))
 
     def grow(batch: pd.DataFrame) -> pd.DataFrame:
         ordered = batch.sort_values(["draw", "_key"], kind="stable")
         tree = int(ordered["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
-        nodes = _grow(ordered[features].to_numpy(dtype=float), limit, rng)
+        nodes = _grow(ordered[places].to_numpy(dtype=float), limit, rng)
         frame = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "size", "depth"])
         frame.insert(0, "tree", tree)
         return frame
 
-    samples = tree_samples(df, features, key, trees, sample_size, seed, rows)
+    places = [f"x{i}" for i in range(len(features))]
+    samples = tree_samples(df, features, key, trees, sample_size, seed, rows).toDF("tree", "draw", "_key", *places)
     nodes = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
     return Forest(nodes, list(features), trees, sample_size, seed)
 
 
 def _pack(forest: Forest) -> dict[str, np.ndarray]:
-    """Node arrays of shape (trees, nodes); leaves point to themselves, so a fixed number of steps ends in one."""
+    """Node arrays of shape (trees, nodes).
+
+    The two children of a node lie side by side, so a step is `child + (value > split)`; a leaf is its own
+    child and splits at infinity, so a fixed number of steps ends in one.
+    """
     groups = [g for _, g in forest.nodes.groupby("tree", sort=True)]
     width = max(len(g) for g in groups)
     packed = {
-        "feature": np.zeros((len(groups), width), np.int32),
+        "feature": np.zeros((len(groups), width), np.intp),
         "split": np.full((len(groups), width), np.inf),
-        "left": np.tile(np.arange(width, dtype=np.int32), (len(groups), 1)),
-        "right": np.tile(np.arange(width, dtype=np.int32), (len(groups), 1)),
+        "child": np.tile(np.arange(width, dtype=np.intp), (len(groups), 1)),
         "length": np.zeros((len(groups), width)),
+        "steps": np.zeros(len(groups), np.intp),
     }
-    steps = 0
     for t, g in enumerate(groups):
-        inner = g["feature"].to_numpy() >= 0
-        at = g["node"].to_numpy()
-        for name in ("feature", "split", "left", "right"):
-            packed[name][t, at[inner]] = g[name].to_numpy()[inner]
-        packed["length"][t, at] = g["depth"].to_numpy() + average_path(g["size"].to_numpy())
-        steps = max(steps, int(g["depth"].max()))
-    packed["steps"] = np.array(steps)
+        g = g.set_index("node")
+        inner = g[g["feature"] >= 0]
+        place = np.zeros(len(g), np.intp)
+        place[inner["left"]] = 1 + 2 * np.arange(len(inner))
+        place[inner["right"]] = 2 + 2 * np.arange(len(inner))
+        at = place[inner.index]
+        packed["feature"][t, at], packed["split"][t, at], packed["child"][t, at] = inner["feature"], inner["split"], place[inner["left"]]
+        packed["length"][t, place[g.index]] = g["depth"].to_numpy() + average_path(g["size"].to_numpy())
+        packed["steps"][t] = g["depth"].max()
     packed["norm"] = np.array(max(float(average_path(forest.sample_size)), 1e-12))
     return packed
 
@@ -196,29 +207,37 @@ def score_matrix(packed: dict[str, np.ndarray], x: np.ndarray, counts: list[int]
     wanted = counts or [trees]
     scores = np.empty((len(x), len(wanted)))
     rows = np.arange(len(x))
+    flat = np.asfortranarray(x, dtype=float).ravel(order="F")
     for t in range(trees):
-        feature, split = packed["feature"][t], packed["split"][t]
-        left, right = packed["left"][t], packed["right"][t]
-        at = np.zeros(len(x), np.int32)
-        for _ in range(int(packed["steps"])):
-            at = np.where(x[rows, feature[at]] <= split[at], left[at], right[at])
-        total += packed["length"][t][at]
+        start, split, child = packed["feature"][t] * len(x), packed["split"][t], packed["child"][t]
+        at = np.zeros(len(x), np.intp)
+        for _ in range(int(packed["steps"][t])):
+            at = child.take(at) + (flat.take(start.take(at) + rows) > split.take(at))
+        total += packed["length"][t].take(at)
         for i, count in enumerate(wanted):
             if count == t + 1:
                 scores[:, i] = np.power(2.0, -total / count / float(packed["norm"]))
     return scores
 
 
+def _shared(forest: Forest, spark: SparkSession):
+    """The packed forest, sent to the executors once per application."""
+    app = spark.sparkContext.applicationId
+    if forest.__dict__.get("_sent", (None, None))[0] != app:
+        forest._sent = (app, spark.sparkContext.broadcast(_pack(forest)))
+    return forest._sent[1]
+
+
 def score_column(forest: Forest, spark: SparkSession) -> Column:
     """Score expression over the feature columns; missing values count as 0."""
-    shared = spark.sparkContext.broadcast(_pack(forest))
+    shared = _shared(forest, spark)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float) for c in columns]), nan=0.0)
         return pd.Series(score_matrix(shared.value, x)[:, 0])
 
-    return score(*[F.col(c).cast("double") for c in forest.features])
+    return score(*[F.col(quoted(c)).cast("double") for c in forest.features])
 
 
 def score_forest(df: DataFrame, forest: Forest, output: str = "score") -> DataFrame:
@@ -228,14 +247,14 @@ def score_forest(df: DataFrame, forest: Forest, output: str = "score") -> DataFr
 
 def score_prefixes(df: DataFrame, forest: Forest, counts: list[int], output: str = "scores") -> DataFrame:
     """Scores of the forests made of the first trees, for several tree counts in one pass, as an array."""
-    shared = df.sparkSession.sparkContext.broadcast(_pack(forest))
+    shared = _shared(forest, df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def scores(*columns: pd.Series) -> pd.Series:
         x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float) for c in columns]), nan=0.0)
         return pd.Series(list(score_matrix(shared.value, x, counts)))
 
-    return df.withColumn(output, scores(*[F.col(c).cast("double") for c in forest.features]))
+    return df.withColumn(output, scores(*[F.col(quoted(c)).cast("double") for c in forest.features]))
 
 
 def predict(scored: DataFrame, offset: float, score: str = "score", output: str = "predicted") -> DataFrame:

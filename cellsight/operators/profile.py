@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cellsight.operators.quantiles import exact_quantiles, quantile_values
 from cellsight.session import materialise
-from cellsight.sources.schema import KPI_KEYWORDS, numeric_columns
+from cellsight.sources.schema import KPI_KEYWORDS, double, literal, numeric_columns, quoted
 
 PROFILE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 CORRELATION_LIMIT = 0.95
@@ -20,9 +20,9 @@ INFORMATION_BINS = 20
 
 
 def _inline(df: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
-    """Turn one wide row into one row per column; `{c}` in a field stands for the column."""
+    """Turn one wide row into one row per column; a field is the ending of a column of the wide row."""
     structs = ", ".join(
-        "struct(" + ", ".join([f"'{c}' AS feature"] + [f"{sql.format(c=c)} AS {n}" for n, sql in fields.items()]) + ")"
+        "struct(" + ", ".join([f"{literal(c)} AS feature"] + [f"{quoted(c + end)} AS {n}" for n, end in fields.items()]) + ")"
         for c in columns
     )
     return df.selectExpr(f"inline(array({structs}))")
@@ -30,7 +30,7 @@ def _inline(df: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFr
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """Rows (keep..., feature, value), missing values left out."""
-    cells = ", ".join(f"struct('{c}' AS feature, nanvl(CAST({c} AS DOUBLE), NULL) AS value)" for c in columns)
+    cells = ", ".join(f"struct({literal(c)} AS feature, {double(c)} AS value)" for c in columns)
     return df.selectExpr(*keep, f"inline(array({cells}))").where("value IS NOT NULL")
 
 
@@ -44,9 +44,9 @@ def kpi_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         "skewness": "skewness({c})",
         "kurtosis": "kurtosis({c})",
     }
-    numbers = df.selectExpr(*[f"nanvl(CAST({c} AS DOUBLE), NULL) AS {c}" for c in columns])
-    wide = numbers.selectExpr(*[f"{sql.format(c=c)} AS {c}__{n}" for c in columns for n, sql in moments.items()])
-    long = _inline(wide, columns, {n: f"{{c}}__{n}" for n in moments})
+    numbers = df.selectExpr(*[f"{double(c)} AS {quoted(c)}" for c in columns])
+    wide = numbers.selectExpr(*[f"{sql.format(c=quoted(c))} AS {quoted(f'{c}__{n}')}" for c in columns for n, sql in moments.items()])
+    long = _inline(wide, columns, {n: f"__{n}" for n in moments})
     quantiles = exact_quantiles(numbers, {c: list(PROFILE_QUANTILES.values()) for c in columns})
     named = quantiles.groupBy("feature").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in PROFILE_QUANTILES.items()]
@@ -63,9 +63,9 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     per pair.  Columns are centred on their means first, so that the sums keep their precision.
     Rows with a missing value in either column do not count for the pair.
     """
-    numbers = df.selectExpr(*[f"nanvl(CAST({c} AS DOUBLE), NULL) AS {c}" for c in columns])
-    means = numbers.selectExpr(*[f"avg({c}) AS {c}" for c in columns]).first()
-    centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
+    numbers = df.selectExpr(*[f"{double(c)} AS c{i}" for i, c in enumerate(columns)])
+    means = numbers.selectExpr(*[f"avg({c}) AS {c}" for c in numbers.columns]).first()
+    centre = np.array([m if m is not None else 0.0 for m in means])
     i, j = np.triu_indices(len(columns))
 
     def products(batches):
@@ -87,7 +87,7 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("i", "j")
         .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb")])
     )
-    names = "array(" + ", ".join(f"'{c}'" for c in columns) + ")"
+    names = "array(" + ", ".join(map(literal, columns)) + ")"
     cov = "sab - try_divide(sa * sb, n)"
     spread = "sqrt(greatest(saa - try_divide(sa * sa, n), 0D) * greatest(sbb - try_divide(sb * sb, n), 0D))"
     return sums.selectExpr(
@@ -140,8 +140,8 @@ def kpi_columns(features: DataFrame, name: str = "feature") -> DataFrame:
 
 def variances(df: DataFrame, columns: list[str]) -> DataFrame:
     """Population variance per column; null for a column without values."""
-    wide = df.selectExpr(*[f"var_pop(nanvl(CAST({c} AS DOUBLE), NULL)) AS {c}" for c in columns])
-    return _inline(wide, columns, {"variance": "{c}"})
+    wide = df.selectExpr(*[f"var_pop({double(c)}) AS {quoted(c)}" for c in columns])
+    return _inline(wide, columns, {"variance": ""})
 
 
 def variance_filter(df: DataFrame, columns: list[str], limit: float = VARIANCE_LIMIT) -> DataFrame:
@@ -186,12 +186,12 @@ def feature_report(
     decisions |= {c: "selected" for c in selected}
     aggregates = []
     for c in df.columns:
-        value = f"nanvl(CAST({c} AS DOUBLE), NULL)" if c in numeric else c
-        aggregates.append(f"count_if({value} IS NULL) AS {c}__missing")
-        aggregates.append(f"{f'var_samp({value})' if c in numeric else 'CAST(NULL AS DOUBLE)'} AS {c}__variance")
+        value = double(c) if c in numeric else quoted(c)
+        aggregates.append(f"count_if({value} IS NULL) AS {quoted(c + '__missing')}")
+        aggregates.append(f"{f'var_samp({value})' if c in numeric else 'CAST(NULL AS DOUBLE)'} AS {quoted(c + '__variance')}")
     types = dict(df.dtypes)
     cells = ", ".join(
-        f"struct('{c}' AS feature, '{types[c]}' AS dtype, {c}__missing AS missing_count, {c}__variance AS variance, "
+        f"struct({literal(c)} AS feature, '{types[c]}' AS dtype, {quoted(c + '__missing')} AS missing_count, {quoted(c + '__variance')} AS variance, "
         f"{str(c in set(kpis)).lower()} AS is_kpi, '{decisions.get(c, 'not_numeric_or_excluded')}' AS decision)"
         for c in df.columns
     )
@@ -240,15 +240,15 @@ def _class_bins(df: DataFrame, columns: list[str], label: str, place) -> DataFra
     batches first, so it returns at most columns x bins x 2 rows.
     """
     numbers = df.where(F.col(label).isNotNull()).selectExpr(
-        f"CAST({label} AS INT) AS _class", *[f"nanvl(CAST({c} AS DOUBLE), NULL) AS {c}" for c in columns]
+        f"CAST({label} AS INT) AS _class", *[f"{double(c)} AS c{i}" for i, c in enumerate(columns)]
     )
 
     def count(batches):
         totals: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             classes = batch["_class"].to_numpy()
-            for c in columns:
-                v = batch[c].to_numpy(dtype=float)
+            for i, c in enumerate(columns):
+                v = batch[f"c{i}"].to_numpy(dtype=float)
                 bins = np.full(len(v), -1)
                 known = ~np.isnan(v)
                 bins[known] = place(c, v[known])
@@ -276,7 +276,7 @@ def histogram_overlap(df: DataFrame, columns: list[str], label: str = "label", b
     The anomalous density is normalised within that range; without anomalies in range it is null.
     """
     row = df.where(F.col(label) == 0).selectExpr(
-        *[f"{f}(nanvl(CAST({c} AS DOUBLE), NULL)) AS {c}__{f}" for c in columns for f in ("min", "max")]
+        *[f"{f}({double(c)}) AS {quoted(f'{c}__{f}')}" for c in columns for f in ("min", "max")]
     ).first()
     ranges = {c: _widen(row[f"{c}__min"], row[f"{c}__max"]) for c in columns if row[f"{c}__min"] is not None}
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellsight.operators.ranking import running_totals
 from cellsight.session import materialise
-from cellsight.sources.schema import number
+from cellsight.sources.schema import literal, number, quoted
 
 # Groups up to this size are bracketed by their minimum and maximum.
 SMALL_GROUP = 20_000
@@ -68,11 +68,11 @@ def _snap(
 ) -> DataFrame:
     """One row (by..., feature, v, side) per row and column; side is 0 for values kept as they are."""
     if small_group is None:
-        pieces = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"), F.lit(0).alias("side")) for c in probs]
+        pieces = [F.struct(F.lit(c).alias("feature"), F.col(quoted(c)).alias("v"), F.lit(0).alias("side")) for c in probs]
         return values.select(*by, F.inline(F.array(*pieces)))
     found = values.groupBy(*by).agg(*_sketches(probs, accuracy))
     ends = [
-        f"IF(n_{c} <= {small_group}, {edge}_{c}, sketch_{c}[{2 * i + k}]) AS {name}_{c}_{i}"
+        f"IF({quoted(f'n_{c}')} <= {small_group}, {quoted(f'{edge}_{c}')}, {quoted(f'sketch_{c}')}[{2 * i + k}]) AS {quoted(f'{name}_{c}_{i}')}"
         for c, ps in probs.items()
         for i in range(len(ps))
         for k, (name, edge) in enumerate((("lo", "min"), ("hi", "max")))
@@ -87,8 +87,8 @@ def _sketches(probs: dict[str, list[float]], accuracy: int) -> list[Column]:
     aggregates = []
     for c, ps in probs.items():
         ends = _array([e for p in ps for e in (max(0.0, p - PAD), min(1.0, p + PAD))])
-        aggregates.append(F.expr(f"percentile_approx({c}, {ends}, {accuracy}) AS sketch_{c}"))
-        aggregates += [F.expr(f"{f}({c}) AS {name}_{c}") for f, name in (("min", "min"), ("max", "max"), ("count", "n"))]
+        aggregates.append(F.expr(f"percentile_approx({quoted(c)}, {ends}, {accuracy}) AS {quoted(f'sketch_{c}')}"))
+        aggregates += [F.expr(f"{f}({quoted(c)}) AS {quoted(f'{name}_{c}')}") for f, name in (("min", "min"), ("max", "max"), ("count", "n"))]
     return aggregates
 
 
@@ -102,10 +102,12 @@ def _snap_batches(values: DataFrame, probs: dict[str, list[float]], accuracy: in
         if found[f"n_{c}"]
     }
 
+    places = {c: f"c{i}" for i, c in enumerate(values.columns)}
+
     def snap(batches):
         for batch in batches:
             for c, bounds in ends.items():
-                v = batch[c].to_numpy(dtype=float)
+                v = batch[places[c]].to_numpy(dtype=float)
                 v = v[~np.isnan(v)]
                 low, high = bounds[0::2], bounds[1::2]
                 # The last bracket that starts at or below a value, and whether the value is inside.
@@ -117,27 +119,29 @@ def _snap_batches(values: DataFrame, probs: dict[str, list[float]], accuracy: in
                 counted = pd.DataFrame({"v": snapped, "side": side}).groupby(["v", "side"], as_index=False).size()
                 yield pd.DataFrame({"feature": c, "v": counted["v"], "side": counted["side"], "n": counted["size"]})
 
-    return values.mapInPandas(snap, "feature string, v double, side int, n long")
+    return values.toDF(*places.values()).mapInPandas(snap, "feature string, v double, side int, n long")
 
 
 def _snapped_value(c: str, n_probs: int) -> str:
     """SQL for (feature, v, side): the value inside a bracket, else the nearest bracket end before it."""
 
     def piece(value: str, side: int) -> str:
-        return f"struct('{c}' AS feature, {value} AS v, {side} AS side)"
+        return f"struct({literal(c)} AS feature, {value} AS v, {side} AS side)"
 
-    steps = [f"WHEN {c} < lo_{c}_0 THEN {piece(f'lo_{c}_0', -1)}"]
+    name = quoted(c)
+    low, high = ([quoted(f"{end}_{c}_{i}") for i in range(n_probs)] for end in ("lo", "hi"))
+    steps = [f"WHEN {name} < {low[0]} THEN {piece(low[0], -1)}"]
     for i in range(n_probs):
         if i:
-            steps.append(f"WHEN {c} < lo_{c}_{i} THEN {piece(f'hi_{c}_{i - 1}', 1)}")
-        steps.append(f"WHEN {c} <= hi_{c}_{i} THEN {piece(c, 0)}")
-    last = piece(f"IF({c} IS NULL, NULL, hi_{c}_{n_probs - 1})", 1)
+            steps.append(f"WHEN {name} < {low[i]} THEN {piece(high[i - 1], 1)}")
+        steps.append(f"WHEN {name} <= {high[i]} THEN {piece(name, 0)}")
+    last = piece(f"IF({name} IS NULL, NULL, {high[-1]})", 1)
     return f"CASE {' '.join(steps)} ELSE {last} END"
 
 
 def _pick(ranked: DataFrame, probs: dict[str, list[float]], by: list[str]) -> DataFrame:
     """Interpolate between the two order statistics around each wanted position."""
-    wanted = F.expr("CASE feature " + " ".join(f"WHEN '{c}' THEN {_array(ps)}" for c, ps in probs.items()) + " END")
+    wanted = F.expr("CASE feature " + " ".join(f"WHEN {literal(c)} THEN {_array(ps)}" for c, ps in probs.items()) + " END")
     position = lambda p: (F.col("total_n") - 1) * p
     first, last = F.col("before_n"), F.col("before_n") + F.col("n") - 1
     touching = F.filter(
@@ -172,7 +176,7 @@ def wide_quantiles(
         wanted.setdefault(column, []).append(prob)
     long = exact_quantiles(df, wanted, by, accuracy)
     cells = [
-        F.expr(f"max(IF(feature = '{c}' AND prob = {float(p)!r}D, value, NULL)) AS `{name}`") for name, (c, p) in named.items()
+        F.expr(f"max(IF(feature = {literal(c)} AND prob = {float(p)!r}D, value, NULL)) AS {quoted(name)}") for name, (c, p) in named.items()
     ]
     return long.groupBy(*by).agg(*cells) if by else long.agg(*cells)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellsight.operators.quantiles import exact_quantiles, quantile_values
 from cellsight.operators.ranking import percentile_rank
-from cellsight.sources.schema import require_columns
+from cellsight.sources.schema import literal, quoted, require_columns
 
 # Risk limits, fusion weights, offsets of the score columns and driver weights.
 RISK_STATUS = [(0.30, "Healthy"), (0.60, "Moderate Risk")]
@@ -141,7 +141,7 @@ def fit_deviation(df: DataFrame, features: list[str] = DRIVER_FEATURES) -> dict[
     """Mean, sample deviation, median and interquartile range; a zero spread becomes 1e-6."""
     present = [c for c in features if c in df.columns]
     quartiles = quantile_values(df, {f"{c}|{p}": (c, p) for c in present for p in (0.25, 0.5, 0.75)})
-    row = df.selectExpr(*[f"{f}({c}) AS {c}__{f}" for c in present for f in ("avg", "stddev_samp")]).first()
+    row = df.selectExpr(*[f"{f}({quoted(c)}) AS {quoted(f'{c}__{f}')}" for c in present for f in ("avg", "stddev_samp")]).first()
     return {
         c: {
             "mean": row[f"{c}__avg"],
@@ -161,10 +161,10 @@ def top_drivers(df: DataFrame, reference: dict[str, dict[str, float]], flag: str
     """
     cells = []
     for position, (c, s) in enumerate(reference.items()):
-        z = f"abs(({c} - {s['mean']!r}D) / {s['sd']!r}D)"
-        robust = f"abs(({c} - {s['median']!r}D) / {s['iqr']!r}D)"
+        z = f"abs(({quoted(c)} - {s['mean']!r}D) / {s['sd']!r}D)"
+        robust = f"abs(({quoted(c)} - {s['median']!r}D) / {s['iqr']!r}D)"
         deviation = f"{DRIVER_WEIGHTS[0]}D * {z} + {DRIVER_WEIGHTS[1]}D * {robust}"
-        cells.append(f"struct(-({deviation}) AS less, {position} AS position, '{c}' AS name)")
+        cells.append(f"struct(-({deviation}) AS less, {position} AS position, {literal(c)} AS name)")
     ranked = f"IF({flag} = 1, slice(array_sort(array({', '.join(cells)})), 1, 3), NULL)"
     staged = df.withColumn("_drivers", F.expr(ranked))
     columns = {}

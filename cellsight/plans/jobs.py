@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from cellsight.operators import clean, forest as iforest, metrics, perturb, profile, rca, recommend, retrieval, scoring, thresholds
 from cellsight.operators.feature_model import fit_feature_model, fit_production_transform
 from cellsight.operators.features import ratio_features
 from cellsight.session import materialise
-from cellsight.sources.schema import KPI_FIELDS
+from cellsight.sources.schema import KPI_FIELDS, quoted
 from cellsight.streaming import live
 
 DEFAULT_CONTAMINATION = 0.05
@@ -28,7 +30,7 @@ SWEEP_CONTAMINATIONS = [0.01, 0.03, 0.05, 0.08, 0.10, 0.15]
 
 def _score_with_forest(prepared: DataFrame, features: list[str], key: str, trees: int, contamination: float, seed: int = 42):
     forest = iforest.fit_forest(prepared, features, key, trees=trees, seed=seed)
-    scored = materialise(iforest.score_forest(prepared.select(key, *features), forest).select(key, "score"), "scores")
+    scored = materialise(iforest.score_forest(prepared.select(*map(quoted, [key, *features])), forest).select(key, "score"), "scores")
     offset = scoring.fit_offsets(scored, [contamination])[f"score_{round(contamination * 100)}"]
     return forest, iforest.predict(scored, offset), offset
 
@@ -37,7 +39,7 @@ def detect_job(raw: DataFrame, key: str = "record_id", trees: int = 200, contami
     """Clean, impute, scale, encode, select features, train, score and label."""
     cleaned = materialise(clean.clean(raw), "cleaned")
     preparation = clean.fit_preparation(cleaned)
-    prepared = materialise(preparation.apply(cleaned).select(key, *preparation.feature_names()), "prepared")
+    prepared = materialise(preparation.apply(cleaned).select(*map(quoted, [key, *preparation.feature_names()])), "prepared")
     selected, report = profile.select_features(prepared.drop(key))
     _, predicted, _ = _score_with_forest(prepared, selected, key, trees, contamination)
     table = scoring.score_table(scoring.risk_normalize(predicted), key, predicted="predicted")
@@ -52,7 +54,7 @@ def train_test_job(raw: DataFrame, key: str = "record_id", sample: int = 2_000,
     fences = clean.fit_fences(parts["train"], KPI_FIELDS)
     flagged = clean.flag_outliers(parts["train"], fences)
     train, test = (materialise(preparation.apply(parts[n]), n) for n in ("train", "test"))
-    selected, report = profile.select_features(train.select(*preparation.feature_names()))
+    selected, report = profile.select_features(train.select(*map(quoted, preparation.feature_names())))
     forest = iforest.fit_forest(train, selected, key, trees=trees)
     trained = iforest.score_forest(train, forest).select(key, "score")
     offset = scoring.fit_offsets(trained, [DEFAULT_CONTAMINATION])["score_5"]
@@ -86,9 +88,8 @@ def profile_job(kpi: DataFrame, columns: list[str] = KPI_FIELDS) -> dict[str, Da
     }
 
 
-def _scored_sets(kpi: DataFrame, sets: DataFrame, features: list[str], key: str, trees: int) -> DataFrame:
-    """Score labelled sets with a forest that was trained on the unchanged rows."""
-    forest = iforest.fit_forest(kpi, features, key, trees=trees)
+def _scored_sets(sets: DataFrame, forest: iforest.Forest) -> DataFrame:
+    """Scores of labelled sets, with what the evaluation needs of them."""
     keep = ["dataset_name", "anomaly_rate", "anomaly_family", "operating_regime", F.col("ground_truth_label").alias("label"), "copy_key"]
     return materialise(iforest.score_forest(sets, forest).select(*keep, "score"), "scored_sets")
 
@@ -103,10 +104,19 @@ def robustness_job(kpi: DataFrame, key: str = "record_id", rates: list[float] =
     """Stress sets at several anomaly rates against all threshold methods."""
     base = ratio_features(kpi)
     features = [*KPI_FIELDS, "throughput_per_user", "spectral_efficiency"]
-    scored = _scored_sets(base, perturb.stress_sets(base, rates, key), features, key, trees)
+    # The forest is trained on the unchanged rows; its own decision is one more threshold.
+    forest = iforest.fit_forest(base, features, key, trees=trees)
+    trained = iforest.score_forest(base, forest).select("score")
+    offset = scoring.fit_offsets(trained, [DEFAULT_CONTAMINATION])[f"score_{round(DEFAULT_CONTAMINATION * 100)}"]
+    scored = _scored_sets(perturb.stress_sets(base, rates, key), forest)
     mixture = thresholds.fit_mixture(scored)
     with_posterior = materialise(thresholds.mixture_posterior(scored, mixture), "posterior")
-    cuts = thresholds.adaptive_thresholds(scored)
+    cuts = materialise(thresholds.adaptive_thresholds(scored), "cuts")
+    # A row is an anomaly above the offset, not at it.
+    own = cuts.select("dataset_name").distinct().withColumns(
+        {"method": F.lit("model_predict"), "threshold": F.lit(math.nextafter(-offset, math.inf))}
+    )
+    cuts = cuts.unionByName(own)
     by_score = metrics.evaluate(scored, cuts)
     by_mixture = _mixture_metrics(with_posterior)
     ranking = by_score.select("dataset_name", "roc_auc", "pr_auc").distinct()
@@ -150,7 +160,7 @@ def model_select_job(
     power = materialise(profile.feature_power(prepared, model.names(), "ground_truth_label"), "power")
     chosen = [row["feature"] for row in profile.select_by_power(power, model.base).collect()]
     clean_rows = model.apply(kpi)
-    scored = _scored_sets(clean_rows, prepared, chosen, key, trees)
+    scored = _scored_sets(prepared, iforest.fit_forest(clean_rows, chosen, key, trees=trees))
     # The scores of all contaminations differ by constants, so one ranking serves every column.
     fused = scoring.score_fusion(scored, ["score"] * 5, by=["dataset_name"])
     names = {"raw_score": "score", **{f: f for f in ("weighted_average", "rank_aggregation", "percentile_max")}}
@@ -182,7 +192,7 @@ def param_sweep_job(
     """
     base = ratio_features(kpi)
     features = [*KPI_FIELDS, "throughput_per_user", "spectral_efficiency"]
-    sets = materialise(perturb.stress_sets(base, rates, key).select("ground_truth_label", *features), "sweep_sets")
+    sets = materialise(perturb.sweep_sets(base, rates, key).select("ground_truth_label", *features), "sweep_sets")
     counts = sorted(tree_counts)
     scored, shifts = None, []
     for size in sample_sizes:
@@ -231,7 +241,7 @@ def threshold_job(
     base = ratio_features(kpi)
     features = [*KPI_FIELDS, "throughput_per_user", "spectral_efficiency"]
     sets = _labelled_sets(base, rates, regimes, key)
-    scored = _scored_sets(base, sets, features, key, trees)
+    scored = _scored_sets(sets, iforest.fit_forest(base, features, key, trees=trees))
     sweep = materialise(metrics.with_average_rows(metrics.threshold_sweep(scored)), "sweep")
     best = materialise(metrics.constrained_best(sweep.where("dataset_name = 'AVERAGE'")), "best")
     percentile = best.first()["threshold_percentile"]
@@ -242,7 +252,7 @@ def production_job(kpi: DataFrame, key: str = "record_id", trees: int = 350, per
     """Transform, score, decide by mixture posterior or percentile, explain by drivers, summarise."""
     cleaned = materialise(clean.clean(kpi), "cleaned")
     transform = fit_production_transform(cleaned)
-    prepared = materialise(transform.apply(cleaned).select(key, *transform.names()), "production_features")
+    prepared = materialise(transform.apply(cleaned).select(*map(quoted, [key, *transform.names()])), "production_features")
     forest = iforest.fit_forest(prepared, transform.names(), key, trees=trees)
     scored = materialise(iforest.score_forest(prepared, forest), "production_scores")
     fused = scored.withColumn("ensemble_score", F.col("score"))
@@ -263,9 +273,11 @@ def production_job(kpi: DataFrame, key: str = "record_id", trees: int = 350, per
     return {"scores": output, "summary": scoring.anomaly_summary(output), "feature_report": report}
 
 
-def live_job(lines: DataFrame, model: live.LiveModel, now: str | None = None) -> DataFrame:
-    """The live path over a batch of JSON lines."""
-    return live.process(lines, model, now)
+def live_job(kpi: DataFrame, source: str, sink: str, checkpoint: str, now: str | None = None) -> DataFrame:
+    """Fit the live model on reference rows and stream the JSON lines of a folder through it; returns the stored results."""
+    spark = kpi.sparkSession
+    live.run_stream(spark, source, sink, checkpoint, live.fit_live_model(kpi), now).awaitTermination()
+    return spark.read.parquet(f"{sink}/results")
 
 
 def index_job(documents: DataFrame, path: str) -> DataFrame:
@@ -280,22 +292,20 @@ def index_job(documents: DataFrame, path: str) -> DataFrame:
 def incident_job(incidents: DataFrame, documents: DataFrame, k: int = retrieval.DEFAULT_K) -> DataFrame:
     """Incidents with actions and supporting chunks.
 
-    The searched text holds the class of an incident (cause, severity, slice, affected KPIs), so
-    equal texts are searched once and the found context is joined back to every incident.
+    The searched text holds cause, severity, slice, affected KPIs and explanation of an incident; equal
+    texts are searched once and the found context is joined back to every incident.
     """
     chunks = retrieval.chunk_fixed(documents).withColumnRenamed("chunk_text", "text")
     chunks = materialise(chunks.withColumn("chunk_id", F.concat_ws("#", "document_id", "page_number", "chunk_no")), "chunks")
     embedder = retrieval.fit_embedder(chunks, "text")
     index = materialise(retrieval.embed_text(chunks, embedder), "index")
-    classes = ["root_cause", "severity", "network_slice", "affected_kpis"]
 
-    def class_key(df: DataFrame) -> DataFrame:
-        keyed = retrieval.query_text(df.withColumn("_full", F.col("explanation")).withColumn("explanation", F.lit("")), output="text")
-        return keyed.withColumn("query_id", F.md5("text")).withColumn("explanation", F.col("_full")).drop("_full")
+    def keyed_text(df: DataFrame) -> DataFrame:
+        return retrieval.query_text(df, output="text").withColumn("query_id", F.md5("text"))
 
-    texts = class_key(incidents.select(*classes).distinct().withColumn("explanation", F.lit("")))
+    texts = keyed_text(incidents).select("query_id", "text").dropDuplicates(["query_id"])
     vectors = materialise(retrieval.embed_text(texts, embedder).select("query_id", "embedding"), "queries")
     found = retrieval.retrieve_shape(retrieval.retrieve(vectors, index, k))
     context = retrieval.context_text(found, ["query_id"])
-    keyed = class_key(recommend.recommend(incidents)).drop("text")
+    keyed = keyed_text(recommend.recommend(incidents)).drop("text")
     return retrieval.with_context(keyed, context, ["query_id"])

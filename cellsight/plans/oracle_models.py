@@ -21,7 +21,7 @@ _FOUND = """found AS (SELECT query_id, CAST(rank AS INT) AS rank, score, source
  source || '.v' || CAST(doc_id AS VARCHAR) AS document_id, CAST(n_chars + 1 AS INT) AS page_number, text
 FROM matches JOIN documents ON item_id = doc_id WHERE rank <= 3)"""
 _CONTEXTS = r"""contexts AS (SELECT query_id, md5(string_agg('Source: ' || source_pdf || chr(10) || 'Page: ' || CAST(page_number AS VARCHAR) || chr(10) || chr(10) || text,
- chr(10) || chr(10) || '--------------------------------' || chr(10) || chr(10) ORDER BY rank)) AS body FROM found WHERE query_id <> 7 GROUP BY 1)"""
+ chr(10) || chr(10) || '--------------------------------' || chr(10) || chr(10) ORDER BY rank)) AS body FROM found GROUP BY 1)"""
 
 
 def _with(sql: str, *ctes: str) -> str:

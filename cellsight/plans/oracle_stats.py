@@ -329,8 +329,7 @@ ORACLE = {
     ),
     "feature_power_join": query(
         "SELECT feature, coalesce(place, (SELECT count(DISTINCT feature) FROM long) + 1) AS importance_rank, coalesce(" + r("discriminative_score") + ", 0) AS discriminative_power "
-        "FROM (SELECT DISTINCT feature FROM long) LEFT JOIN (SELECT feature, discriminative_score, row_number() OVER (ORDER BY discriminative_score DESC, feature) AS place FROM power "
-        "WHERE feature IN ('throughput_mbps', 'latency_ms', 'packet_loss_pct', 'handover_count')) USING (feature)",
+        "FROM (SELECT DISTINCT feature FROM long) LEFT JOIN (SELECT feature, discriminative_score, row_number() OVER (ORDER BY discriminative_score DESC, feature) AS place FROM power) USING (feature)",
         *POWER,
     ),
     "confusion": query(f"SELECT dataset_name, method, {r('threshold')} AS threshold, tn, fp, fn, tp FROM matrix", *EVALUATION),
@@ -366,8 +365,8 @@ ORACLE = {
     ),
     "constrained_best": query(
         f"SELECT threshold_percentile, {_rounded(['precision', 'recall', 'f1', 'roc_auc'])} FROM (SELECT threshold_percentile, avg(precision) AS precision, avg(recall) AS recall, "
-        "avg(f1) AS f1, avg(roc_auc) AS roc_auc FROM swept GROUP BY 1) ORDER BY recall >= 0.1 DESC, CASE WHEN recall >= 0.1 THEN precision ELSE recall END DESC, f1 DESC, "
-        "CASE WHEN recall >= 0.1 THEN recall ELSE precision END DESC, roc_auc DESC, threshold_percentile LIMIT 1",
+        "avg(f1) AS f1, avg(roc_auc) AS roc_auc FROM swept GROUP BY 1) ORDER BY recall >= 0.75 DESC, CASE WHEN recall >= 0.75 THEN precision ELSE recall END DESC, f1 DESC, "
+        "CASE WHEN recall >= 0.75 THEN recall ELSE precision END DESC, roc_auc DESC, threshold_percentile LIMIT 1",
         *SWEEP, _SWEPT,
     ),
     "method_comparison": query(f"SELECT method, {_means([*_SIX, 'fp', 'fn', 'tp'])} FROM measured GROUP BY method", *EVALUATION),
@@ -382,7 +381,7 @@ ORACLE = {
         f"SELECT dataset_name, anomaly_family, count, {r('recall')} AS recall, {r('mean_score')} AS mean_score, missed FROM families", SCORED, CUTS, _FAMILIES
     ),
     "failure_ranking": query(
-        f"SELECT dataset_name, anomaly_family, {r('recall')} AS recall, missed FROM families ORDER BY families.recall, families.missed DESC, dataset_name, anomaly_family LIMIT 5",
+        f"SELECT dataset_name, anomaly_family, {r('recall')} AS recall, missed FROM families ORDER BY families.recall, families.missed DESC, dataset_name, anomaly_family LIMIT 12",
         SCORED, CUTS, _FAMILIES,
     ),
     "metric_gains": query(

@@ -393,7 +393,7 @@ ORACLE = {
     "pair_features": query(f"SELECT record_id, {', '.join(f'CAST({s} AS DOUBLE) AS {n}' for n, s in PAIRS.items())} FROM basic", RATIOS),
     "composite_indices": query(f"SELECT record_id, {', '.join(f'{s} AS {n}' for n, s in INDICES.items())} FROM basic", RATIOS),
     "context_z": _z(_CONTEXT, "basic"),
-    "reference_stats_join": _z(["latency_ms", "throughput_mbps"], "basic WHERE cell_type = 'macro'"),
+    "reference_stats_join": _z(_CONTEXT, "basic WHERE cell_type = 'macro'"),
     "drop_id_time": query("SELECT * EXCLUDE (record_id, timestamp, cell_id) FROM kpi"),
     "split_types": query(
         " UNION ALL ".join(

@@ -9,27 +9,24 @@ from pyspark.sql import DataFrame, functions as F
 from cellsight.operators import forest as iforest, perturb, rca, recommend, retrieval, scoring
 from cellsight.operators.features import ratio_features
 from cellsight.plans import jobs
-from cellsight.plans.common import Spark, explained, joined, kpi_view, labelled_kpi, materialise, rounded, scored_view, table, time_text
-from cellsight.plans.queries_tables import NOW, _json_lines, _pages, _stored_lines
+from cellsight.plans.common import Spark, explained, kpi_view, labelled_kpi, materialise, rounded, scored_view, table, time_text
+from cellsight.plans.queries_tables import NOW, _pages, _stored_lines
 from cellsight.session import scratch_path
 from cellsight.sources import readers, sinks
 from cellsight.sources.schema import KPI_FIELDS
 from cellsight.streaming import live
 
-TREES = 50
-
-
 # Forest
 
 
 def iforest_fit(spark: Spark, sf_dir: str) -> DataFrame:
-    forest = iforest.fit_forest(kpi_view(spark, sf_dir), KPI_FIELDS, trees=TREES)
+    forest = iforest.fit_forest(kpi_view(spark, sf_dir), KPI_FIELDS)
     return spark.createDataFrame(forest.nodes, iforest.NODE_SCHEMA)
 
 
 def _scored_by_forest(spark: Spark, sf_dir: str) -> DataFrame:
     rows = kpi_view(spark, sf_dir)
-    return iforest.score_forest(rows, iforest.fit_forest(rows, KPI_FIELDS, trees=TREES)).select("record_id", "score")
+    return iforest.score_forest(rows, iforest.fit_forest(rows, KPI_FIELDS)).select("record_id", "score")
 
 
 def iforest_score(spark: Spark, sf_dir: str) -> DataFrame:
@@ -42,7 +39,7 @@ def iforest_predict(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def param_sweep(spark: Spark, sf_dir: str) -> DataFrame:
-    return jobs.param_sweep_job(kpi_view(spark, sf_dir), tree_counts=[10, 20], sample_sizes=[128, 256], contaminations=[0.01, 0.05], rates=[0.05, 0.15])
+    return jobs.param_sweep_job(kpi_view(spark, sf_dir))
 
 
 # Text and vectors
@@ -127,7 +124,7 @@ def index_table(spark: Spark, sf_dir: str) -> DataFrame:
 def incident_context_text(spark: Spark, sf_dir: str) -> DataFrame:
     """Action text and context of each incident, as digests; the context is found by the handover count."""
     found = retrieval.retrieve_shape(retrieval.retrieve(_queries(spark, sf_dir), _index(spark, sf_dir)))
-    contexts = retrieval.context_text(found, ["query_id"]).where("query_id <> 7")
+    contexts = retrieval.context_text(found, ["query_id"])
     contexts = contexts.withColumn("supporting_documentation", F.md5("supporting_documentation"))
     rows = explained(spark, sf_dir).where(F.col("root_cause") != rca.NORMAL)
     incidents = recommend.recommend(rows).select("record_id", "recommendations", F.col("handover_count").cast("int").alias("query_id"))
@@ -172,14 +169,16 @@ def stream_kpi_source(spark: Spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _run_live(spark: Spark, sf_dir: str, model: live.LiveModel) -> str:
+def _run_live(spark: Spark, sf_dir: str, model: live.LiveModel, override_compliant: bool = True) -> str:
     sink = scratch_path(spark, "live")
-    live.run_stream(spark, _stored_lines(spark, sf_dir), sink, scratch_path(spark, "checkpoint"), model, NOW).awaitTermination()
+    live.run_stream(
+        spark, _stored_lines(spark, sf_dir), sink, scratch_path(spark, "checkpoint"), model, NOW, override_compliant
+    ).awaitTermination()
     return sink
 
 
 def stream_score(spark: Spark, sf_dir: str) -> DataFrame:
-    model = live.fit_live_model(kpi_view(spark, sf_dir), trees=TREES)
+    model = live.fit_live_model(kpi_view(spark, sf_dir))
     rows = spark.read.parquet(f"{_run_live(spark, sf_dir, model)}/results")
     return rounded(
         rows.groupBy("anomaly_detection.anomaly_status").agg(
@@ -189,18 +188,19 @@ def stream_score(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def stream_rca(spark: Spark, sf_dir: str) -> DataFrame:
-    """Every accepted record explained, by a model whose threshold all scores exceed."""
-    model = replace(live.fit_live_model(kpi_view(spark, sf_dir), trees=5), threshold=-1e9)
-    path = _stored_lines(spark, sf_dir)
-    records = readers.accepted(readers.scan_json_records(spark, path))
-    scored = live.score_records(live.enrich_defaults(records, NOW), model, override_compliant=False)
-    rows = live.explain_records(scored, model)
-    return rows.select("cell_id", "throughput_mbps", "root_cause", "severity", joined("affected"), joined("signals", " | "), "score_breakdown")
+    """Every accepted record of a stream run explained, by a model whose threshold all scores exceed."""
+    model = replace(live.fit_live_model(kpi_view(spark, sf_dir)), threshold=-1e9)
+    rows = spark.read.parquet(f"{_run_live(spark, sf_dir, model, override_compliant=False)}/results")
+    return rows.select(
+        "cell_id", "input_kpis.throughput_mbps", "rca.root_cause", "rca.severity",
+        F.array_join("rca.affected_kpis", ", ").alias("affected"), F.array_join("rca.matched_signals", " | ").alias("signals"),
+        F.expr("array_join(transform(map_entries(rca.score_breakdown), e -> concat(e.key, '=', e.value)), '; ')").alias("score_breakdown"),
+    )
 
 
 def stream_sink(spark: Spark, sf_dir: str) -> DataFrame:
     """Stored result and rejected rows of a stream run."""
-    model = live.fit_live_model(kpi_view(spark, sf_dir), trees=5)
+    model = live.fit_live_model(kpi_view(spark, sf_dir))
     sink = _run_live(spark, sf_dir, model)
     results = spark.read.parquet(f"{sink}/results").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("results"))
     rejected = spark.read.parquet(f"{sink}/rejected").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("rejected"))
@@ -211,11 +211,11 @@ def stream_sink(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def detect_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return jobs.detect_job(kpi_view(spark, sf_dir), trees=TREES)["scores"]
+    return jobs.detect_job(kpi_view(spark, sf_dir))["scores"]
 
 
 def train_test_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return jobs.train_test_job(kpi_view(spark, sf_dir), trees=TREES)["scores"]
+    return jobs.train_test_job(kpi_view(spark, sf_dir))["scores"]
 
 
 def rca_job(spark: Spark, sf_dir: str) -> DataFrame:
@@ -227,11 +227,11 @@ def profile_job(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def robustness_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(jobs.robustness_job(kpi_view(spark, sf_dir), rates=[0.05, 0.20], trees=TREES)["methods"])
+    return rounded(jobs.robustness_job(kpi_view(spark, sf_dir))["methods"])
 
 
 def model_select_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(jobs.model_select_job(kpi_view(spark, sf_dir), rates=[0.05], regimes=[], trees=TREES)["methods"])
+    return rounded(jobs.model_select_job(kpi_view(spark, sf_dir))["methods"])
 
 
 def param_sweep_job(spark: Spark, sf_dir: str) -> DataFrame:
@@ -239,16 +239,16 @@ def param_sweep_job(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def threshold_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(jobs.threshold_job(kpi_view(spark, sf_dir), rates=[0.05], regimes=["rural_cells", "urban_cells"], trees=TREES)["sweep"])
+    return rounded(jobs.threshold_job(kpi_view(spark, sf_dir))["sweep"])
 
 
 def production_job(spark: Spark, sf_dir: str) -> DataFrame:
-    return jobs.production_job(kpi_view(spark, sf_dir), trees=TREES)["scores"]
+    return jobs.production_job(kpi_view(spark, sf_dir))["scores"]
 
 
 def live_job(spark: Spark, sf_dir: str) -> DataFrame:
-    model = live.fit_live_model(kpi_view(spark, sf_dir), trees=TREES)
-    rows = jobs.live_job(_json_lines(spark, sf_dir), model, NOW)
+    """Records per status and cause of a stream run."""
+    rows = jobs.live_job(kpi_view(spark, sf_dir), _stored_lines(spark, sf_dir), scratch_path(spark, "live"), scratch_path(spark, "checkpoint"), NOW)
     return rows.groupBy("anomaly_detection.anomaly_status", "rca.root_cause").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -209,7 +209,7 @@ def sweep_average_row(spark: Spark, sf_dir: str) -> DataFrame:
 
 def constrained_best(spark: Spark, sf_dir: str) -> DataFrame:
     rows = materialise(metrics.with_average_rows(metrics.threshold_sweep(scored_view(spark, sf_dir))), "sweep")
-    best = metrics.constrained_best(rows.where("dataset_name = 'AVERAGE'"), 0.10)
+    best = metrics.constrained_best(rows.where("dataset_name = 'AVERAGE'"))
     return rounded(best.select("threshold_percentile", "precision", "recall", "f1", "roc_auc"))
 
 
@@ -243,7 +243,7 @@ def family_recall(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def failure_ranking(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(metrics.worst_families(_families(spark, sf_dir), 5).select("dataset_name", "anomaly_family", "recall", "missed"))
+    return rounded(metrics.worst_families(_families(spark, sf_dir)).select("dataset_name", "anomaly_family", "recall", "missed"))
 
 
 def metric_gains(spark: Spark, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def json_records(spark: Spark, sf_dir: str) -> DataFrame:
 def model_table_io(spark: Spark, sf_dir: str) -> DataFrame:
     """Nodes per tree of a stored and reloaded forest, with the differences to the original."""
     path = scratch_path(spark, "forest")
-    forest = fit_forest(kpi_view(spark, sf_dir), KPI_FIELDS, trees=20)
+    forest = fit_forest(kpi_view(spark, sf_dir), KPI_FIELDS)
     forest.write(spark, path)
     loaded = Forest.read(spark, path)
     original = spark.createDataFrame(forest.nodes)
@@ -226,7 +226,7 @@ def context_z(spark: Spark, sf_dir: str) -> DataFrame:
 
 def reference_stats_join(spark: Spark, sf_dir: str) -> DataFrame:
     rows = _basic(spark, sf_dir)
-    stats = feat.fit_context(rows.where("cell_type = 'macro'"), ["latency_ms", "throughput_mbps"])
+    stats = feat.fit_context(rows.where("cell_type = 'macro'"))
     scored = feat.context_z(rows, stats)
     return rounded(scored.select("record_id", *[c for c in scored.columns if c.endswith("_z")]))
 
@@ -415,9 +415,9 @@ def calibration_join(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def feature_power_join(spark: Spark, sf_dir: str) -> DataFrame:
-    """Power of four KPIs attached to the list of all KPIs."""
+    """Power of the KPIs attached to the list of all KPIs."""
     rows = labelled_kpi(spark, sf_dir)
-    power = profile.feature_power(rows, KPI_FIELDS[:4])
+    power = profile.feature_power(rows, KPI_FIELDS)
     names = profile.variances(rows, KPI_FIELDS).select("feature")
     return rounded(profile.power_report(names, power))
 

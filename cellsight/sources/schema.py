@@ -89,9 +89,24 @@ def first_present(df: DataFrame, names: list[str]) -> str | None:
     return next((name for name in names if name in df.columns), None)
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text and for `F.col`, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A text for SQL, with quotes and backslashes escaped."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def double(name: str) -> str:
+    """SQL for a column as double with NaN turned into null."""
+    return f"nanvl(CAST({quoted(name)} AS DOUBLE), NULL)"
+
+
 def number(name: str) -> Column:
     """A column as double with NaN turned into null, so that missing never compares as true."""
-    value = F.col(name).cast("double")
+    value = F.col(quoted(name)).cast("double")
     return F.when(~F.isnan(value), value)
 
 
