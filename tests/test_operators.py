@@ -156,8 +156,9 @@ def test_forest_is_reproducible_and_ranks_outliers(spark, sf_dir):
 def test_path_length():
     assert forest.average_path(1) == 0 and forest.average_path(2) == 1
     assert forest.average_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
+    assert forest.resolve_sample_size(0.75, 1_000_000) == 750_000 and forest.resolve_sample_size(1.0, 40_000) == 40_000
     with pytest.raises(ValueError):
-        forest.resolve_sample_size(0.75, 1_000_000)
+        forest.resolve_sample_size(0.75, 1_000_000, most=4_096)
 
 
 def test_outliers_scaling_and_categories(spark):
@@ -267,3 +268,32 @@ def test_sampled_rows_split_into_both_parts(spark):
     split = perturb.train_test_split(perturb.sample_n(rows, 2_000), seed="42|split")
     counts = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     assert counts["train"] + counts["test"] == 2_000 and 0.15 < counts["test"] / 2_000 < 0.25
+
+
+def test_column_names_of_any_characters(spark):
+    names = ["a b", "c-d.e", "it's", "q`r"]
+    df = spark.createDataFrame([(float(i), i * 2.0, float(i % 3), None if i == 4 else 1.0 * i * i) for i in range(9)], "w double, x double, y double, z double").toDF(*names)
+    assert quantiles.quantile_values(df, {c: (c, 0.5) for c in names}) == {"a b": 4.0, "c-d.e": 8.0, "it's": 1.0, "q`r": 17.0}
+    grouped = df.withColumn("g", F.lit(1))
+    assert {r.feature: r.value for r in quantiles.exact_quantiles(grouped, {c: [0.5] for c in names}, ["g"]).collect()}["q`r"] == 17.0
+    assert {r.feature for r in profile.variances(df, names).collect()} == set(names)
+    assert profile.corr_matrix(df, names).where("feature_a = 'a b' AND feature_b = 'c-d.e'").first()["corr"] == pytest.approx(1.0)
+    report = profile.feature_report(df, names, [], [], [])
+    assert {r.feature: r.missing_count for r in report.collect()} == {"a b": 0, "c-d.e": 0, "it's": 0, "q`r": 1}
+    prepared = clean.impute(df, clean.fit_medians(df, names))
+    assert clean.scale(prepared, clean.fit_scaler(prepared, names)).columns == names
+
+
+def test_stress_sets_mix_regimes_and_mark_faults(spark, sf_dir):
+    base = features.ratio_features(kpi_view(spark, sf_dir))
+    sets = perturb.stress_sets(base, [0.05, 0.4]).groupBy("dataset_name", "operating_regime", "ground_truth_label").count().collect()
+    total = base.count()
+    for name, rate in (("stress_test_dataset_rate_0p05", 0.05), ("stress_test_dataset_rate_0p4", 0.4)):
+        found = {(r.operating_regime, r.ground_truth_label): r["count"] for r in sets if r.dataset_name == name}
+        assert sum(found.values()) == total
+        assert set(found) == {(perturb.INJECTED_REGIME, 1), *((regime, 0) for regime in perturb.REGIME_SHARES)}
+        assert found[perturb.INJECTED_REGIME, 1] / total == pytest.approx(rate, abs=0.01)
+        for regime, share in perturb.REGIME_SHARES.items():
+            assert found[regime, 0] / total == pytest.approx(share * (1 - rate), abs=0.01)
+    swept = perturb.sweep_sets(base, [0.15]).groupBy("anomaly_family").count().collect()
+    assert {r.anomaly_family for r in swept} == {"Normal", *perturb.SWEEP_PATTERNS}
