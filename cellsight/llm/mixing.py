@@ -55,21 +55,58 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return leveled.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
+def _drawn(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """Add the source's columns, the rate of copies and, where a copy is left to chance, the place in the draw."""
+    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    rated = null_safe_join(rows, targets, ["source"]).withColumns({"rate": rate, "u": uniform(seed)})
+    inclusion = F.col("rate") - F.floor("rate")
+    odds = (F.col("u") / (1 - F.col("u"))) * (1 - inclusion) / F.nullif(inclusion, F.lit(0.0))
+    return rated.withColumn("draw", F.when((F.col("size") > 0) & (inclusion > 0), odds)).withColumn("place", F.struct("draw", ROW))
+
+
 def _fitting(rows: DataFrame, room: str) -> DataFrame:
     """Mark the rows whose running size in the order of the draw stays within the source's room."""
     totals = running_totals(rows, ["source"], ["draw", ROW], ["size"])
     return totals.select(*rows.columns, (F.col("before_size") + F.col("size") <= F.col(room)).alias("fits"))
 
 
-def _open(rows: DataFrame, room: str) -> DataFrame:
-    """Per source: the words that the marked rows leave open."""
+def _ends(rows: DataFrame, room: str, number: int) -> DataFrame:
+    """Per source: the words that the marked rows leave open, and the place of the last marked row.
+
+    Sizes are positive, so the marked rows are a prefix of the order and the place says which they are.
+    """
     taken = F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))
-    return rows.groupBy("source").agg((F.first(room) - taken).alias("gap"))
+    last = F.max(F.when(F.col("fits"), F.struct("draw", ROW)))
+    return rows.groupBy("source").agg((F.first(room) - taken).alias(f"gap_{number}"), last.alias(f"end_{number}"))
+
+
+def _draw_limits(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """The targets with what tells, row by row, whether the draw takes it: gap_1, end_1, end_2 and last_row."""
+    drawn = _drawn(rows.select(ROW, "id", "source", "size", "text_md5"), targets, seed).where("draw IS NOT NULL")
+    room = F.col("target") - F.floor("rate") * F.col("source_size")
+    first = materialise(_fitting(drawn.select(ROW, "source", "size", "draw", room.alias("room")), "room"), "draw")
+    ends = materialise(_ends(first, "room", 1), "ends")
+    rest = null_safe_join(first.where("NOT fits").drop("fits"), ends, ["source"]).where("size <= gap_1")
+    second = materialise(_fitting(rest.select(ROW, "source", "size", "draw", "gap_1"), "gap_1"), "draw")
+    ends = null_safe_join(ends, _ends(second, "gap_1", 2), ["source"], "left")
+    ends = materialise(ends.withColumn("gap_2", F.coalesce("gap_2", "gap_1")), "ends")
+    left = null_safe_join(first.where("NOT fits").withColumn("place", F.struct("draw", ROW)), ends, ["source"])
+    left = left.where(~_taken_second() & F.expr("abs(gap_2 - size) < gap_2"))
+    last = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap_2") - F.col("size")), "draw", ROW))[ROW].alias("last_row"))
+    limits = null_safe_join(null_safe_join(targets, ends, ["source"], "left"), last, ["source"], "left")
+    return materialise(limits, "limits")
+
+
+def _taken_second() -> Column:
+    return F.coalesce((F.col("size") <= F.col("gap_1")) & (F.col("place") <= F.col("end_2")), F.lit(False))
 
 
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED,
                carry: list[str] | None = None, **parameters) -> DataFrame:
-    """Per row: _id, _source, size, source_size, target, copies and taken, with the columns in `carry` as _c0, _c1, ..."""
+    """Per row: _id, _source, size, source_size, target, copies and taken, with the columns in `carry` as _c0, _c1, ...
+
+    The draw is reduced to a few values per source, so the rows themselves, and what they carry, are not shuffled.
+    """
     text = F.col(f"`{text_col}`")
     carried = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry or [])]
     rows = materialise(
@@ -82,25 +119,10 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
         "sizes",
     )
     targets = materialise(source_targets(rows.select("source", "size"), **parameters), "targets")
-    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    wanted = null_safe_join(rows, targets, ["source"]).withColumns({"rate": rate, "u": uniform(seed)})
-    inclusion = F.col("rate") - F.floor("rate")
-    odds = F.when(inclusion > 0, (F.col("u") / (1 - F.col("u"))) * (1 - inclusion) / F.nullif(inclusion, F.lit(0.0)))
-    drawn = wanted.select(
-        ROW, "source", "size", "source_size", "target", F.floor("rate").cast("long").alias("certain"),
-        odds.alias("draw"), (F.col("target") - F.floor("rate") * F.col("source_size")).alias("room"),
-    )
-    candidates = drawn.where("size > 0 AND draw IS NOT NULL").select(ROW, "source", "size", "draw", "room")
-    first = materialise(_fitting(candidates, "room"), "draw")
-    rest = null_safe_join(first.where("NOT fits").drop("fits"), _open(first, "room"), ["source"]).where("size <= gap")
-    second = materialise(_fitting(rest, "gap"), "draw")
-    after = materialise(_open(first, "room").unionByName(_open(second, "gap")).groupBy("source").agg(F.min("gap").alias("gap")), "gaps")
-    left = null_safe_join(first.where("NOT fits").select(ROW, "source", "size", "draw"), after, ["source"])
-    left = left.join(second.where("fits").select(ROW), ROW, "left_anti").where("abs(gap - size) < gap")
-    last = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "draw", ROW))[ROW].alias(ROW)).select(ROW)
-    extra = first.where("fits").select(ROW).unionByName(second.where("fits").select(ROW)).unionByName(last).withColumn("extra", F.lit(1))
-    result = null_safe_join(rows, targets, ["source"]).join(extra, ROW, "left")
-    copies = F.when(F.col("size") > 0, F.floor(rate) + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
+    result = _drawn(rows, _draw_limits(rows, targets, seed), seed)
+    taken = (F.col("place") <= F.col("end_1")) | _taken_second() | (F.col(ROW) == F.col("last_row"))
+    extra = F.coalesce(F.col("draw").isNotNull() & taken, F.lit(False)).cast("long")
+    copies = F.when(F.col("size") > 0, F.floor("rate") + extra).otherwise(0).cast("long")
     return result.select(
         *[F.col(f"_c{i}") for i in range(len(carried))], F.col("id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
