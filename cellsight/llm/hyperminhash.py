@@ -77,17 +77,17 @@ def signed_chunk(chunk: Chunk, shingle: int, make) -> tuple[np.ndarray, list[np.
     return np.diff(ends).astype(np.int64), fingerprints(values, ends), [r.tobytes() for r in make(values, ends)]
 
 
-def sign(rows: DataFrame, banding: Banding, make) -> DataFrame:
-    """Add n, fp1, fp2 and sig to rows that have a binary column _text, and write them."""
-    names = rows.columns
+def sign(rows: DataFrame, banding: Banding, make, keep_text: bool = True) -> DataFrame:
+    """Add n, fp1, fp2 and sig to rows that have a binary column _text, and write them, if wanted without the text."""
+    names = [c for c in rows.columns if keep_text or c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "_text"):
             n, (fp1, fp2), sigs = signed_chunk(chunk, banding.shingle, make)
-            arrays = [*chunk.batch.columns, pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(sigs, pa.binary())]
+            arrays = [*chunk.batch.select(names).columns, pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n", "fp1", "fp2", "sig"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
     return materialise(rows.mapInArrow(run, f"{kinds}, n long, fp1 long, fp2 long, sig binary"), "signed")
 
 
@@ -118,8 +118,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbered = materialise(with_row(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])), "numbered")
     id_at, text_at = (f"c{columns.index(c)}" for c in (id_col, text_col))
     rows = numbered.select(ROW, F.col(id_at).cast("long").alias("_id"), text_bytes(text_at).alias("_text"))
-    signed = sign(rows, BANDING, registers)
-    roots = materialise(near_duplicates(signed, BANDING), "roots")
+    signed = sign(rows, BANDING, registers, keep_text=False)
+    roots = materialise(near_duplicates(signed, BANDING, rows.select(ROW, "_text")), "roots")
     named = signed.select(ROW, "_id").join(roots, ROW).select("root", F.struct(F.col("_id").isNull(), F.col("_id"), F.col(ROW)).alias("o"))
     least = named.groupBy("root").agg(F.min("o").alias("least")).select(F.col("least")[ROW].alias(ROW))
     dropped = roots.select(ROW).join(least, ROW, "left_anti")

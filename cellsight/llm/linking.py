@@ -1,7 +1,8 @@
 """Links between near-equal texts: banded signatures, exact verification, components.
 
 The texts come as a written table `signed`: _row (long), _text (binary), n (size of the shingle set),
-fp1 and fp2 (fingerprint of the set) and sig (registers of the set as bytes).
+fp1 and fp2 (fingerprint of the set) and sig (registers of the set as bytes).  A caller that has the texts
+in a written table already passes that table (_row, _text) and leaves them out of `signed`.
 
 1. Texts with equal shingle sets are one class, whose least _row stands for it.
 2. Representatives that share a band of registers meet in a bucket.  First each is paired with the
@@ -142,7 +143,7 @@ def _one_set(text: bytes, shingle: int) -> np.ndarray:
     return shingle_sets(*Chunk(None, data, np.array([0, len(data)])).word_hashes(), 1, shingle)[0]
 
 
-def _residual_links(members: DataFrame, classes: DataFrame, labels: DataFrame, banding: Banding) -> DataFrame:
+def _residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame | None, labels: DataFrame, banding: Banding) -> DataFrame:
     """Links between different components of a bucket, without those that close a ring in a block."""
     labelled = members.join(labels.withColumnRenamed("root", "_root"), "node", "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
     labelled = materialise(labelled, "labelled")
@@ -150,7 +151,10 @@ def _residual_links(members: DataFrame, classes: DataFrame, labels: DataFrame, b
     blocks = F.ceil(F.col("size") / BLOCK)
     rows = materialise(labelled.join(mixed_keys.select("key", "size"), "key"), "mixed")
     wanted = sized(rows.select("node").distinct(), 16)
-    rows = rows.join(classes.join(wanted, "node", "left_semi").select("node", "sig", "_text"), "node")
+    needed = classes.join(wanted, "node", "left_semi")
+    if texts is not None:
+        needed = needed.join(texts.join(wanted, "node", "left_semi"), "node")
+    rows = rows.join(needed.select("node", "sig", "_text"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sig", "_text")
 
@@ -195,19 +199,19 @@ def _residual_links(members: DataFrame, classes: DataFrame, labels: DataFrame, b
     return materialise(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(signed: DataFrame, banding: Banding) -> DataFrame:
+def near_duplicates(signed: DataFrame, banding: Banding, texts: DataFrame | None = None) -> DataFrame:
     """`_row, root` for all rows with a shingle: the least _row that is reachable by links."""
     present = signed.where("n > 0")
     groups = materialise(present.groupBy("fp1", "fp2", "n").agg(F.min(ROW).alias("node")), "classes")
-    texts = signed.join(sized(groups.select(F.col("node").alias(ROW)), 16), ROW, "left_semi").withColumnRenamed(ROW, "node")
-    classes = texts.select("node", "sig")
+    classes = signed.join(sized(groups.select(F.col("node").alias(ROW)), 16), ROW, "left_semi").withColumnRenamed(ROW, "node")
+    apart = None if texts is None else texts.select(F.col(ROW).alias("node"), "_text")
     buckets = materialise(_bands(classes, banding), "bands")
     shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     members = materialise(buckets.join(shared.select("key", "leader"), "key"), "members")
     pairs = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = verified(pairs, texts.select("node", "_text"), banding)
+    links = verified(pairs, classes.select("node", "_text") if apart is None else apart, banding)
     labels = components(links)
-    rest = _residual_links(members.select("key", "node"), texts.select("node", "sig", "_text"), labels, banding)
+    rest = _residual_links(members.select("key", "node"), classes, apart, labels, banding)
     labels = components(links.unionByName(rest))
     of_class = groups.join(labels, "node", "left").select("fp1", "fp2", "n", F.coalesce("root", "node").alias("root"))
     return present.select(ROW, "fp1", "fp2", "n").join(of_class, ["fp1", "fp2", "n"]).select(ROW, "root")
