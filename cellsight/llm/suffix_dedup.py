@@ -7,9 +7,12 @@
    of a stretch collapse: all their starts are repeated.  An anchor without an equal one is unique.  What is left,
    different stretches around an equal anchor and one copy of each that has copies, goes to shards.
 3. A shard, the stretches of some anchors, is suffix-sorted by induction with common-prefix values; a start
-   is repeated when its suffix shares 200 bytes with a neighbour.  Tuples beyond a bound lie in files, so one
-   anchor with very many stretches makes a long shard but not a large memory.
-4. Starts become byte spans, which are merged for each document and cut from its text.
+   is repeated when its suffix shares 200 bytes with a neighbour.  Tuples beyond a bound lie in files.
+4. An anchor whose stretches exceed a shard is not sorted: its starts are dealt by the hash of their 200 bytes
+   (64 bits, beside those of the anchor) and read as a stream in that order, where equal neighbours are repeated.
+   So a shard is never longer than two bounds and one stretch, and a frequent line between different
+   neighbours goes to all tasks.
+5. Starts become byte spans, which are merged for each document and cut from its text.
 
 Matches never cross documents.  Null and empty texts have no bytes.  Rows are told apart by a row number,
 so repeated rows are repeated texts and null ids are harmless.  Other columns are ignored, or kept by
@@ -32,10 +35,11 @@ _U = np.uint64
 LENGTH = 200
 GRAM = 75
 _STARTS = LENGTH - GRAM + 1
-#: Bytes of a shard; the stretches of one anchor are never parted.
+#: Bytes of a shard; the stretches of one anchor are never parted, and with more than this they are not sorted.
 SHARD_BYTES = 1 << 20
 SORT_MEMORY = 48 << 20
 _PIECE = 1 << 20
+_WINDOWS = 1 << 16
 _PLACE_BITS = 22
 _FULL, _PART, _COPY = 0, 1, 2
 
@@ -170,6 +174,60 @@ def _stretches(texts: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"key long, kind byte, {ROW} long, start int, more short, part binary")
 
 
+def _window_rows(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row for every start of the marked stretches: anchor, hash of its 200 bytes, row and start."""
+    wanted = marks.groupBy(ROW).agg(F.collect_list(F.struct("key", "start", "more")).alias("_wanted"))
+    wanted = materialise(wanted, "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "_text"):
+            running = chunk.running()
+            lists = chunk.batch.column("_wanted")
+            asked = lists.flatten()
+            owner = np.repeat(np.arange(chunk.rows), pa.compute.list_value_length(lists).to_numpy())
+            size = asked.field("more").to_numpy().astype(np.int64) + 1
+            key, start = asked.field("key").to_numpy(), asked.field("start").to_numpy()
+            ids = chunk.batch.column(ROW).to_numpy()[owner]
+            ends = np.cumsum(size)
+            low = 0
+            while low < len(size):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + _WINDOWS)))
+                many = size[low:high]
+                begin = np.repeat(start[low:high].astype(np.int64), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at = begin + np.repeat(chunk.offsets[owner[low:high]], many)
+                window = substring_hashes(running, at, at + LENGTH).view(np.int64)
+                arrays = [np.repeat(key[low:high], many), window, np.repeat(ids[low:high], many), begin.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "window", ROW, "start"])
+                low = high
+
+    joined = texts.select(ROW, "_text").join(sized(wanted, 400), ROW)
+    return joined.mapInArrow(run, f"key long, window long, {ROW} long, start int")
+
+
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Starts sorted by anchor and window: those that have an equal one.  Only the last row waits for the next batch."""
+    names = ["key", "window", ROW, "start"]
+    held: dict[str, np.ndarray] | None = None
+    before = False  # whether the row that waits equals the one before it
+    for batch in _then_none(batches):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy() for c in names}
+            held = new if held is None else {c: np.concatenate((held[c], new[c])) for c in names}
+        if held is None:
+            return
+        same = (held["key"][1:] == held["key"][:-1]) & (held["window"][1:] == held["window"][:-1])
+        hit = np.concatenate(([before], same)) | np.append(same, False)
+        before = bool(same[-1]) if len(same) else before
+        if batch is not None:
+            hit[-1] = False
+        if hit.any():
+            low = held["start"][hit].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(held[ROW][hit]), pa.array(low), pa.array(low + LENGTH)], names=[ROW, "low", "high"])
+        held = {c: v[-1:].copy() for c, v in held.items()}
+
+
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches sorted by anchor: suffix-sort shards and return runs of repeated starts."""
     rows: list[tuple] = []
@@ -216,8 +274,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """
     ordered = _anchor_rows(texts).repartition("key").sortWithinPartitions("key", "stretch")
     marks = materialise(ordered.mapInArrow(_sorted_marks, f"kind byte, key long, {ROW} long, start int, more short"), "marks")
-    shards = _stretches(texts, marks).repartition("key").sortWithinPartitions("key")
+    differing = marks.where(F.col("kind") != _FULL)
+    large = differing.groupBy("key").agg(F.sum(F.col("more") + LENGTH + 1).alias("bytes")).where(F.col("bytes") > SHARD_BYTES)
+    large = materialise(large.select("key"), "large")
+    hinted = sized(large, 16)
+    shards = _stretches(texts, marks.join(hinted, "key", "left_anti")).repartition("key").sortWithinPartitions("key")
     found = shards.mapInArrow(_sorted_shards, f"{ROW} long, low long, high long")
+    if large.limit(1).count():
+        dealt = _window_rows(texts, differing.join(hinted, "key", "left_semi")).repartition("window").sortWithinPartitions("window", "key")
+        found = found.unionByName(dealt.mapInArrow(_equal_windows, f"{ROW} long, low long, high long"))
     copies = marks.where(F.col("kind") == _FULL)
     copies = copies.select(ROW, F.col("start").cast("long").alias("low"), (F.col("start") + F.col("more") + LENGTH).cast("long").alias("high"))
     grouped = copies.unionByName(found).groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))

@@ -292,6 +292,41 @@ def test_suffixes(spark, make_docs, odd_rows, monkeypatch):
     assert suffix_dedup.removal_report(make_docs([])).count() == 0
 
 
+def test_suffixes_of_an_anchor_beyond_a_shard(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 8000)
+    sorted_bytes, stretches = [], suffix_dedup._stretches
+
+    def spied(texts, marks):
+        parts = stretches(texts, marks)
+        sorted_bytes.extend(r[1] for r in parts.groupBy("key").agg(F.sum(F.length("part"))).collect())
+        return parts
+
+    monkeypatch.setattr(suffix_dedup, "_stretches", spied)
+    random.seed(21)
+    noise = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    line, sides = noise(150), [noise(90) for _ in range(3)]
+    rows = [(i, noise(200) + line + noise(200), "s") for i in range(150)]
+    # Some share a neighbour on one side, some hold a whole copy.
+    rows += [(200 + i, noise(200) + sides[i % 3] + line + noise(200), "s") for i in range(12)]
+    rows += [(300 + i, noise(200) + line + sides[i % 3][: 40 + i] + noise(200), "s") for i in range(12)]
+    rows += [(400 + i, rows[i % 2][1], "s") for i in range(4)]
+    texts = [t.encode() for _, t, _ in rows]
+    want = Counter((r[0], len(t), sum(gone)) for r, t, gone in zip(rows, texts, removed_by_force(texts)))
+    assert Counter(tuple(r)[:3] for r in suffix_dedup.removal_report(make_docs(rows)).collect()) == want
+    assert max(sorted_bytes, default=0) <= 8000 and sum(n for _, _, n in want) > 12 * 200
+
+
+def test_equal_windows_do_not_depend_on_batches():
+    random.seed(5)
+    rows = sorted((random.randrange(4), random.randrange(9), i, i) for i in range(60))
+    count = Counter(r[:2] for r in rows)
+    names = ["key", "window", "_row", "start"]
+    for size in (1, 2, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + size]]) for k in range(0, len(rows), size)]
+        got = sorted(r["_row"] for b in suffix_dedup._equal_windows(iter(batches)) for r in b.to_pylist())
+        assert got == sorted(r[2] for r in rows if count[r[:2]] > 1)
+
+
 def test_hyperminhash(spark, make_docs, odd_rows):
     random.seed(12)
     base = [f"t{random.randrange(500)}" for _ in range(300)]
