@@ -4,8 +4,9 @@ The texts come as a written table `signed`: _row (long), _text (binary), n (size
 fp1 and fp2 (fingerprint of the set) and sig (registers of the set as bytes).  A caller that has the texts
 in a written table already passes that table (_row, _text) and leaves them out of `signed`.
 
-1. Texts with equal shingle sets are one class, whose least _row stands for it.
-2. Representatives that share a band of registers meet in a bucket.  First each is paired with the
+1. Texts with equal shingle sets are one class, whose least _row stands for it.  Sets of so few shingles that
+   only an equal one is near enough (fewer than four at 80 %) are settled by that.
+2. Other representatives that share a band of registers meet in a bucket.  First each is paired with the
    least of its bucket only, the pairs are verified on the full sets, and components are formed.
 3. Buckets that still hold several components are compared block by block, in tasks that have the texts:
    pairs of different components whose registers agree often enough are verified too, each in its first
@@ -51,6 +52,11 @@ class Banding:
     def bands(self) -> int:
         return self.registers // self.rows
 
+    @property
+    def least_size(self) -> int:
+        """The size from which a set can be linked with one that is not equal: a subset with one shingle less is near enough."""
+        return math.ceil(self.percent / (100 - self.percent))
+
     def matrix(self, sigs: pa.Array) -> np.ndarray:
         data = b"".join(s.as_py() for s in sigs)
         return np.frombuffer(data, dtype=self.dtype).reshape(len(sigs), self.registers)
@@ -203,7 +209,7 @@ def near_duplicates(signed: DataFrame, banding: Banding, texts: DataFrame | None
     """`_row, root` for all rows with a shingle: the least _row that is reachable by links."""
     present = signed.where("n > 0")
     groups = materialise(present.groupBy("fp1", "fp2", "n").agg(F.min(ROW).alias("node")), "classes")
-    classes = signed.join(sized(groups.select(F.col("node").alias(ROW)), 16), ROW, "left_semi").withColumnRenamed(ROW, "node")
+    classes = signed.join(sized(groups.where(F.col("n") >= banding.least_size).select(F.col("node").alias(ROW)), 16), ROW, "left_semi").withColumnRenamed(ROW, "node")
     apart = None if texts is None else texts.select(F.col(ROW).alias("node"), "_text")
     buckets = materialise(_bands(classes, banding), "bands")
     shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")

@@ -41,7 +41,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

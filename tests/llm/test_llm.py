@@ -235,6 +235,31 @@ def test_paragraphs(spark, make_docs):
     assert paragraph_dedup.repeated_paragraphs(make_docs([])).count() == 0
 
 
+def test_paragraphs_of_any_length(spark, make_docs, monkeypatch):
+    random.seed(16)
+    line = lambda n, v=60: [f"v{random.randrange(v)}" for _ in range(n)]
+    shared = [line(n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 12, 20)]
+    rows = []
+    for i in range(80):
+        parts = [" ".join(random.choice(shared)) for _ in range(2)] + [" ".join(line(random.randrange(1, 9), 4))]
+        # One word more or less at an end: sets of four and more can stay near enough.
+        near = random.choice(shared[6:])
+        rows.append((i, "\n".join([*parts, " ".join(near[1:]), "", " ".join([*near, "end"])]), "a"))
+    monkeypatch.setattr(queries, "table", lambda *_: make_docs(rows))
+    got = queries.op7_paragraphs(spark, "").collect()
+    paragraphs = [((i, k), shingles(p, 5)) for i, t, _ in rows for k, p in enumerate(t.split("\n")) if words(p)]
+    parent = list(range(len(paragraphs)))
+    for a, b in itertools.combinations(range(len(paragraphs)), 2):
+        if linked(paragraphs[a][1], paragraphs[b][1]):
+            parent[find(parent, b)] = find(parent, a)
+    groups = defaultdict(list)
+    for k, (name, _) in enumerate(paragraphs):
+        groups[find(parent, k)].append(name)
+    want = Counter((name, min(g), len(g)) for g in groups.values() if len(g) > 1 for name in g)
+    assert Counter(((r["doc_id"], r["paragraph"]), (r["kept_doc_id"], r["kept_paragraph"]), r["component_size"]) for r in got) == want
+    assert any(len({frozenset(shingles(rows[i][1].split("\n")[k], 5)) for i, k in g}) > 1 for g in groups.values())
+
+
 def test_induced_sort():
     rng = np.random.default_rng(1)
     for trial in range(120):
