@@ -3,12 +3,13 @@
 Words are folded (A-Z) and hashed.  Two fixed masks pick five of the next 6 and 9 words and ignore the
 others; the hashes of the picked words of test items are joined with those of the documents.  For any 15
 aligned words with at most 3 substitutions one of the masks fits between the substitutions (a test tries
-all cases), so such overlaps are never missed.  Every hit names a diagonal of one document and one item;
+all cases), so such overlaps are never missed.  Items of up to 10 words, where fewer words have to agree, have
+masks of their own length that miss no substitution that the rule allows; items of up to four words, which
+allow none, are sought whole.  Only masks of lengths that the benchmark has are laid over documents.  Every hit names a diagonal of one document and one item;
 on it the item is laid over the document and the best 15 words (all words of a shorter item) are counted.
 With 80 % equal words the document holds a part of the item.
 
-Items of fewer than six words are too short to be evidence and match nothing; null and empty texts match
-nothing.  A document is its id and text: equal rows are one document in the result, a null id stays null.
+Null and empty texts match nothing.  A document is its id and text: equal rows are one document in the result, a null id stays null.
 Items with a null id are kept; other columns are ignored.  The seeds of the benchmark are broadcast when
 their counted size is small and joined by a shuffle beyond.
 """
@@ -25,6 +26,23 @@ from cellsight.llm.common import WORD, materialise, sized
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 5, 7, 8))
 WINDOW = 15
 EQUAL_PERCENT = 80
+#: Masks for items of so few words that MASKS would miss some; other items have MASKS.
+SHORT_MASKS = {
+    1: ((0,),),
+    2: ((0, 1),),
+    3: ((0, 1, 2),),
+    4: ((0, 1, 2, 3),),
+    5: ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4)),
+    6: (MASKS[0], (0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5)),
+    7: (MASKS[0], (0, 1, 2, 3, 4), (0, 1, 2, 3, 5)),
+    8: (MASKS[0], (0, 1, 2, 3, 4)),
+    10: (*MASKS, (0, 1, 2, 3, 4)),
+}
+_ALL_MASKS = tuple(dict.fromkeys([*MASKS, *[m for masks in SHORT_MASKS.values() for m in masks]]))
+#: Items from this many words on have equal masks.
+_LONG = max(SHORT_MASKS) + 1
+#: Items of up to this many words allow no substitution.
+_WHOLE = max(n for n in range(1, _LONG) if (n - 1) * 100 < n * EQUAL_PERCENT)
 _STRIDE = 16
 _SPAN = max(m[-1] for m in MASKS) + 1
 
@@ -34,18 +52,36 @@ def hashed_words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(folded, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: DataFrame, keys: list[str]) -> DataFrame:
-    """`words` has an array _words of word hashes; one row per mask and position: keys, _at, _seed."""
+def masks_of(size: int) -> tuple[tuple[int, ...], ...]:
+    return SHORT_MASKS.get(size, MASKS)
+
+
+def _seeds(words: DataFrame, keys: list[str], numbers: list[int]) -> DataFrame:
+    """`words` has an array _words of word hashes; one row per mask and position: keys, _at, _mask, _seed."""
     start = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)), F.lit(_STRIDE))
     pieces = words.where(F.size("_words") > 0).select(*keys, "_words", F.explode(start).alias("_start"))
     pieces = pieces.select(*keys, "_start", F.slice("_words", F.col("_start") + 1, _STRIDE + _SPAN - 1).alias("_piece"))
     hashes = [
-        F.when(F.get("_piece", F.lit(k + mask[-1])).isNotNull(), F.xxhash64(F.lit(number), *[F.get("_piece", F.lit(k + p)) for p in mask]))
-        for number, mask in enumerate(MASKS)
+        F.when(F.get("_piece", F.lit(k + _ALL_MASKS[number][-1])).isNotNull(), F.xxhash64(F.lit(number), *[F.get("_piece", F.lit(k + p)) for p in _ALL_MASKS[number]]))
+        for number in numbers
         for k in range(_STRIDE)
     ]
     found = pieces.select(*keys, "_start", F.posexplode(F.array(*hashes)).alias("_place", "_seed"))
-    return found.where("_seed IS NOT NULL").select(*keys, (F.col("_start") + F.col("_place") % _STRIDE).alias("_at"), "_seed")
+    mask = F.get(F.array(*[F.lit(n) for n in numbers]), (F.col("_place") / _STRIDE).cast("int"))
+    return found.where("_seed IS NOT NULL").select(*keys, (F.col("_start") + F.col("_place") % _STRIDE).alias("_at"), mask.alias("_mask"), "_seed")
+
+
+def _item_seeds(items: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The seeds of each item under the masks of its length, and the numbers of the masks that any item has."""
+    cut = items.select("_item_key", F.col("_item_words").alias("_words"), F.least(F.size("_item_words"), F.lit(_LONG)).alias("_length"))
+    lengths = [r["_length"] for r in cut.where("_length > 0").select("_length").distinct().collect()]
+    having = {k: [n for n in lengths if m in masks_of(n)] for k, m in enumerate(_ALL_MASKS)}
+    numbers = [k for k, sizes in having.items() if sizes] or list(range(len(MASKS)))
+    own = F.lit(False)
+    for k in numbers:
+        own = own | ((F.col("_mask") == k) & F.col("_length").isin(having[k]))
+    seeds = _seeds(cut, ["_item_key", "_length"], numbers).where(own)
+    return seeds.select("_item_key", (F.col("_length") <= _WHOLE).alias("_whole"), F.col("_at").alias("_item_at"), "_seed"), numbers
 
 
 def document_key(id_col: Column, text: Column) -> Column:
@@ -72,11 +108,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(f"`{item_col}`").alias("_item"), hashed_words(F.col(f"`{item_text}`")).alias("_item_words"))
     items = materialise(items.withColumn("_item_key", F.xxhash64(F.col("_item").cast("string"), F.to_json("_item_words"))).dropDuplicates(["_item_key"]), "items")
-    seeds = materialise(_seeds(items.withColumnRenamed("_item_words", "_words"), ["_item_key"]).withColumnRenamed("_at", "_item_at"), "seeds")
+    seeds, numbers = _item_seeds(items)
+    seeds = materialise(seeds, "seeds")
     doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     words = docs.select(doc_id.alias("_id"), document_key(doc_id, text).alias("_key"), hashed_words(text).alias("_words"))
-    met = _seeds(words.select("_key", "_words"), ["_key"]).join(sized(seeds, 40), "_seed")
-    hits = materialise(met.select("_key", "_item_key", (F.col("_at") - F.col("_item_at")).alias("_diagonal")).distinct(), "hits")
+    met = _seeds(words.select("_key", "_words"), ["_key"], numbers).join(sized(seeds, 40), "_seed")
+    # Every hit of an item sought whole is as good as the first.
+    diagonal = F.col("_at") - F.col("_item_at")
+    hits = met.groupBy("_key", "_item_key", F.when(~F.col("_whole"), diagonal).alias("_each")).agg(F.min(diagonal).alias("_diagonal"))
+    hits = materialise(hits.drop("_each"), "hits")
     keys = materialise(hits.select("_key").distinct(), "keys")
     texts = words.join(sized(keys, 16), "_key", "left_semi").dropDuplicates(["_key"])
     checked = _overlaps(hits.join(texts, "_key").join(sized(items, 600), "_item_key"))

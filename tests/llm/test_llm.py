@@ -189,6 +189,35 @@ def test_seeds_miss_nothing():
         assert any(good & (m << s) == m << s for m in masks for s in range(decontaminate.WINDOW) if (m << s) < 1 << decontaminate.WINDOW)
 
 
+def substitutions(n):
+    """All sets of places in n words that may differ with 80 % equal words."""
+    return [c for k in range(n + 1) if (n - k) * 100 >= n * 80 for c in itertools.combinations(range(n), k)]
+
+
+def test_seeds_miss_nothing_at_any_length():
+    for n in range(1, decontaminate.WINDOW + 1):
+        for wrong in substitutions(n):
+            places = [{s + p for p in m} for m in decontaminate.masks_of(n) for s in range(n - m[-1])]
+            assert any(not p & set(wrong) for p in places), (n, wrong)
+
+
+def test_decontamination_by_short_items(spark, make_docs):
+    items = {n: [f"q{n}x{i}" for i in range(n)] for n in range(1, decontaminate.WINDOW)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for wrong in substitutions(n):
+            rows.append((len(rows), " ".join(["before", *["other" if i in wrong else w for i, w in enumerate(item)], "after"]), "a"))
+            want.add((rows[-1][0], n, n - len(wrong), 1))
+        # One word too many differs.
+        most = max(map(len, substitutions(n)))
+        rows.append((len(rows), " ".join(["before", *["other"] * (most + 1), *item[most + 1 :], "after"]), "a"))
+    rows.append((len(rows), "q1x0 " * 400, "a"))
+    want.add((rows[-1][0], 1, 1, 0))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    found = decontaminate.contaminated(make_docs(rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_equal"], r["doc_word"]) for r in found} == want
+
+
 def test_decontamination(spark, make_docs, odd_rows):
     random.seed(4)
     item = [f"q{i}" for i in range(40)]
