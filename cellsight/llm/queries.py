@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, suffix_dedup, token_counts, warc
+from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, suffix_dedup, token_counts, warc, whitening
 from cellsight.llm.common import table
 from cellsight.session import scratch_path
 
@@ -58,6 +58,10 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.describe(warc.reconstruct(spark, path))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_language_model": op2_language_model,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_archive": op10_archive,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
