@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, suffix_dedup, token_counts, warc, whitening
+from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, suffix_dedup, token_counts, toxicity, warc, whitening
 from cellsight.llm.common import table
 from cellsight.session import scratch_path
 
@@ -58,6 +58,11 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.describe(warc.reconstruct(spark, path))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_archive": op10_archive,
+    "op12_toxicity": op12_toxicity,
     "op13_whitening": op13_whitening,
 }
 
