@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, quality, suffix_dedup, token_counts, toxicity, warc, whitening
+from cellsight.llm import decontaminate, embedding_dedup, hyperminhash, mixing, ngram_lm, paragraph_dedup, prefix_trie, quality, suffix_dedup, token_counts, toxicity, warc, whitening
 from cellsight.llm.common import table
 from cellsight.session import scratch_path
 
@@ -58,6 +58,10 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.describe(warc.reconstruct(spark, path))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_archive": op10_archive,
+    "op11_trie": op11_trie,
     "op12_toxicity": op12_toxicity,
     "op13_whitening": op13_whitening,
 }
@@ -136,5 +141,38 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
   CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN place > 1 THEN newest END AS refers_to
 FROM ranked
+""",
+    # h: crc32 by shifts, eight for each byte of the decimal id.
+    "op11_trie": r"""
+WITH given AS (
+  SELECT conv_id, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NOT NULL, turn, digest) AS place FROM given),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM given)),
+turns AS (
+  SELECT c.conv_id, 0 AS part, place, digest, words FROM convs c JOIN placed p ON p.conv_id = c.base AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, digest, words FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND place > h),
+whole AS (
+  SELECT c.conv_id, coalesce(list(digest ORDER BY part, place) FILTER (digest IS NOT NULL), []) AS ds, coalesce(list(words ORDER BY part, place) FILTER (digest IS NOT NULL), []) AS ws
+  FROM convs c LEFT JOIN turns t ON c.conv_id = t.conv_id GROUP BY c.conv_id),
+prefixes AS (
+  SELECT conv_id, d, array_to_string(ds[1:d], '') AS p, CASE WHEN d > 0 THEN array_to_string(ds[1:d - 1], '') END AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(ds) AS ending
+  FROM (SELECT *, unnest(range(len(ds) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT p, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256
+  FROM prefixes GROUP BY p),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.p = k.up),
+sums AS (
+  SELECT substr(p, 1, 64 * k) AS top, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM full_nodes) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON s.top = n.p LEFT JOIN nodes u ON u.p = n.up
 """,
 }
