@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellsight.operators import clean, forest as iforest, metrics, perturb, profile, rca, recommend, retrieval, scoring, thresholds
+from cellsight.operators import clean, forest as iforest, forest_growth, metrics, perturb, profile, rca, recommend, retrieval, scoring, thresholds
 from cellsight.operators.feature_model import fit_feature_model, fit_production_transform
 from cellsight.operators.features import ratio_features
 from cellsight.session import materialise
@@ -24,10 +24,20 @@ BASELINE_METRICS = {
     "pr_auc": 0.4587,
 }
 SWEEP_TREES = [100, 200, 300, 500]
-SWEEP_SAMPLES = [256, 512, 1024, 2048]
+SWEEP_SAMPLES = ["auto", 0.5, 0.75, 1.0]
 SWEEP_CONTAMINATIONS = [0.01, 0.03, 0.05, 0.08, 0.10, 0.15]
 
 
+def _forest_scores(
+    scored: DataFrame, train: DataFrame, features: list[str], key: str, trees: int, max_samples: str | float, counts: list[int] | None = None, output: str = "score"
+) -> DataFrame:
+    """Scores of a forest fitted to `train`; a share of its rows grows over the cluster, a fixed number of rows per tree in tasks."""
+    if isinstance(max_samples, float):
+        return forest_growth.score_grown(scored, train, features, key, trees, max_samples, counts=counts, output=output)
+    forest = iforest.fit_forest(train, features, key, trees=trees, max_samples=max_samples)
+    return iforest.score_prefixes(scored, forest, counts, output) if counts else iforest.score_forest(scored, forest, output)
+
+
 def _score_with_forest(prepared: DataFrame, features: list[str], key: str, trees: int, contamination: float, seed: int = 42):
     forest = iforest.fit_forest(prepared, features, key, trees=trees, seed=seed)
     scored = materialise(iforest.score_forest(prepared.select(*map(quoted, [key, *features])), forest).select(key, "score"), "scores")
@@ -88,10 +98,12 @@ def profile_job(kpi: DataFrame, columns: list[str] = KPI_FIELDS) -> dict[str, Da
     }
 
 
+# What the evaluation needs of a labelled set.
+_SCORED = ["dataset_name", "anomaly_rate", "anomaly_family", "operating_regime", "ground_truth_label AS label", "copy_key"]
+
+
 def _scored_sets(sets: DataFrame, forest: iforest.Forest) -> DataFrame:
-    """Scores of labelled sets, with what the evaluation needs of them."""
-    keep = ["dataset_name", "anomaly_rate", "anomaly_family", "operating_regime", F.col("ground_truth_label").alias("label"), "copy_key"]
-    return materialise(iforest.score_forest(sets, forest).select(*keep, "score"), "scored_sets")
+    return materialise(iforest.score_forest(sets, forest).selectExpr(*_SCORED, "score"), "scored_sets")
 
 
 def _labelled_sets(base: DataFrame, rates: list[float], regimes: list[str], key: str) -> DataFrame:
@@ -151,8 +163,12 @@ def model_select_job(
     rates: list[float] = (0.01, 0.05, 0.20),
     regimes: list[str] = tuple(perturb.CROSS_REGIMES),
     trees: int = 350,
+    max_samples: str | float = "auto",
 ) -> dict[str, DataFrame]:
-    """Rank features by power, train on the chosen ones, fuse, compare threshold methods."""
+    """Rank features by power, train on the chosen ones, fuse, compare threshold methods.
+
+    A share as `max_samples` trains every tree on that share of the rows.
+    """
     model = fit_feature_model(kpi)
     base = ratio_features(kpi)
     sets = _labelled_sets(base, rates, regimes, key)
@@ -160,7 +176,8 @@ def model_select_job(
     power = materialise(profile.feature_power(prepared, model.names(), "ground_truth_label"), "power")
     chosen = [row["feature"] for row in profile.select_by_power(power, model.base).collect()]
     clean_rows = model.apply(kpi)
-    scored = _scored_sets(prepared, iforest.fit_forest(clean_rows, chosen, key, trees=trees))
+    scored = _forest_scores(prepared, clean_rows, chosen, key, trees, max_samples)
+    scored = materialise(scored.selectExpr(*_SCORED, "score"), "scored_sets")
     # The scores of all contaminations differ by constants, so one ranking serves every column.
     fused = scoring.score_fusion(scored, ["score"] * 5, by=["dataset_name"])
     names = {"raw_score": "score", **{f: f for f in ("weighted_average", "rank_aggregation", "percentile_max")}}
@@ -181,30 +198,31 @@ def param_sweep_job(
     kpi: DataFrame,
     key: str = "record_id",
     tree_counts: list[int] = SWEEP_TREES,
-    sample_sizes: list[int] = SWEEP_SAMPLES,
+    sample_sizes: list[str | int | float] = SWEEP_SAMPLES,
     contaminations: list[float] = SWEEP_CONTAMINATIONS,
     rates: list[float] = SWEEP_CONTAMINATIONS,
 ) -> DataFrame:
     """Every combination of trees, sample size and contamination with its best F1 threshold.
 
-    One forest is trained per sample size; smaller tree counts are its leading trees, and the
+    A sample size is 'auto', a number, or a share of all rows.  One forest is trained per sample size; smaller tree counts are its leading trees, and the
     contamination only moves all scores by a constant.
     """
     base = ratio_features(kpi)
     features = [*KPI_FIELDS, "throughput_per_user", "spectral_efficiency"]
-    sets = materialise(perturb.sweep_sets(base, rates, key).select("ground_truth_label", *features), "sweep_sets")
+    sets = perturb.sweep_sets(base, rates, key).select(F.col("ground_truth_label").alias("label"), *features)
+    # The unchanged rows, without a label, give the offsets.
+    rows = materialise(sets.unionByName(base.select(F.lit(None).cast("int").alias("label"), *features)), "sweep_rows")
     counts = sorted(tree_counts)
     scored, shifts = None, []
     for size in sample_sizes:
-        forest = iforest.fit_forest(base, features, key, trees=counts[-1], max_samples=size)
+        found = materialise(_forest_scores(rows, base, features, key, counts[-1], size, counts, "scores").select("label", "scores"), "sweep_part")
         name = F.concat(F.lit(f"{size}|"), F.element_at(F.array(*map(F.lit, counts)), F.col("position") + 1))
-        part = iforest.score_prefixes(sets, forest, counts).select(
-            F.col("ground_truth_label").alias("label"), F.posexplode("scores").alias("position", "score")
-        ).select(name.alias("dataset_name"), "score", "label")
-        trained = materialise(iforest.score_prefixes(base, forest, counts).select("scores"), "trained")
+        part = found.where("label IS NOT NULL").select("label", F.posexplode("scores").alias("position", "score"))
+        part = part.select(name.alias("dataset_name"), "score", "label")
+        trained = found.where("label IS NULL")
         for i, count in enumerate(counts):
-            found = scoring.fit_offsets(trained.select(F.col("scores")[i].alias("score")), contaminations)
-            shifts += [(f"{size}|{count}", c, found[f"score_{round(c * 100)}"]) for c in contaminations]
+            offsets = scoring.fit_offsets(trained.select(F.col("scores")[i].alias("score")), contaminations)
+            shifts += [(f"{size}|{count}", c, offsets[f"score_{round(c * 100)}"]) for c in contaminations]
         scored = part if scored is None else scored.unionByName(part)
     scored = materialise(scored, "sweep_scores")
     steps = materialise(metrics.score_steps(scored), "sweep_steps")
@@ -216,7 +234,7 @@ def param_sweep_job(
         .withColumn("threshold", F.col("threshold") + F.col("offset"))
         .withColumns(
             {
-                "max_samples": F.split_part("dataset_name", F.lit("|"), F.lit(1)).cast("int"),
+                "max_samples": F.split_part("dataset_name", F.lit("|"), F.lit(1)),
                 "n_estimators": F.split_part("dataset_name", F.lit("|"), F.lit(2)).cast("int"),
                 "predicted_anomalies": F.col("tp") + F.col("fp"),
             }
@@ -245,16 +263,17 @@ def threshold_job(
     sweep = materialise(metrics.with_average_rows(metrics.threshold_sweep(scored)), "sweep")
     best = materialise(metrics.constrained_best(sweep.where("dataset_name = 'AVERAGE'")), "best")
     percentile = best.first()["threshold_percentile"]
-    return {"sweep": sweep, "best": best, "scores": production_job(kpi, key, trees, percentile)["scores"]}
+    return {"sweep": sweep, "best": best, "scores": production_job(kpi, key, trees, percentile, "auto")["scores"]}
 
 
-def production_job(kpi: DataFrame, key: str = "record_id", trees: int = 350, percentile: int | None = None) -> dict[str, DataFrame]:
+def production_job(
+    kpi: DataFrame, key: str = "record_id", trees: int = 350, percentile: int | None = None, max_samples: str | float = 0.75
+) -> dict[str, DataFrame]:
     """Transform, score, decide by mixture posterior or percentile, explain by drivers, summarise."""
     cleaned = materialise(clean.clean(kpi), "cleaned")
     transform = fit_production_transform(cleaned)
     prepared = materialise(transform.apply(cleaned).select(*map(quoted, [key, *transform.names()])), "production_features")
-    forest = iforest.fit_forest(prepared, transform.names(), key, trees=trees)
-    scored = materialise(iforest.score_forest(prepared, forest), "production_scores")
+    scored = materialise(_forest_scores(prepared, prepared, transform.names(), key, trees, max_samples), "production_scores")
     fused = scored.withColumn("ensemble_score", F.col("score"))
     if percentile is None:
         mixture = thresholds.fit_mixture(fused.select("score"), [])

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellsight.operators import forest as iforest, perturb, rca, recommend, retrieval, scoring
+from cellsight.operators import forest as iforest, forest_growth, perturb, rca, recommend, retrieval, scoring
 from cellsight.operators.features import ratio_features
 from cellsight.plans import jobs
 from cellsight.plans.common import Spark, explained, kpi_view, labelled_kpi, materialise, rounded, scored_view, table, time_text
@@ -38,6 +38,22 @@ def iforest_predict(spark: Spark, sf_dir: str) -> DataFrame:
     return iforest.predict(scored, scoring.fit_offsets(scored, [0.05])["score_5"])
 
 
+def iforest_share(spark: Spark, sf_dir: str) -> DataFrame:
+    """Scores of 350 trees, each grown on three quarters of all rows."""
+    rows = kpi_view(spark, sf_dir)
+    return rounded(forest_growth.score_grown(rows, rows, KPI_FIELDS, trees=350, max_samples=0.75).select("record_id", "score"))
+
+
+def iforest_share_nodes(spark: Spark, sf_dir: str) -> DataFrame:
+    """Size and shape of each of those trees; the nodes of a tree add up to its sample."""
+    nodes = forest_growth.grown_nodes(kpi_view(spark, sf_dir), KPI_FIELDS, trees=350, max_samples=0.75)
+    leaf = F.col("feature") < 0
+    return nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 1, F.col("size"))).alias("sample_rows"), F.count(F.lit(1)).alias("nodes"),
+        F.sum(leaf.cast("long")).alias("leaves"), F.sum(F.when(leaf, F.col("size"))).alias("rows_in_leaves"), F.max("depth").alias("levels"),
+    )
+
+
 def param_sweep(spark: Spark, sf_dir: str) -> DataFrame:
     return jobs.param_sweep_job(kpi_view(spark, sf_dir))
 
@@ -265,7 +281,7 @@ def index_job(spark: Spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        iforest_fit, iforest_score, iforest_predict, param_sweep, chunk_fixed, chunk_recursive, embed_text,
+        iforest_fit, iforest_score, iforest_predict, iforest_share, iforest_share_nodes, param_sweep, chunk_fixed, chunk_recursive, embed_text,
         normalize_vectors, similarity_join_topk, retrieve_topk, retrieval_rank, retrieve_shape, index_table,
         incident_context_text, incident_retrieval, stream_kpi_source, stream_score, stream_rca, stream_sink, detect_job,
         train_test_job, rca_job, profile_job, robustness_job, model_select_job, param_sweep_job, threshold_job,
