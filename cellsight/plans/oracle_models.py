@@ -28,6 +28,24 @@ def _with(sql: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)} {sql}"
 
 
+def _lloyd(rounds: int) -> list[str]:
+    """Steps of the coarse quantiser from the vectors with the smallest hashes; owned_<i> holds the cell of each vector in step i."""
+    steps = [
+        "vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
+        "cells_0 AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), CAST(vec_id AS VARCHAR)) - 1 AS cell, list_transform(x, lambda v: round(v, 6)) AS c "
+        "FROM vectors QUALIFY cell < ceil(sqrt((SELECT count(*) FROM vectors))))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"owned_{i} AS (SELECT vec_id, any_value(x) AS x, arg_min(cell, list_dot_product(c, c) - 2 * list_dot_product(x, c)) AS cell FROM vectors, cells_{i} GROUP BY vec_id)"
+        )
+        steps.append(
+            f"cells_{i + 1} AS (SELECT cell, coalesce(m, c) AS c FROM cells_{i} LEFT JOIN (SELECT cell, list(mean ORDER BY place) AS m FROM ("
+            f"SELECT cell, place, round(avg(v), 6) AS mean FROM (SELECT cell, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM owned_{i}) GROUP BY ALL) GROUP BY cell) USING (cell))"
+        )
+    return steps
+
+
 # Live analysis: global limits, the flag forced to 0, only lines that are complete objects.
 _LIVE_LIMITS = _LIMITS.replace("GROUP BY {key}", "").format(key="1")
 _LIVE_FLAGS = FLAGS.replace("FROM kpi JOIN percentiles ON slice_type = k", "FROM (SELECT * REPLACE (0 AS sla_compliant) FROM kpi WHERE handover_count < 5 AND latency_ms IS NOT NULL AND rsrq_db IS NOT NULL) kpi, percentiles")
@@ -51,6 +69,12 @@ ORACLE = {
         "SELECT query_id, rank, score AS retrieval_score, source_pdf, document_id, page_number, text FROM found", _QUERIES, _INDEXED, _FOUND
     ),
     "index_table": "SELECT doc_id, CAST(greatest(length(text) - 101, 0) // 400 + 1 AS BIGINT) AS chunks, CAST(256 AS INT) AS places FROM documents WHERE length(text) > 0",
+    "index_cells": _with(
+        f"SELECT vec_id AS item_id, CAST(cell AS INT) AS cell, {r('list_distance(x, c)')} AS away FROM owned_3 JOIN cells_3 USING (cell)", *_lloyd(3)
+    ),
+    "retrieve_cells": "SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ("
+    "SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score "
+    "FROM embeddings a, embeddings b)) WHERE rank <= 3",
     "incident_context_text": query(
         f"SELECT record_id, md5({_BULLETS}) AS actions, coalesce(body, 'No relevant supporting documentation was retrieved.') AS context "
         "FROM result LEFT JOIN contexts ON query_id = handover_count WHERE root_cause <> 'Normal'",

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellsight.operators import forest as iforest, forest_growth, perturb, rca, recommend, retrieval, scoring
+from cellsight.operators import cells, forest as iforest, forest_growth, perturb, rca, recommend, retrieval, scoring
 from cellsight.operators.features import ratio_features
 from cellsight.plans import jobs
 from cellsight.plans.common import Spark, explained, kpi_view, labelled_kpi, materialise, rounded, scored_view, table, time_text
@@ -137,6 +137,26 @@ def index_table(spark: Spark, sf_dir: str) -> DataFrame:
     return retrieval.read_index(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.size("embedding")).alias("places"))
 
 
+def _vector_index(spark: Spark, sf_dir: str) -> tuple[DataFrame, cells.CellIndex]:
+    """All vectors, and an index of them in coarse cells."""
+    path = scratch_path(spark, "cells")
+    items = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS item_id", "embedding")
+    cells.write_cells(items, path, cells.fit_cells(items))
+    return items, cells.CellIndex.read(spark, path)
+
+
+def index_cells(spark: Spark, sf_dir: str) -> DataFrame:
+    """Cell of every stored vector and its distance to the centroid."""
+    _, index = _vector_index(spark, sf_dir)
+    return rounded(index.items.select("item_id", F.col("cell").cast("int").alias("cell"), "away"))
+
+
+def retrieve_cells(spark: Spark, sf_dir: str) -> DataFrame:
+    """The three nearest vectors of every vector, through the cells of a stored index."""
+    items, index = _vector_index(spark, sf_dir)
+    return cells.search(items.withColumnRenamed("item_id", "query_id"), index, 3)
+
+
 def incident_context_text(spark: Spark, sf_dir: str) -> DataFrame:
     """Action text and context of each incident, as digests; the context is found by the handover count."""
     found = retrieval.retrieve_shape(retrieval.retrieve(_queries(spark, sf_dir), _index(spark, sf_dir)))
@@ -282,7 +302,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         iforest_fit, iforest_score, iforest_predict, iforest_share, iforest_share_nodes, param_sweep, chunk_fixed, chunk_recursive, embed_text,
-        normalize_vectors, similarity_join_topk, retrieve_topk, retrieval_rank, retrieve_shape, index_table,
+        normalize_vectors, similarity_join_topk, retrieve_topk, retrieval_rank, retrieve_shape, index_table, index_cells, retrieve_cells,
         incident_context_text, incident_retrieval, stream_kpi_source, stream_score, stream_rca, stream_sink, detect_job,
         train_test_job, rca_job, profile_job, robustness_job, model_select_job, param_sweep_job, threshold_job,
         production_job, live_job, incident_job, index_job,

@@ -185,17 +185,16 @@ def test_recursive_chunks():
     assert retrieval.split_recursively("a" * 25, 10, 2, retrieval.SEPARATORS) == ["a" * 10, "a" * 10, "a" * 9]
 
 
-def test_topk_blocks_equal_brute_force(spark, sf_dir, monkeypatch):
+def test_topk_of_large_query_sets_equals_brute_force(spark, sf_dir, monkeypatch):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries, items = rows.selectExpr("vec_id AS query_id", "embedding"), rows.selectExpr("vec_id AS item_id", "embedding")
     near = {(r.query_id, r["rank"]): r.item_id for r in retrieval.similarity_topk(queries, items, 3).collect()}
     monkeypatch.setattr(retrieval, "BROADCAST_NUMBERS", 6_400)
-    monkeypatch.setattr(retrieval, "ITEM_BLOCK_NUMBERS", 12_800)
-    blocks = {(r.query_id, r["rank"]): r.item_id for r in retrieval.similarity_topk(queries, items, 3).collect()}
+    large = {(r.query_id, r["rank"]): r.item_id for r in retrieval.similarity_topk(queries, items, 3).collect()}
     data = rows.orderBy("vec_id").toPandas()
     x = np.vstack(data["embedding"]).astype(float)
     best = np.argsort(-np.round(x @ x.T, 6), axis=1, kind="stable")[:, :3]
-    assert near == blocks == {(q, k + 1): int(best[q, k]) for q in range(len(x)) for k in range(3)}
+    assert near == large == {(q, k + 1): int(best[q, k]) for q in range(len(x)) for k in range(3)}
 
 
 def test_joins_keep_null_keys(spark):
