@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cellsight.operators.joins import null_safe_join
@@ -15,8 +18,8 @@ TAIL = 0.95
 TAIL_QUANTILE = 0.90
 MINIMUM_TAIL_ROWS = 20
 POSTERIOR_CUTS = [0.50, 0.80, 0.90, 0.95]
-# Groups fitted together by the mixture; their parameters are held on the driver.
-MAX_GROUPS = 10_000
+# Bins of a summary per unit of asinh of the scaled value; the summary of a group grows with the logarithm of its range.
+FINENESS = 512
 
 
 def percentile_thresholds(scored: DataFrame, percentiles: list[int], by: list[str] = ("dataset_name",)) -> DataFrame:
@@ -76,14 +79,112 @@ def evt_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",)) -> Data
     )
 
 
-def adaptive_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",)) -> DataFrame:
-    """All closed-form methods as (by..., method, threshold)."""
+def _summaries(rows: DataFrame, by: list[str], value: str, scale: str) -> DataFrame:
+    """Mergeable summary of a column per group: rows (by..., n, m, s) with the count, mean and squared deviations of each bin.
+
+    Bins are equal steps of asinh(scale), so they are narrow where the values are and few however far they reach.
+    """
+    binned = rows.withColumn("_bin", F.expr(f"CAST(floor(asinh({scale}) * {FINENESS}D) AS BIGINT)"))
+    return binned.groupBy(*by, "_bin").agg(
+        F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.expr(f"count({value}) * var_pop({value})").alias("s")
+    )
+
+
+def _fitted(summary: DataFrame, by: list[str], extra: list[str], fit: Callable[[pd.DataFrame], tuple], names: list[str]) -> DataFrame:
+    """One row (by..., extra..., names...) per group, from a function of the group's summary."""
+    kept = [*by, *extra]
+    types = {f.name: f.dataType.simpleString() for f in summary.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"{n} double" for n in names])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = group.iloc[:1][kept].reset_index(drop=True)
+        values = fit(group.sort_values("m"))
+        return out.assign(**{n: [float(v)] for n, v in zip(names, values)})
+
+    grouped = summary.groupBy(*by) if by else summary.withColumn("_all", F.lit(0)).groupBy("_all")
+    return grouped.applyInPandas(run, schema)
+
+
+def pareto_likelihood(n: np.ndarray, m: np.ndarray, s: np.ndarray) -> tuple[float, float]:
+    """Shape and scale of the Pareto tail that maximises the likelihood of excesses given as bins of count, mean and deviations.
+
+    With t = shape / scale the best shape is the mean of ln(1 + t y), so one number is searched; the means inside a bin are
+    expanded to second order.  Shapes of -1 and below, where the likelihood has no maximum, are left out.
+    """
+    total, top = n.sum(), m.max()
+    centre = float((n * m).sum() / total)
+
+    def shape(t: float) -> float:
+        base = 1 + t * m
+        return float((n * np.log(base) - s * t * t / (2 * base * base)).sum() / total)
+
+    def loss(u: float) -> float:
+        t = (math.exp(u) - 1) / top
+        if abs(t) * top < 1e-9:
+            return math.log(centre) + 1
+        found = shape(t)
+        return math.inf if found <= -1 or found / t <= 0 else math.log(found / t) + found + 1
+
+    grid = np.linspace(math.log(1e-4), math.log(1e4), 600)
+    losses = [loss(u) for u in grid]
+    at = int(np.argmin(losses))
+    low, high = grid[max(0, at - 1)], grid[min(len(grid) - 1, at + 1)]
+    ratio = (math.sqrt(5) - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = loss(a), loss(b)
+    for _ in range(80):
+        if fa <= fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = loss(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = loss(b)
+    t = (math.exp((low + high) / 2) - 1) / top
+    if abs(t) * top < 1e-9:
+        return 0.0, centre
+    found = shape(t)
+    return found, found / t
+
+
+def evt_likelihood_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",)) -> DataFrame:
+    """Tail threshold by a Pareto tail of maximum likelihood over the excesses above the 95th percentile.
+
+    The excesses of a group are counted into a mergeable summary and fitted in its task, one job for all groups.  With at
+    most 20 excesses or equal excesses the threshold is the 99th percentile.
+    """
+    by = list(by)
+    cuts = materialise(wide_quantiles(scored, {"start": ("score", TAIL), "p99": ("score", 0.99)}, by), "tails")
+    rows = scored.select(*by, "score")
+    joined = null_safe_join(rows, cuts, by) if by else rows.withColumns({c: F.lit(v) for c, v in cuts.first().asDict().items()})
+    beyond = joined.withColumn("excess", F.col("score") - F.col("start")).where("excess > 0")
+    unit = beyond.groupBy(*by).agg(F.avg("excess").alias("unit"))
+    beyond = null_safe_join(beyond, materialise(unit, "units"), by) if by else beyond.withColumn("unit", F.lit(unit.first()["unit"]))
+    summary = _summaries(beyond, by, "excess", "16D * excess / unit")
+
+    def fit(group: pd.DataFrame) -> tuple:
+        n, m, s = (group[c].to_numpy() for c in "nms")
+        if n.sum() <= MINIMUM_TAIL_ROWS or (len(n) == 1 and s[0] <= 0):
+            return math.nan, math.nan
+        return pareto_likelihood(n, m, np.maximum(s, 0.0))
+
+    found = materialise(_fitted(summary, by, [], fit, ["shape", "scale"]), "pareto")
+    ends = null_safe_join(cuts, found, by, "left") if by else cuts.crossJoin(F.broadcast(found.limit(1))) if found.take(1) else cuts.withColumns({"shape": F.lit(math.nan), "scale": F.lit(math.nan)})
+    quantile = (
+        f"IF(abs(shape) < 1e-9D, -scale * ln({1 - TAIL_QUANTILE!r}D), scale / shape * (pow({1 - TAIL_QUANTILE!r}D, -shape) - 1D))"
+    )
+    return ends.selectExpr(*by, "'evt' AS method", f"IF(shape IS NULL OR isnan(shape), p99, start + {quantile}) AS threshold")
+
+
+def adaptive_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",), likelihood: bool = False) -> DataFrame:
+    """All closed-form methods as (by..., method, threshold); `likelihood` fits the tail by likelihood instead of by moments."""
     return (
         percentile_thresholds(scored, [90, 95, 98, 99], by)
         .unionByName(iqr_thresholds(scored, [1.5, 3.0], by))
         .unionByName(mad_thresholds(scored, [3.5, 5.0], by))
         .unionByName(gaussian_thresholds(scored, [2.5, 3.0], by))
-        .unionByName(evt_thresholds(scored, by))
+        .unionByName(evt_likelihood_thresholds(scored, by) if likelihood else evt_thresholds(scored, by))
     )
 
 
@@ -109,89 +210,65 @@ def posterior_sql(x: str = "score") -> str:
     return f"(1D / (1D + exp({_log_density(0, x)} - {_log_density(1, x)})))"
 
 
-def fit_mixture(
-    scored: DataFrame, by: list[str] = ("dataset_name",), tolerance: float = 1e-3, iterations: int = 100
-) -> DataFrame:
-    """Two normal components per group, fitted by expectation-maximisation.
+def mixture_of_bins(n: np.ndarray, m: np.ndarray, s: np.ndarray, tolerance: float, iterations: int) -> tuple:
+    """Weights, means and variances of two normal components fitted to bins of count, mean and squared deviations.
 
-    Each iteration is one aggregation over the distinct scores; only six numbers per group return to
-    the driver.  The start splits the scores at the best two-means cut, so the result is
-    reproducible.  Component 1 has the larger mean.
+    The start splits at the two-means cut; responsibilities are taken at the bin means, moments hold all of a bin's
+    deviations and are centred at the component's mean, so narrow scores far from zero lose nothing.
     """
-    by = list(by)
-    spark = scored.sparkSession
-    points = materialise(
-        scored.where("score IS NOT NULL").groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n")), "points"
-    )
-    ends = points.groupBy(*by).agg(F.min("score").alias("low"), F.max("score").alias("high")).limit(MAX_GROUPS + 1).collect()
-    if len(ends) > MAX_GROUPS:
-        raise ValueError(f"the mixture is fitted to at most {MAX_GROUPS} groups at a time")
-    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-
-    def group(row):
-        return tuple(row[c] for c in by)
-
-    def small(rows: dict[tuple, tuple], names: list[str]) -> DataFrame:
-        schema = ", ".join([f"`{c}` {types[c]}" for c in by] + [f"{c} double" for c in names])
-        return spark.createDataFrame([(*key, *values) for key, values in rows.items()], schema)
-
-    def attach(rows: dict[tuple, tuple], names: list[str]) -> DataFrame:
-        if not by:
-            return points.withColumns({c: F.lit(v) for c, v in zip(names, rows[()])})
-        return null_safe_join(points, F.broadcast(small(rows, names)), by)
-
-    # Two-means cut per group.
-    cuts = {group(r): ((r["low"] + r["high"]) / 2,) for r in ends}
-    for _ in range(20):
-        halves = attach(cuts, ["cut"]).groupBy(*by).agg(
-            F.expr("try_divide(sum(IF(score < cut, n * score, 0D)), sum(IF(score < cut, n, 0)))").alias("a"),
-            F.expr("try_divide(sum(IF(score >= cut, n * score, 0D)), sum(IF(score >= cut, n, 0)))").alias("b"),
-        )
-        moved = {
-            group(r): cuts[group(r)] if r["a"] is None or r["b"] is None else ((r["a"] + r["b"]) / 2,)
-            for r in halves.collect()
-        }
-        if all(abs(moved[k][0] - cuts[k][0]) <= 1e-9 for k in cuts):
+    total = n.sum()
+    cut = (m.min() + m.max()) / 2
+    for _ in range(100):
+        upper = m >= cut
+        if upper.all() or not upper.any():
+            break
+        moved = (np.average(m[upper], weights=n[upper]) + np.average(m[~upper], weights=n[~upper])) / 2
+        if abs(moved - cut) <= 1e-9 * (m.max() - m.min()):
             break
-        cuts = moved
-    weight = "IF(score >= cut, 1D, 0D)"
-    parameters, _ = _maximise(attach(cuts, ["cut"]).withColumn("r", F.expr(weight)).withColumn("ll", F.lit(0.0)), by, group)
-    previous: dict[tuple, float] = {}
+        cut = moved
+
+    def moments(share: np.ndarray) -> tuple[float, float, float]:
+        weight = max(float((n * share).sum()), 1e-10)
+        mean = float((n * share * m).sum()) / weight
+        spread = float((share * (s + n * np.square(m - mean))).sum()) / weight
+        return weight / total, mean, spread + _VARIANCE_FLOOR
+
+    upper = (m >= cut).astype(float)
+    first, second, previous = moments(1 - upper), moments(upper), None
     for _ in range(iterations):
-        ll0, ll1 = _log_density(0), _log_density(1)
-        top = f"greatest({ll0}, {ll1})"
-        rows = attach(parameters, _PARAMETERS).withColumns(
-            {"r": F.expr(posterior_sql()), "ll": F.expr(f"{top} + ln(exp({ll0} - {top}) + exp({ll1} - {top}))")}
-        )
-        parameters, likelihood = _maximise(rows, by, group)
-        if previous and all(abs(likelihood[k] - previous[k]) < tolerance for k in likelihood):
+        logs = [math.log(w) - 0.5 * math.log(2 * math.pi * v) - np.square(m - mean) / (2 * v) for w, mean, v in (first, second)]
+        both = np.logaddexp(*logs)
+        share = np.exp(logs[1] - both)
+        likelihood = float((n * both).sum()) / total
+        first, second = moments(1 - share), moments(share)
+        if previous is not None and abs(likelihood - previous) < tolerance:
             break
         previous = likelihood
-    ordered = {k: p if p[1] <= p[4] else (*p[3:], *p[:3]) for k, p in parameters.items()}
-    return small(ordered, _PARAMETERS)
-
-
-def _maximise(rows: DataFrame, by: list[str], group) -> tuple[dict, dict]:
-    """New parameters and mean log-likelihood per group from responsibilities `r` of component 1."""
-    sums = rows.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.expr("n * r")).alias("r"),
-        F.sum(F.expr("n * score")).alias("x"),
-        F.sum(F.expr("n * r * score")).alias("rx"),
-        F.sum(F.expr("n * score * score")).alias("xx"),
-        F.sum(F.expr("n * r * score * score")).alias("rxx"),
-        F.sum(F.expr("n * ll")).alias("ll"),
-    )
-    parameters, likelihood = {}, {}
-    for row in sums.collect():
-        found = []
-        for n, x, xx in ((row["n"] - row["r"], row["x"] - row["rx"], row["xx"] - row["rxx"]), (row["r"], row["rx"], row["rxx"])):
-            n = max(n, 1e-10)
-            mean = x / n
-            found += [n / row["n"], mean, max(xx / n - mean * mean, 0.0) + _VARIANCE_FLOOR]
-        parameters[group(row)] = tuple(found)
-        likelihood[group(row)] = row["ll"] / row["n"]
-    return parameters, likelihood
+    return (*first, *second) if first[1] <= second[1] else (*second, *first)
+
+
+def fit_mixture(
+    scored: DataFrame, by: list[str] = ("dataset_name",), tolerance: float = 1e-3, iterations: int = 100
+) -> DataFrame:
+    """Two normal components per group, fitted by expectation-maximisation; component 1 has the larger mean.
+
+    A group's scores are counted into a mergeable summary, whose size does not follow the number of rows, and
+    all iterations run in the task that holds it: one job for any number of groups.
+    """
+    by = list(by)
+    rows = scored.where("score IS NOT NULL").select(*by, "score")
+    spread = rows.groupBy(*by).agg(F.avg("score").alias("_mean"), F.stddev_pop("score").alias("_sd"))
+    if by:
+        placed = null_safe_join(rows, materialise(spread, "spreads"), by)
+    else:
+        placed = rows.withColumns({c: F.lit(v).cast("double") for c, v in spread.first().asDict().items()})
+    summary = _summaries(placed, by, "score", "IF(_sd > 0, 8D * (score - _mean) / _sd, 0D)")
+
+    def fit(group: pd.DataFrame) -> tuple:
+        n, m, s = (group[c].to_numpy() for c in "nms")
+        return mixture_of_bins(n, m, np.maximum(s, 0.0), tolerance, iterations)
+
+    return materialise(_fitted(summary, by, [], fit, _PARAMETERS), "mixture")
 
 
 def mixture_posterior(scored: DataFrame, mixture: DataFrame, by: list[str] = ("dataset_name",), output: str = "anomaly_probability") -> DataFrame:
@@ -200,7 +277,7 @@ def mixture_posterior(scored: DataFrame, mixture: DataFrame, by: list[str] = ("d
         fitted = mixture.first().asDict()
         joined = scored.withColumns({c: F.lit(fitted[c]) for c in _PARAMETERS})
     else:
-        joined = null_safe_join(scored, F.broadcast(mixture), list(by))
+        joined = null_safe_join(scored, mixture, list(by))
     return joined.withColumn(output, F.expr(posterior_sql())).drop(*_PARAMETERS)
 
 

@@ -123,7 +123,7 @@ def robustness_job(kpi: DataFrame, key: str = "record_id", rates: list[float] =
     scored = _scored_sets(perturb.stress_sets(base, rates, key), forest)
     mixture = thresholds.fit_mixture(scored)
     with_posterior = materialise(thresholds.mixture_posterior(scored, mixture), "posterior")
-    cuts = materialise(thresholds.adaptive_thresholds(scored), "cuts")
+    cuts = materialise(thresholds.adaptive_thresholds(scored, likelihood=True), "cuts")
     # A row is an anomaly above the offset, not at it.
     own = cuts.select("dataset_name").distinct().withColumns(
         {"method": F.lit("model_predict"), "threshold": F.lit(math.nextafter(-offset, math.inf))}
@@ -184,7 +184,7 @@ def model_select_job(
     cells = ", ".join(f"struct('{name}' AS fusion_method, {column} AS score)" for name, column in names.items())
     long = materialise(fused.selectExpr("dataset_name", "label", f"inline(array({cells}))"), "fused")
     by = ["dataset_name", "fusion_method"]
-    evaluation = materialise(metrics.evaluate(long, thresholds.adaptive_thresholds(long, by), by), "evaluation")
+    evaluation = materialise(metrics.evaluate(long, thresholds.adaptive_thresholds(long, by, likelihood=True), by), "evaluation")
     grouped = metrics.method_comparison(evaluation, ["fusion_method", "method"], [*metrics.METRICS, "roc_auc", "pr_auc"])
     best = metrics.rank_score_best(grouped, ["fusion_method", "method"])
     spark = kpi.sparkSession

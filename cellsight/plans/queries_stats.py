@@ -286,6 +286,15 @@ def thr_evt(spark: Spark, sf_dir: str) -> DataFrame:
     return rounded(thresholds.evt_thresholds(scored_view(spark, sf_dir)))
 
 
+def thr_gmm_parameters(spark: Spark, sf_dir: str) -> DataFrame:
+    """Weights, means and variances of the two components per data set."""
+    return rounded(thresholds.fit_mixture(scored_view(spark, sf_dir)))
+
+
+def thr_evt_likelihood(spark: Spark, sf_dir: str) -> DataFrame:
+    return rounded(thresholds.evt_likelihood_thresholds(scored_view(spark, sf_dir)))
+
+
 def apply_threshold(spark: Spark, sf_dir: str) -> DataFrame:
     flagged = thresholds.apply_threshold(scored_view(spark, sf_dir), _cuts(spark, sf_dir), "percentile_95")
     return flagged.select("record_id", "predicted")
@@ -441,7 +450,7 @@ QUERIES = {
         feature_power, select_by_power, importance_rank, confusion, class_metrics, roc_auc, pr_auc, curve_points, f1_curve,
         best_f1_threshold, threshold_sweep, sweep_average_row, constrained_best, method_comparison, rank_score_best,
         argmax_row, family_recall, failure_ranking, metric_gains, prevalence, thr_percentile, thr_iqr, thr_mad,
-        thr_gaussian, thr_gmm, thr_evt, apply_threshold, threshold_matrix, percentile_rank, dataset_partition_rank,
+        thr_gaussian, thr_gmm, thr_gmm_parameters, thr_evt, thr_evt_likelihood, apply_threshold, threshold_matrix, percentile_rank, dataset_partition_rank,
         stable_row_ids, sort_multi, head_k, top_drivers, sample_n, train_test_split, winsorize, bootstrap_rows,
         target_prevalence, split_strata, regime_shift, inject_fault, iforest_offset, risk_normalize, score_table,
         score_fusion, mean_fusion, ensemble_scores, live_decision, production_output,
