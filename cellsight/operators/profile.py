@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cellsight.operators.quantiles import exact_quantiles, quantile_values
+from cellsight.operators.ranking import running_totals
 from cellsight.session import materialise
 from cellsight.sources.schema import KPI_KEYWORDS, double, literal, numeric_columns, quoted
 
@@ -330,6 +331,51 @@ def mutual_information(df: DataFrame, columns: list[str], label: str = "label",
     return joined.groupBy("feature").agg(F.expr(f"sum({term})").alias("mutual_information"))
 
 
+def _digamma(x: str) -> str:
+    """SQL for the digamma function of a whole number of 1 or more: the recurrence up to x + 8, then its asymptotic series."""
+    y = f"({x} + 8D)"
+    steps = " - ".join(f"1D / ({x} + {i}D)" for i in range(8))
+    return f"(ln{y} - 0.5D / {y} - 1D / (12D * {y} * {y}) + 1D / (120D * pow({y}, 4)) - 1D / (252D * pow({y}, 6)) + 1D / (240D * pow({y}, 8)) - {steps})"
+
+
+def neighbour_information(df: DataFrame, columns: list[str], label: str = "label", k: int = 3) -> DataFrame:
+    """Information between each feature and the label from nearest neighbours in one dimension, over all rows.
+
+    For each value the distance to the k-th neighbour of its class is compared with the number of all values that lie nearer;
+    nothing is cut into bins.  Equal values are at distance zero; classes of one row are left out, and small classes use as
+    many neighbours as they have.  Values are first counted, then numbered within their class by distributed running totals,
+    so a value's neighbours are found by their numbers wherever they lie, and the counts inside a radius are
+    differences of running totals at its two ends.
+    """
+    counted = unpivot(df, columns, [label]).where(F.col("value").isNotNull() & F.col(label).isNotNull())
+    counted = counted.select("feature", F.col(label).alias("class"), (F.col("value") + 0.0).alias("value"))
+    counted = materialise(counted.groupBy("feature", "class", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    numbered = running_totals(counted.withColumn("one", F.lit(1).cast("long")), ["feature", "class"], ["value"], ["n", "one"])
+    numbered = numbered.where("total_n > 1").withColumn("k", F.least(F.lit(k), F.col("total_n") - 1).cast("int"))
+    numbered = materialise(numbered.select("feature", "class", "value", "n", "k", F.col("total_n").alias("size"), F.col("before_one").alias("place")), "numbered")
+
+    # Every value sends itself to the k values on both sides of it; 2k + 1 values meet at each.
+    sent = numbered.select("feature", "class", F.explode(F.sequence(F.col("place") - k, F.col("place") + k)).alias("place"), F.struct("value", "n").alias("near"))
+    near = sent.groupBy("feature", "class", "place").agg(F.sort_array(F.collect_list("near")).alias("near"))
+    at = numbered.join(near, ["feature", "class", "place"])
+    listed = at.withColumn("e", F.expr(f"flatten(transform(near, x -> array_repeat(x.value, CAST(least(x.n, {k + 1}) AS INT))))")).withColumn("p", F.expr("array_position(e, value)"))
+    # The least, over the runs of k + 1 neighbours that hold the value, of the run's further end.
+    runs = "transform(sequence(0, k), j -> IF(p - j >= 1 AND p + k - j <= size(e), greatest(value - try_element_at(e, CAST(p - j AS INT)), try_element_at(e, CAST(p + k - j AS INT)) - value), NULL))"
+    radius = materialise(listed.selectExpr("feature", "class", "value", "n", "k", "size", f"array_min({runs}) * (1D - 1e-9D) AS radius"), "radii")
+
+    points = radius.groupBy("feature", "value").agg(F.sum("n").alias("n")).selectExpr("feature", "value AS at", "0 AS side", "CAST(NULL AS DOUBLE) AS value", f"CAST(NULL AS {radius.schema['class'].dataType.simpleString()}) AS class", "n")
+    ends = [radius.selectExpr("feature", f"value {sign} radius AS at", f"{side} AS side", "value", "class", "0L AS n") for sign, side in (("-", -1), ("+", 1))]
+    totals = running_totals(points.unionByName(ends[0]).unionByName(ends[1]), ["feature"], ["at", "side", "value", "class"], ["n"])
+    inside = totals.where("side <> 0").groupBy("feature", "class", "value").agg(F.sum(F.col("side") * F.col("before_n")).cast("double").alias("m"))
+    terms = radius.join(inside, ["feature", "class", "value"])
+    everything = "CAST(sum(n) AS DOUBLE)"
+    found = terms.groupBy("feature").agg(
+        F.expr(f"{everything} AS total"),
+        F.expr(f"sum(n * ({_digamma('k')} - {_digamma('size')} - {_digamma('m')})) / {everything} AS part"),
+    )
+    return found.selectExpr("feature", f"greatest(0D, {_digamma('total')} + part) AS mutual_information")
+
+
 def feature_power(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
     """Variance, information, separation, overlap and their combined score per feature."""
     return (

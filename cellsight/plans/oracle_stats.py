@@ -83,6 +83,34 @@ _POWER_COLUMNS = ", ".join(
     f"{r(c)} AS {c}" for c in ("variance", "mutual_information", "anomaly_separation_power", "distribution_overlap", "discriminative_score")
 )
 
+
+def _psi(x: str) -> str:
+    """The digamma function of a whole number: harmonic sum below 9, asymptotic series from there on."""
+    low = f"list_sum(list_transform(range(1, CAST({x} AS BIGINT)), lambda i: 1.0::DOUBLE / i))"
+    high = f"ln({x}) - 0.5::DOUBLE / {x} - 1.0::DOUBLE / (12 * pow({x}, 2)) + 1.0::DOUBLE / (120 * pow({x}, 4)) - 1.0::DOUBLE / (252 * pow({x}, 6))"
+    return f"(CASE WHEN {x} < 9 THEN coalesce({low}, 0) - 0.5772156649015329::DOUBLE ELSE {high} END)"
+
+
+def _reach(j: int) -> str:
+    """Further end of the run of four values of a class with `j` of them below the value."""
+    if j == 0:
+        return "lead3 - value"
+    if j == 3:
+        return "value - lag3"
+    return f"CASE WHEN lag{j} IS NOT NULL AND lead{3 - j} IS NOT NULL THEN greatest(value - lag{j}, lead{3 - j} - value) END"
+
+
+_NEAR = [
+    "placed AS (SELECT feature, label, value, count(*) OVER (PARTITION BY feature, label) AS size, "
+    + ", ".join(f"{f}(value, {i}) OVER w AS {f}{i}" for f in ("lag", "lead") for i in (1, 2, 3))
+    + " FROM long WINDOW w AS (PARTITION BY feature, label ORDER BY value))",
+    f"radii AS (SELECT *, least({', '.join(_reach(j) for j in range(4))}) * (1 - 1e-9::DOUBLE) AS radius FROM placed)",
+    "nearer AS (SELECT *, CAST(count(*) OVER (PARTITION BY feature ORDER BY value RANGE BETWEEN radius PRECEDING AND radius FOLLOWING) AS DOUBLE) AS m, "
+    "CAST(count(*) OVER (PARTITION BY feature) AS DOUBLE) AS total FROM radii)",
+    "terms AS (SELECT feature, total, count(*) AS n, size, m FROM nearer GROUP BY ALL)",
+    f"near_information AS (SELECT feature, greatest(0, sum(n * ({_psi('total')} + {_psi('3')} - {_psi('size')} - {_psi('m')})) / sum(n)) AS mutual_information FROM terms GROUP BY feature)",
+]
+
 # Scores ------------------------------------------------------------------------------------------
 _STEPS = """steps AS (SELECT dataset_name, score, n, pos, t, p,
  coalesce(sum(n) OVER w, 0) AS bn, coalesce(sum(pos) OVER w, 0) AS bp FROM (
@@ -316,6 +344,7 @@ ORACLE = {
     "histogram_overlap": query(f"SELECT feature, {r('distribution_overlap')} AS distribution_overlap FROM overlap", *POWER),
     "class_separation": query(f"SELECT feature, {r('anomaly_separation_power')} AS anomaly_separation_power FROM separation", *POWER),
     "mutual_information": query(f"SELECT feature, {r('mutual_information')} AS mutual_information FROM information", *POWER),
+    "neighbour_information": query(f"SELECT feature, {r('mutual_information')} AS mutual_information FROM near_information", LABELLED, _LONG, *_NEAR),
     "feature_power": query(f"SELECT feature, {_POWER_COLUMNS} FROM power", *POWER),
     "select_by_power": query(
         f"SELECT feature, {r('discriminative_score')} AS discriminative_score FROM power WHERE feature IN ('throughput_mbps', 'rsrq_db') OR discriminative_score > "

@@ -143,6 +143,10 @@ def mutual_information(spark: Spark, sf_dir: str) -> DataFrame:
     return rounded(profile.mutual_information(labelled_kpi(spark, sf_dir), KPI_FIELDS))
 
 
+def neighbour_information(spark: Spark, sf_dir: str) -> DataFrame:
+    return rounded(profile.neighbour_information(labelled_kpi(spark, sf_dir), KPI_FIELDS))
+
+
 def feature_power(spark: Spark, sf_dir: str) -> DataFrame:
     return rounded(profile.feature_power(labelled_kpi(spark, sf_dir), KPI_FIELDS))
 
@@ -447,7 +451,7 @@ QUERIES = {
         median_impute, mode_impute, dedupe_rows, outlier_flag, standard_scale, variance_filter, corr_matrix, cov_matrix,
         corr_prune, top_correlations, feature_report, select_features, kpi_profile, value_counts, rca_coverage,
         score_summary, anomaly_summary, score_histogram, histogram_overlap, class_separation, mutual_information,
-        feature_power, select_by_power, importance_rank, confusion, class_metrics, roc_auc, pr_auc, curve_points, f1_curve,
+        neighbour_information, feature_power, select_by_power, importance_rank, confusion, class_metrics, roc_auc, pr_auc, curve_points, f1_curve,
         best_f1_threshold, threshold_sweep, sweep_average_row, constrained_best, method_comparison, rank_score_best,
         argmax_row, family_recall, failure_ranking, metric_gains, prevalence, thr_percentile, thr_iqr, thr_mad,
         thr_gaussian, thr_gmm, thr_gmm_parameters, thr_evt, thr_evt_likelihood, apply_threshold, threshold_matrix, percentile_rank, dataset_partition_rank,
