@@ -35,19 +35,63 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFram
     return df.selectExpr(*keep, f"inline(array({cells}))").where("value IS NOT NULL")
 
 
+def central_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (feature, n, mean, m2, m3, m4, min, max): sums of powers of the deviations from the mean, up to the fourth.
+
+    A task returns one state per column, built batch by batch around the batch's own mean; states of any parts merge by
+    shifting them to the common mean, so nothing cancels.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    numbers = df.selectExpr(*[f"{double(c)} AS {n}" for n, c in zip(names, columns)])
+
+    def shifted(n, mean, m2, m3, m4, centre):
+        d = mean - centre
+        return m2 + n * d**2, m3 + 3 * d * m2 + n * d**3, m4 + 4 * d * m3 + 6 * d**2 * m2 + n * d**4
+
+    def state(batches):
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            n = (~np.isnan(x)).sum(axis=0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = np.where(n > 0, np.nansum(x, axis=0) / np.maximum(n, 1), 0.0)
+                d = np.nan_to_num(x - mean)
+            low, high = np.where(np.isnan(x), np.inf, x).min(axis=0, initial=np.inf), np.where(np.isnan(x), -np.inf, x).max(axis=0, initial=-np.inf)
+            part = [n.astype(float), mean, (d**2).sum(axis=0), (d**3).sum(axis=0), (d**4).sum(axis=0), low, high]
+            if total is None:
+                total = part
+                continue
+            count = total[0] + part[0]
+            centre = np.where(count > 0, (total[0] * total[1] + part[0] * part[1]) / np.maximum(count, 1), 0.0)
+            sums = [a + b for a, b in zip(shifted(*total[:5], centre), shifted(*part[:5], centre))]
+            total = [count, centre, *sums, np.minimum(total[5], low), np.maximum(total[6], high)]
+        if total is not None:
+            yield pd.DataFrame({"place": np.arange(len(columns)), **dict(zip(("n", "mean", "m2", "m3", "m4", "low", "high"), total))})
+
+    parts = materialise(numbers.mapInPandas(state, "place int, n double, mean double, m2 double, m3 double, m4 double, low double, high double"), "moments")
+    parts = parts.where("n > 0")
+    centres = parts.groupBy("place").agg(F.expr("sum(n * mean) / sum(n)").alias("centre"))
+    d = "(mean - centre)"
+    merged = parts.join(centres, "place").groupBy("place", "centre").agg(
+        F.sum("n").alias("n"),
+        F.expr(f"sum(m2 + n * {d} * {d})").alias("m2"),
+        F.expr(f"sum(m3 + 3D * {d} * m2 + n * pow({d}, 3))").alias("m3"),
+        F.expr(f"sum(m4 + 4D * {d} * m3 + 6D * {d} * {d} * m2 + n * pow({d}, 4))").alias("m4"),
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
+    )
+    feature = "array(" + ", ".join(map(literal, columns)) + ")[place] AS feature"
+    return merged.selectExpr(feature, "n", "centre AS mean", "m2", "m3", "m4", "min", "max")
+
+
 def kpi_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, deviation, range, quantiles, skewness and excess kurtosis per column."""
-    moments = {
-        "mean": "avg({c})",
-        "std": "stddev_samp({c})",
-        "min": "min({c})",
-        "max": "max({c})",
-        "skewness": "skewness({c})",
-        "kurtosis": "kurtosis({c})",
-    }
     numbers = df.selectExpr(*[f"{double(c)} AS {quoted(c)}" for c in columns])
-    wide = numbers.selectExpr(*[f"{sql.format(c=quoted(c))} AS {quoted(f'{c}__{n}')}" for c in columns for n, sql in moments.items()])
-    long = _inline(wide, columns, {n: f"__{n}" for n in moments})
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    long = names.join(central_moments(numbers, columns), "feature", "left").selectExpr(
+        "feature", "mean", "sqrt(IF(n > 1, m2 / (n - 1), NULL)) AS std", "min", "max",
+        "IF(m2 > 0, sqrt(n) * m3 / pow(m2, 1.5D), NULL) AS skewness", "IF(m2 > 0, n * m4 / (m2 * m2) - 3D, NULL) AS kurtosis",
+    )
     quantiles = exact_quantiles(numbers, {c: list(PROFILE_QUANTILES.values()) for c in columns})
     named = quantiles.groupBy("feature").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in PROFILE_QUANTILES.items()]

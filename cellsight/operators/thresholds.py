@@ -22,20 +22,26 @@ POSTERIOR_CUTS = [0.50, 0.80, 0.90, 0.95]
 FINENESS = 512
 
 
+def _common_quantiles(scored: DataFrame, by: list[str]) -> DataFrame:
+    """All quantiles that the methods share, selected at once: columns p25 to p99."""
+    probs = (25, 50, 75, 90, 95, 98, 99)
+    return materialise(wide_quantiles(scored, {f"p{p}": ("score", p / 100) for p in probs}, by), "quantiles")
+
+
 def percentile_thresholds(scored: DataFrame, percentiles: list[int], by: list[str] = ("dataset_name",)) -> DataFrame:
     found = exact_quantiles(scored, {"score": [p / 100 for p in percentiles]}, by)
     name = F.concat(F.lit("percentile_"), F.round(F.col("prob") * 100).cast("int").cast("string"))
     return found.select(*by, name.alias("method"), F.col("value").alias("threshold"))
 
 
-def iqr_thresholds(scored: DataFrame, factors: list[float], by: list[str] = ("dataset_name",)) -> DataFrame:
-    quartiles = wide_quantiles(scored, {"q1": ("score", 0.25), "q3": ("score", 0.75)}, by)
+def iqr_thresholds(scored: DataFrame, factors: list[float], by: list[str] = ("dataset_name",), known: DataFrame | None = None) -> DataFrame:
+    quartiles = known.selectExpr(*by, "p25 AS q1", "p75 AS q3") if known else wide_quantiles(scored, {"q1": ("score", 0.25), "q3": ("score", 0.75)}, by)
     return _per_factor(quartiles, "iqr", factors, "q3 + {k}D * (q3 - q1)", by)
 
 
-def mad_thresholds(scored: DataFrame, factors: list[float], by: list[str] = ("dataset_name",)) -> DataFrame:
+def mad_thresholds(scored: DataFrame, factors: list[float], by: list[str] = ("dataset_name",), known: DataFrame | None = None) -> DataFrame:
     """Median plus multiples of the scaled median distance from the median."""
-    middle = materialise(wide_quantiles(scored, {"middle": ("score", 0.5)}, by), "medians")
+    middle = known.selectExpr(*by, "p50 AS middle") if known else materialise(wide_quantiles(scored, {"middle": ("score", 0.5)}, by), "medians")
     rows = scored.select(*by, "score")
     away = null_safe_join(rows, middle, list(by)) if by else rows.withColumn("middle", F.lit(middle.first()["middle"]))
     distance = wide_quantiles(away.select(*by, F.abs(F.col("score") - F.col("middle")).alias("away")), {"mad": ("away", 0.5)}, by)
@@ -53,13 +59,19 @@ def _per_factor(stats: DataFrame, name: str, factors: list[float], sql: str, by:
     return stats.selectExpr(*by, f"inline(array({cells}))")
 
 
-def evt_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",)) -> DataFrame:
+def _tails(scored: DataFrame, by: list[str], known: DataFrame | None) -> DataFrame:
+    if known:
+        return known.selectExpr(*by, "p95 AS start", "p99")
+    return materialise(wide_quantiles(scored, {"start": ("score", TAIL), "p99": ("score", 0.99)}, by), "tails")
+
+
+def evt_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",), known: DataFrame | None = None) -> DataFrame:
     """Tail threshold: a Pareto fit by moments to the excesses over the 95th percentile.
 
     The threshold is the tail start plus the 90 % quantile of the fit; with at most 20 excesses or
     equal excesses it is the 99th percentile.
     """
-    cuts = materialise(wide_quantiles(scored, {"start": ("score", TAIL), "p99": ("score", 0.99)}, by), "tails")
+    cuts = _tails(scored, by, known)
     rows = scored.select(*by, "score")
     joined = null_safe_join(rows, cuts, list(by)) if by else rows.withColumns(
         {c: F.lit(v) for c, v in cuts.first().asDict().items()}
@@ -148,14 +160,14 @@ def pareto_likelihood(n: np.ndarray, m: np.ndarray, s: np.ndarray) -> tuple[floa
     return found, found / t
 
 
-def evt_likelihood_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",)) -> DataFrame:
+def evt_likelihood_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",), known: DataFrame | None = None) -> DataFrame:
     """Tail threshold by a Pareto tail of maximum likelihood over the excesses above the 95th percentile.
 
     The excesses of a group are counted into a mergeable summary and fitted in its task, one job for all groups.  With at
     most 20 excesses or equal excesses the threshold is the 99th percentile.
     """
     by = list(by)
-    cuts = materialise(wide_quantiles(scored, {"start": ("score", TAIL), "p99": ("score", 0.99)}, by), "tails")
+    cuts = _tails(scored, by, known)
     rows = scored.select(*by, "score")
     joined = null_safe_join(rows, cuts, by) if by else rows.withColumns({c: F.lit(v) for c, v in cuts.first().asDict().items()})
     beyond = joined.withColumn("excess", F.col("score") - F.col("start")).where("excess > 0")
@@ -178,13 +190,20 @@ def evt_likelihood_thresholds(scored: DataFrame, by: list[str] = ("dataset_name"
 
 
 def adaptive_thresholds(scored: DataFrame, by: list[str] = ("dataset_name",), likelihood: bool = False) -> DataFrame:
-    """All closed-form methods as (by..., method, threshold); `likelihood` fits the tail by likelihood instead of by moments."""
+    """All closed-form methods as (by..., method, threshold); `likelihood` fits the tail by likelihood instead of by moments.
+
+    The quantiles that the methods need are selected together; only the distances from the median need a second selection.
+    """
+    by = list(by)
+    known = _common_quantiles(scored, by)
+    cells = ", ".join(f"struct('percentile_{p}' AS method, p{p} AS threshold)" for p in (90, 95, 98, 99))
+    tail = evt_likelihood_thresholds if likelihood else evt_thresholds
     return (
-        percentile_thresholds(scored, [90, 95, 98, 99], by)
-        .unionByName(iqr_thresholds(scored, [1.5, 3.0], by))
-        .unionByName(mad_thresholds(scored, [3.5, 5.0], by))
+        known.selectExpr(*by, f"inline(array({cells}))")
+        .unionByName(iqr_thresholds(scored, [1.5, 3.0], by, known))
+        .unionByName(mad_thresholds(scored, [3.5, 5.0], by, known))
         .unionByName(gaussian_thresholds(scored, [2.5, 3.0], by))
-        .unionByName(evt_likelihood_thresholds(scored, by) if likelihood else evt_thresholds(scored, by))
+        .unionByName(tail(scored, by, known))
     )
 
 

@@ -98,7 +98,7 @@ def test_distributed_quantiles_match_numpy(spark, sf_dir, parts):
 def test_quantiles_survive_a_missed_bracket(spark, sf_dir):
     rows = kpi_view(spark, sf_dir).select("throughput_mbps")
     values = rows.toPandas()["throughput_mbps"]
-    found = quantiles._narrowed(rows, {"throughput_mbps": [0.5]}, [], 100, small_group=None).first()
+    found = quantiles._narrowed(rows, {"throughput_mbps": [0.5]}, [], None).first()
     assert found.value == pytest.approx(np.percentile(values, 50)) and not found.outside
 
 
