@@ -1,6 +1,6 @@
 """Vectorised text kernels and Spark helpers shared by the operators of this subpackage.
 
-Texts reach Python as UTF-8 bytes in Arrow batches.  A chunk of a batch (about two megabytes, or one
+Texts reach Python as UTF-8 bytes in Arrow batches.  A chunk of a batch (about half a megabyte, or one
 longer text) is handled with NumPy as one byte array, so memory is bounded by the longest text.
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; A-Z are folded to a-z.
 A null text is an empty text everywhere.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellsight.session import materialise  # noqa: F401  (for the operators)
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 CHUNK_ROWS = 1 << 15
 #: Bits of a shingle hash; two of one document's shingles fall together with a probability near n*n/2**49.
 SHINGLE_BITS = 48

@@ -7,7 +7,8 @@ smallest hash of their id; a documented bound, the only one).  Whole texts are u
 
 A trained model scores a text by one number per feature, so only a table of fixed size is broadcast.
 Without usable labels every score is 0.5.  Null texts are empty texts, rows with equal ids are scored
-each, null labels and null ids in the labels teach nothing, other columns are ignored.
+each, null labels and null ids in the labels teach nothing, rows equal in id, text and label teach once, ties of the
+hash go to the smaller label, a very long text is a chunk of its own, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellsight.llm.common import Chunk, chunks, mixed, substring_hashes, text_bytes
+from cellsight.llm.common import Chunk, chunks, materialise, mixed, substring_hashes, text_bytes
 
 _U = np.uint64
 BUCKET_BITS = 17
@@ -106,8 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(F.col("_id").cast("string")), "_label").limit(sample_rows)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_bytes(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    # Repeated ids could make the join larger than the sample.
-    rows = rows.select(F.xxhash64(F.col("_id").cast("string"), "_text").alias("_order"), "_label", "_text").orderBy("_order", "_label").limit(sample_rows)
+    rows = rows.select(F.xxhash64(F.col("_id").cast("string"), "_text").alias("_order"), "_label", "_text")
+    # Repeated ids could make the join larger than the sample: choose by the numbers alone, then take the texts of those.
+    picked = materialise(rows.select("_order", "_label").distinct().orderBy("_order", "_label").limit(sample_rows), "sample")
+    rows = rows.join(F.broadcast(picked), ["_order", "_label"]).dropDuplicates(["_order", "_label"])
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "_text"):
