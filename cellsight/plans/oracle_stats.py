@@ -413,6 +413,10 @@ ORACLE = {
         f"SELECT dataset_name, anomaly_family, {r('recall')} AS recall, missed FROM families ORDER BY families.recall, families.missed DESC, dataset_name, anomaly_family LIMIT 12",
         SCORED, CUTS, _FAMILIES,
     ),
+    "heaviest_errors": query(
+        " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS kind, dataset_name, method, {c} AS errors FROM measured ORDER BY {c} DESC, dataset_name, method LIMIT 5)" for c in ("fp", "fn")),
+        *EVALUATION,
+    ),
     "metric_gains": query(
         " UNION ALL ".join(
             f"SELECT '{c}' AS metric, {r(f'avg({c}) FILTER (method = {chr(39)}percentile_99{chr(39)})')} AS baseline, {r(f'avg({c}) FILTER (method = {chr(39)}percentile_90{chr(39)})')} AS optimised, "

@@ -250,6 +250,13 @@ def failure_ranking(spark: Spark, sf_dir: str) -> DataFrame:
     return rounded(metrics.worst_families(_families(spark, sf_dir)).select("dataset_name", "anomaly_family", "recall", "missed"))
 
 
+def heaviest_errors(spark: Spark, sf_dir: str) -> DataFrame:
+    """The five rows of the evaluation with the most false alarms, and the five with the most misses."""
+    rows = materialise(_evaluation(spark, sf_dir), "evaluation")
+    lists = [metrics.heaviest(rows, c, ["dataset_name", "method"]).select(F.lit(c).alias("kind"), "dataset_name", "method", F.col(c).alias("errors")) for c in ("fp", "fn")]
+    return lists[0].unionByName(lists[1])
+
+
 def metric_gains(spark: Spark, sf_dir: str) -> DataFrame:
     """Metrics at the 90th percentile against those at the 99th, averaged over the sets."""
     rows = materialise(metrics.method_comparison(_evaluation(spark, sf_dir), ["method"], METRIC_COLUMNS), "methods")
@@ -453,7 +460,7 @@ QUERIES = {
         score_summary, anomaly_summary, score_histogram, histogram_overlap, class_separation, mutual_information,
         neighbour_information, feature_power, select_by_power, importance_rank, confusion, class_metrics, roc_auc, pr_auc, curve_points, f1_curve,
         best_f1_threshold, threshold_sweep, sweep_average_row, constrained_best, method_comparison, rank_score_best,
-        argmax_row, family_recall, failure_ranking, metric_gains, prevalence, thr_percentile, thr_iqr, thr_mad,
+        argmax_row, family_recall, failure_ranking, heaviest_errors, metric_gains, prevalence, thr_percentile, thr_iqr, thr_mad,
         thr_gaussian, thr_gmm, thr_gmm_parameters, thr_evt, thr_evt_likelihood, apply_threshold, threshold_matrix, percentile_rank, dataset_partition_rank,
         stable_row_ids, sort_multi, head_k, top_drivers, sample_n, train_test_split, winsorize, bootstrap_rows,
         target_prevalence, split_strata, regime_shift, inject_fault, iforest_offset, risk_normalize, score_table,
