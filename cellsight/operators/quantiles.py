@@ -180,7 +180,7 @@ def _brackets(values: DataFrame, probs: dict[str, list[float]], by: list[str], s
         low, high = merged(part).ends(probs[first["feature"][0]], small_group)
         return first.assign(lows=[np.array(low, dtype=float)], highs=[np.array(high, dtype=float)])
 
-    parts = values.select(*by, *probs).toDF(*keys, *places.values()).mapInPandas(build, schema)
+    parts = values.toDF(*keys, *places.values()).mapInPandas(build, schema)
     slots = parts.groupBy(*keys, "feature", "slot").applyInPandas(merge, schema)
     ends = slots.groupBy(*keys, "feature").applyInPandas(close, ", ".join([*kinds, "feature string", "lows array<double>", "highs array<double>"]))
     return ends.withColumnsRenamed(dict(zip(keys, by)))
@@ -228,7 +228,7 @@ def _snap_batches(values: DataFrame, probs: dict[str, list[float]], by: list[str
                     )
 
     schema = ", ".join([*kinds, "feature string", "v double", "side int", "n long"])
-    return values.select(*by, *probs).toDF(*keys, *places.values()).mapInPandas(snap, schema).withColumnsRenamed(dict(zip(keys, by)))
+    return values.toDF(*keys, *places.values()).mapInPandas(snap, schema).withColumnsRenamed(dict(zip(keys, by)))
 
 
 def _snap_joined(values: DataFrame, probs: dict[str, list[float]], by: list[str], brackets: DataFrame) -> DataFrame:
