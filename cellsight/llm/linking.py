@@ -205,6 +205,17 @@ def _residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame | N
     return materialise(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
+def bucket_components(members: DataFrame, classes: DataFrame, texts: DataFrame | None, banding: Banding) -> DataFrame:
+    """`node, root` for the nodes that have a link, from the written table `members` (key, node, leader) of buckets.
+
+    `classes` has one row (node, sig, _text) per node; with `texts` (node, _text) the texts are taken from there.
+    """
+    pairs = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = verified(pairs, classes.select("node", "_text") if texts is None else texts, banding)
+    rest = _residual_links(members.select("key", "node"), classes, texts, components(links), banding)
+    return components(links.unionByName(rest))
+
+
 def near_duplicates(signed: DataFrame, banding: Banding, texts: DataFrame | None = None) -> DataFrame:
     """`_row, root` for all rows with a shingle: the least _row that is reachable by links."""
     present = signed.where("n > 0")
@@ -214,10 +225,6 @@ def near_duplicates(signed: DataFrame, banding: Banding, texts: DataFrame | None
     buckets = materialise(_bands(classes, banding), "bands")
     shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     members = materialise(buckets.join(shared.select("key", "leader"), "key"), "members")
-    pairs = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = verified(pairs, classes.select("node", "_text") if apart is None else apart, banding)
-    labels = components(links)
-    rest = _residual_links(members.select("key", "node"), classes, apart, labels, banding)
-    labels = components(links.unionByName(rest))
+    labels = bucket_components(members, classes, apart, banding)
     of_class = groups.join(labels, "node", "left").select("fp1", "fp2", "n", F.coalesce("root", "node").alias("root"))
     return present.select(ROW, "fp1", "fp2", "n").join(of_class, ["fp1", "fp2", "n"]).select(ROW, "root")

@@ -17,6 +17,7 @@ import __spark_entry__ as entry
 import checker
 import corpus_pipeline
 from cellsight.llm import components, decontaminate, embedding_dedup, hyperminhash, induced_sort, mixing, ngram_lm, paragraph_dedup, quality, queries, suffix_dedup, token_counts, warc
+from cellsight.llm.common import Chunk
 from cellsight.session import scratch_path
 
 TINY = "/root/testdata/sf0.001"
@@ -238,55 +239,87 @@ def test_decontamination(spark, make_docs, odd_rows):
     assert decontaminate.contaminated(make_docs([]), bench).count() == 0 and decontaminate.contaminated(docs, bench.where("1 = 0")).count() == 0
 
 
-def test_paragraphs(spark, make_docs):
-    random.seed(6)
-    line = lambda n: [f"v{random.randrange(400)}" for _ in range(n)]
-    shared = [line(random.randrange(10, 60)) for _ in range(12)]
-    rows = []
-    for i in range(120):
-        parts = [" ".join(line(random.randrange(1, 40))) for _ in range(3)]
-        edited = [w if random.random() > 0.02 else "edit" for w in random.choice(shared)]
-        rows.append((i, "\n".join([*parts, " ".join(edited)]), "a"))
-    rows += [(None, rows[0][1], None), (5, None, None), (6, "", "x"), (7, rows[3][1], "a"), (7, rows[3][1], "a")]
-    paragraphs = [((i, k), shingles(p, 5)) for i, t, _ in rows for k, p in enumerate((t or "").split("\n")) if len(words(p)) >= 10]
-    parent = list(range(len(paragraphs)))
-    for a, b in itertools.combinations(range(len(paragraphs)), 2):
-        if linked(paragraphs[a][1], paragraphs[b][1]):
+def pieces_of(text):
+    """Paragraphs of one text, cut word by word: (start byte, byte count, words)."""
+    raw = (text or "").encode()
+    chunk = Chunk(None, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+    starts, ends, one = chunk.words()
+    if not len(starts):
+        return []
+    ranks = paragraph_dedup.border_ranks(chunk, starts, ends, one, chunk.word_hashes()[0]).tolist()
+    reach, n = paragraph_dedup.REACH, len(ranks)
+    borders = [0]
+    for j in range(reach + 1, n - reach):
+        if ranks[j] < min(ranks[j - reach : j]) and ranks[j] <= min(ranks[j + 1 : j + 1 + reach]):
+            borders.append(j)
+    return [(int(starts[x]), int(ends[y - 1] - starts[x]), raw[starts[x] : ends[y - 1]].lower().split()) for x, y in itertools.pairwise([*borders, n])]
+
+
+def paragraphs_by_force(rows, least_words):
+    cut = [(text, k, piece) for text, (_, t, _) in enumerate(rows) for k, piece in enumerate(pieces_of(t))]
+    sets = [shingles(b" ".join(piece[2]).decode(), 5) for _, _, piece in cut]
+    parent = list(range(len(cut)))
+    for a, b in itertools.combinations(range(len(cut)), 2):
+        if linked(sets[a], sets[b]):
             parent[find(parent, b)] = find(parent, a)
     groups = defaultdict(list)
-    for k, (name, _) in enumerate(paragraphs):
-        groups[find(parent, k)].append(name)
-    order = lambda x: (x[0] is None, x[0] or 0, x[1])
-    want = Counter((name, min(g, key=order), len(g)) for g in groups.values() if len(g) > 1 for name in g)
-    got = paragraph_dedup.repeated_paragraphs(make_docs(rows)).collect()
-    assert Counter(((r["doc_id"], r["paragraph"]), (r["kept_doc_id"], r["kept_paragraph"]), r["component_size"]) for r in got) == want
-    assert sum(not r["removed"] for r in got) == sum(len(g) > 1 for g in groups.values())
-    assert paragraph_dedup.repeated_paragraphs(make_docs([])).count() == 0
+    for k in range(len(cut)):
+        groups[find(parent, k)].append(k)
+    repeated = {(cut[k][0], cut[k][1]): (g, cut[k]) for g in groups.values() if len(g) > 1 for k in g}
+    want = Counter()
+    for (text, k), (g, (_, _, (start, size, tokens))) in repeated.items():
+        low, high = k, k
+        while (text, low - 1) in repeated:
+            low -= 1
+        while (text, high + 1) in repeated:
+            high += 1
+        length = sum(len(repeated[text, x][1][2][2]) for x in range(low, high + 1))
+        if length >= least_words:
+            kept = min(((rows[cut[m][0]][0], cut[m][1]) for m in g), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+            want[rows[text][0], k, start, size, len(tokens), length, kept, len(g)] += 1
+    return want
 
 
-def test_paragraphs_of_any_length(spark, make_docs, monkeypatch):
-    random.seed(16)
-    line = lambda n, v=60: [f"v{random.randrange(v)}" for _ in range(n)]
-    shared = [line(n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 12, 20)]
+def found_paragraphs(df):
+    return Counter((r["doc_id"], r["paragraph"], r["start_byte"], r["n_bytes"], r["n_words"], r["passage_words"], (r["kept_doc_id"], r["kept_paragraph"]), r["component_size"]) for r in df.collect())
+
+
+def test_paragraphs(spark, make_docs, monkeypatch):
+    random.seed(6)
+    line = lambda n: [f"v{random.randrange(400)}" + random.choice(["", "", "", "", "", ".", "!"]) for _ in range(n)]
+    shared = [line(random.randrange(12, 90)) for _ in range(12)]
     rows = []
-    for i in range(80):
-        parts = [" ".join(random.choice(shared)) for _ in range(2)] + [" ".join(line(random.randrange(1, 9), 4))]
-        # One word more or less at an end: sets of four and more can stay near enough.
-        near = random.choice(shared[6:])
-        rows.append((i, "\n".join([*parts, " ".join(near[1:]), "", " ".join([*near, "end"])]), "a"))
+    for i in range(60):
+        edited = [w if random.random() > 0.01 else "edit" for w in random.choice(shared)]
+        # The passage stands between other words, in a line of its own or inside a longer one.
+        gap = random.choice([" ", "\n"])
+        rows.append((i, "\n".join([" ".join(line(random.randrange(1, 20))), " ".join(line(random.randrange(1, 40))) + gap + " ".join(edited) + gap + " ".join(line(random.randrange(1, 40)))]), "a"))
+    rows += [(None, rows[0][1], None), (5, None, None), (6, "", "x"), (8, " \n ", "x"), (7, rows[3][1], "a"), (7, rows[3][1], "a"), (9, "one two\nthree", "b"), (10, "and " * 300, "b")]
+    rows += [(11, "Of " + "and " * 300 + "end", "b"), (12, "One two\tthree", "b")]
+    for least in (1, paragraph_dedup.MIN_WORDS):
+        want = paragraphs_by_force(rows, least)
+        got = paragraph_dedup.repeated_paragraphs(make_docs(rows), min_words=least)
+        assert found_paragraphs(got) == want and len(want) > 60
     monkeypatch.setattr(queries, "table", lambda *_: make_docs(rows))
-    got = queries.op7_paragraphs(spark, "").collect()
-    paragraphs = [((i, k), shingles(p, 5)) for i, t, _ in rows for k, p in enumerate(t.split("\n")) if words(p)]
-    parent = list(range(len(paragraphs)))
-    for a, b in itertools.combinations(range(len(paragraphs)), 2):
-        if linked(paragraphs[a][1], paragraphs[b][1]):
-            parent[find(parent, b)] = find(parent, a)
-    groups = defaultdict(list)
-    for k, (name, _) in enumerate(paragraphs):
-        groups[find(parent, k)].append(name)
-    want = Counter((name, min(g), len(g)) for g in groups.values() if len(g) > 1 for name in g)
-    assert Counter(((r["doc_id"], r["paragraph"]), (r["kept_doc_id"], r["kept_paragraph"]), r["component_size"]) for r in got) == want
-    assert any(len({frozenset(shingles(rows[i][1].split("\n")[k], 5)) for i, k in g}) > 1 for g in groups.values())
+    assert found_paragraphs(queries.op7_paragraphs(spark, "")) == want
+    every = paragraph_dedup.repeated_paragraphs(make_docs(rows), min_words=1).collect()
+    assert sum(not r["removed"] for r in every) == len({(r["kept_doc_id"], r["kept_paragraph"]) for r in every})
+    assert paragraph_dedup.repeated_paragraphs(make_docs([])).count() == 0
+
+
+def test_paragraphs_inside_longer_lines(spark, make_docs, monkeypatch):
+    """A passage of 60 words inside a line is found in every text, a line of common words in none."""
+    random.seed(16)
+    word = lambda: "".join(random.choices("abcdefgh", k=6)) + random.choice(["", "", "", "", "", "", "", "", "."])
+    passages = [" ".join(word() for _ in range(60)) for _ in range(60)]
+    rows = [(2 * k + j, " ".join([*(word() for _ in range(30)), p, *(word() for _ in range(30))]), "a") for k, p in enumerate(passages) for j in range(2)]
+    rows += [(1000 + k, " ".join(word() for _ in range(40)) + "\nHome\nThis work is licensed under the general terms\n" + " ".join(word() for _ in range(40)), "b") for k in range(60)]
+    found = {r["doc_id"] for r in paragraph_dedup.repeated_paragraphs(make_docs(rows)).collect()}
+    assert len(found) >= 0.95 * 120 and max(found) < 1000
+    monkeypatch.setattr(paragraph_dedup, "_PIECES", 1 << 9)
+    long = " ".join(word() for _ in range(60_000))
+    got = paragraph_dedup.repeated_paragraphs(make_docs([(1, "Before it " + long, "a"), (2, long + " after", "a")])).collect()
+    assert sum(r["n_words"] for r in got) > 119_800
 
 
 def test_induced_sort():
