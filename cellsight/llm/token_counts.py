@@ -4,10 +4,12 @@ No piece of the vocabulary crosses the start of a run of spaces or a line break
 model is loaded), so the count of a prefix is the count at the last such start plus the count of the
 rest.  Inside a segment the table is filled from left to right: the encoding of a prefix ends with the
 one piece that may follow the last piece of a shorter prefix, which a probe of two pieces decides.
-Texts in which the model's own space sign occurs are handed to the library whole.
+The count of a segment is the last entry of its table; a worker remembers it by the segment.
+The model's own space sign in a text counts like a space, as the library has it.
 
-Null and empty texts have no tokens.  Other columns of the input are ignored; rows are kept as they
-are, repeated ones included.
+Null and empty texts have no tokens.  A very long text is handled segment by segment.  Other columns of
+the input are ignored, whatever their names; rows are kept as they are, repeated ones included; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from cellsight.llm.common import text_bytes
 
 SPACE_SIGN = "▁"
 _SIGN_BYTES = SPACE_SIGN.encode()
+#: Longer pieces are looked up by this many last characters.
+_TAIL = 3
 _SEGMENT = re.compile(rb"\n[^ \n]*| +[^ \n]*|[^ \n]+")
-#: Encoded segments that a worker remembers before it starts anew.
-REMEMBERED = 1 << 18
+#: Segments, and pairs of pieces, that a worker remembers before it starts anew; longer segments are counted each time.
+REMEMBERED = 1 << 19
+REMEMBERED_BYTES = 64
 
 
 def model_bytes(path: str) -> bytes:
@@ -44,36 +49,34 @@ class PrefixCounter(dict):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.separable = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) or "\n" in p or " " in p for p in pieces)
-        self.pieces, self.longest = set(pieces), max(map(len, pieces))
+        self.pieces = set(pieces)
+        tails: dict[str, set[int]] = {}
+        for piece in self.pieces:
+            if len(piece) >= _TAIL:
+                tails.setdefault(piece[-_TAIL:], set()).add(len(piece))
+        self.tails = {tail: tuple(sorted(sizes | {2}, reverse=True)) for tail, sizes in tails.items()}
         self.follows: dict[tuple[str, str], bool] = {}
 
     def __missing__(self, segment: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if segment == b" ":
-            count = 1
-        elif segment.startswith(b" "):  # the library puts one space sign before a text
-            count = len(self.library.encode(segment[1:].decode("utf-8", "replace")))
-        else:  # a segment after a line break: less the library's space sign
-            count = len(self.library.encode(segment.decode("utf-8", "replace"))) - 1
-        self[segment] = count
+        count = self.inside(segment.decode("utf-8", "replace").replace(" ", SPACE_SIGN))[-1]
+        if len(segment) <= REMEMBERED_BYTES:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[segment] = count
         return count
 
     def segments(self, text: bytes) -> tuple[list[bytes], list[int]]:
         """The segments and the token count at the end of each."""
         if not text:
             return [], []
-        if not self.separable or _SIGN_BYTES in text:
+        if not self.separable:
             return [text], [len(self.library.encode(text.decode("utf-8", "replace")))]
-        found = _SEGMENT.findall(b" " + text)
+        found = _SEGMENT.findall(b" " + text.replace(_SIGN_BYTES, b" "))
         return found, list(accumulate(map(self.__getitem__, found)))
 
     def count(self, text: bytes) -> int:
-        if not text:
-            return 0
-        if not self.separable or _SIGN_BYTES in text:
-            return len(self.library.encode(text.decode("utf-8", "replace")))
-        return sum(map(self.__getitem__, _SEGMENT.findall(b" " + text)))
+        ends = self.segments(text)[1]
+        return ends[-1] if ends else 0
 
     def _encoded(self, escaped: str) -> list[str]:
         """Pieces of a text that already holds space signs, without the one that the library adds."""
@@ -84,34 +87,39 @@ class PrefixCounter(dict):
         if key not in self.follows:
             if len(self.follows) > REMEMBERED:
                 self.follows.clear()
-            self.follows[key] = self._encoded(last + piece) == [last, piece]
+            self.follows[key] = self._encoded(last + piece) == ([last, piece] if last else [piece])
         return self.follows[key]
 
     def inside(self, segment: str) -> list[int]:
         """Counts of the prefixes of a segment that has space signs for spaces, from the empty one on."""
         counts, last = [0], [""]
+        pieces, tails, follows = self.pieces, self.tails, self.follows
         for end in range(1, len(segment) + 1):
-            char = segment[end - 1]
-            # A character outside the vocabulary stands for its bytes and joins nothing.
-            best = (counts[end - 1] + (1 if char in self.pieces else len(char.encode())), char if char in self.pieces else "")
-            for size in range(min(end, self.longest), 0, -1):
-                piece, before = segment[end - size : end], last[end - size]
-                if piece not in self.pieces:
+            for size in tails.get(segment[end - _TAIL : end], (2,)) if end >= _TAIL else (2,):
+                if size > end:
                     continue
-                if self._fits(before, piece) if before else self._encoded(piece) == [piece]:
-                    best = (counts[end - size] + 1, piece)
-                    break
-            counts.append(best[0])
-            last.append(best[1])
+                piece, before = segment[end - size : end], last[end - size]
+                if piece in pieces:
+                    fits = follows.get((before, piece))
+                    if fits if fits is not None else self._fits(before, piece):
+                        counts.append(counts[end - size] + 1)
+                        last.append(piece)
+                        break
+            else:
+                char = segment[end - 1]
+                # A character outside the vocabulary stands for its bytes and joins nothing.
+                known = char in pieces
+                counts.append(counts[end - 1] + (1 if known else len(char.encode())))
+                last.append(char if known else "")
         return counts
 
     def prefixes(self, text: str) -> list[int]:
         """counts[i]: tokens of text[:i]."""
         if not text:
             return [0]
-        if not self.separable or SPACE_SIGN in text:
+        if not self.separable:
             return [0, *(len(self.library.encode(text[:i])) for i in range(1, len(text) + 1))]
-        escaped = (" " + text).encode()
+        escaped = (" " + text.replace(SPACE_SIGN, " ")).encode()
         out, total = [], 0
         for segment in _SEGMENT.findall(escaped):
             counts = self.inside(segment.decode().replace(" ", SPACE_SIGN))
@@ -124,7 +132,7 @@ class PrefixCounter(dict):
         found, ends = self.segments(text)
         if not ends or ends[-1] <= limit:
             return len(text.decode("utf-8", "replace"))
-        if len(found) == 1 and (not self.separable or _SIGN_BYTES in text):
+        if not self.separable:
             counts = self.prefixes(text.decode("utf-8", "replace"))
             return max(i for i, c in enumerate(counts) if c <= limit)
         at = bisect_right(ends, limit)  # the first segment that ends beyond the limit
@@ -134,12 +142,23 @@ class PrefixCounter(dict):
         return max(0, len(b"".join(found[:at]).decode("utf-8", "replace")) + inner - 1)
 
 
+_COUNTERS: dict[bytes, PrefixCounter] = {}
+
+
+def _counter(model: bytes) -> PrefixCounter:
+    """The counter of a model; a worker keeps the last one, with what it remembers, for its next tasks."""
+    if model not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[model] = PrefixCounter(model)
+    return _COUNTERS[model]
+
+
 def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit and cut_chars (characters of the longest prefix within the limit)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(shared.value)
+        counter = _counter(shared.value)
         for batch in batches:
             texts = batch.column("_text")
             n_tokens, cuts = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
@@ -162,7 +181,7 @@ def prefix_table(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(shared.value)
+        counter = _counter(shared.value)
         for batch in batches:
             for i in range(batch.num_rows):  # a row at a time: the table of a long text is large
                 counts = counter.prefixes(batch.column("_text")[i].as_py().decode("utf-8", "replace"))

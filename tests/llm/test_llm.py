@@ -183,6 +183,26 @@ def test_tokens(spark, make_docs, odd_rows):
     assert stored["fits"] == max(i for i, c in enumerate(stored["counts"]) if c <= 20) and token_counts.count_tokens(make_docs([]), model).count() == 0
 
 
+def test_tokens_of_long_texts_come_from_prefix_tables():
+    import random
+    import time
+
+    import public_tokenizers
+
+    counter = token_counts.PrefixCounter(token_counts.model_bytes(public_tokenizers.path(queries.TOKENIZER)))
+    library, draw = counter.library, random.Random(5)
+    for _ in range(300):
+        text = "".join(draw.choice("ab the▁▁ \n\té語🙂.ing") for _ in range(draw.randint(0, 40)))
+        want = [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+        assert counter.prefixes(text) == want and counter.count(text.encode()) == want[-1]
+    for text in ("word ▁ block text of some length " * 32_000, "x" * 300_000, "▁" * 300_000):
+        started = time.time()
+        at = counter.cut(text.encode(), 4096)
+        assert time.time() - started < 5  # linear, whatever signs the text holds
+        assert counter.count(text.encode()) == len(library.encode(text))
+        assert len(library.encode(text[:at])) <= 4096 < len(library.encode(text[: at + 1]))
+
+
 def test_seeds_miss_nothing():
     masks = [sum(1 << p for p in m) for m in decontaminate.MASKS]
     for wrong in itertools.combinations(range(decontaminate.WINDOW), 3):
