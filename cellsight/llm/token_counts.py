@@ -4,7 +4,8 @@ No piece of the vocabulary crosses the start of a run of spaces or a line break
 model is loaded), so the count of a prefix is the count at the last such start plus the count of the
 rest.  Inside a segment the table is filled from left to right: the encoding of a prefix ends with the
 one piece that may follow the last piece of a shorter prefix, which a probe of two pieces decides.
-The count of a segment is the last entry of its table; a worker remembers it by the segment.
+A segment is cut again between any two characters that stand side by side in no piece; the count of such a
+stretch is the last entry of its table, and a worker remembers the counts of stretches and of segments.
 The model's own space sign in a text counts like a space, as the library has it.
 
 Null and empty texts have no tokens.  A very long text is handled segment by segment.  Other columns of
@@ -30,6 +31,8 @@ SPACE_SIGN = "▁"
 _SIGN_BYTES = SPACE_SIGN.encode()
 #: Longer pieces are looked up by this many last characters.
 _TAIL = 3
+#: Characters at the start of a stretch whose table is kept for the stretches that begin alike.
+_HEAD = 6
 _SEGMENT = re.compile(rb"\n[^ \n]*| +[^ \n]*|[^ \n]+")
 #: Segments, and pairs of pieces, that a worker remembers before it starts anew; longer segments are counted each time.
 REMEMBERED = 1 << 19
@@ -55,10 +58,30 @@ class PrefixCounter(dict):
             if len(piece) >= _TAIL:
                 tails.setdefault(piece[-_TAIL:], set()).add(len(piece))
         self.tails = {tail: tuple(sorted(sizes | {2}, reverse=True)) for tail, sizes in tails.items()}
+        self.pairs = {pair for piece in self.pieces for pair in zip(piece, piece[1:])}
         self.follows: dict[tuple[str, str], bool] = {}
+        self.stretches: dict[str, int] = {}
+        self.heads: dict[str, tuple[list[int], list[str]]] = {}
+
+    def _stretch(self, text: str) -> int:
+        """The count of a stretch, from its prefix table."""
+        count = self.stretches.get(text)
+        if count is None:
+            count = self.inside(text)[-1]
+            if len(text) <= REMEMBERED_BYTES:
+                if len(self.stretches) > REMEMBERED:
+                    self.stretches.clear()
+                self.stretches[text] = count
+        return count
 
     def __missing__(self, segment: bytes) -> int:
-        count = self.inside(segment.decode("utf-8", "replace").replace(" ", SPACE_SIGN))[-1]
+        text = segment.decode("utf-8", "replace").replace(" ", SPACE_SIGN)
+        pairs, count, start = self.pairs, 0, 0
+        for end, pair in enumerate(zip(text, text[1:]), 1):
+            if pair not in pairs:
+                count += self._stretch(text[start:end])
+                start = end
+        count += self._stretch(text[start:])
         if len(segment) <= REMEMBERED_BYTES:
             if len(self) > REMEMBERED:
                 self.clear()
@@ -92,9 +115,10 @@ class PrefixCounter(dict):
 
     def inside(self, segment: str) -> list[int]:
         """Counts of the prefixes of a segment that has space signs for spaces, from the empty one on."""
-        counts, last = [0], [""]
+        head = self.heads.get(segment[:_HEAD])
+        counts, last = (head[0][:], head[1][:]) if head else ([0], [""])
         pieces, tails, follows = self.pieces, self.tails, self.follows
-        for end in range(1, len(segment) + 1):
+        for end in range(len(counts), len(segment) + 1):
             for size in tails.get(segment[end - _TAIL : end], (2,)) if end >= _TAIL else (2,):
                 if size > end:
                     continue
@@ -111,6 +135,10 @@ class PrefixCounter(dict):
                 known = char in pieces
                 counts.append(counts[end - 1] + (1 if known else len(char.encode())))
                 last.append(char if known else "")
+        if not head and len(segment) >= _HEAD:
+            if len(self.heads) > REMEMBERED:
+                self.heads.clear()
+            self.heads[segment[:_HEAD]] = counts[: _HEAD + 1], last[: _HEAD + 1]
         return counts
 
     def prefixes(self, text: str) -> list[int]:
