@@ -325,6 +325,14 @@ _FIXED = "CAST(-110 AS DOUBLE) AS weak_rsrp, CAST(-15 AS DOUBLE) AS poor_rsrq, C
 _LIMIT_COLUMNS = ", ".join(f"{r(s)} AS {n}" for n, s in LIMIT_NAMES.items()) + ", " + _FIXED
 _SLICELESS = "CASE WHEN sla_compliant IS NULL THEN NULL ELSE slice_type END"
 
+_CELLS = " UNION ALL ".join(
+    f"SELECT row, l_orderkey, l_linenumber, l_returnflag, '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM lines"
+    for c in ("l_partkey", "l_suppkey", "l_linestatus")
+)
+SPARSE = f"""lines AS MATERIALIZED (SELECT row_number() OVER () AS row, * FROM lineitem), cells AS ({_CELLS}),
+codes AS (SELECT feature, value, row_number() OVER (ORDER BY feature, value) - 1 AS position
+ FROM (SELECT DISTINCT feature, value FROM cells WHERE l_returnflag <> 'R' AND value IS NOT NULL))"""
+
 ORACLE = {
     "scan_kpi_csv": query(f"SELECT * REPLACE ({TIME} AS timestamp) FROM kpi"),
     "scan_dataset_glob": query(
@@ -376,6 +384,11 @@ ORACLE = {
     "one_hot_dynamic": "SELECT event_id, " + ", ".join(
         f"CAST(event_type = '{t}' AS INT) AS event_type_{t}" for t in ("click", "purchase", "signup", "view")
     ) + " FROM events",
+    "one_hot_sparse": f"WITH {SPARSE} SELECT l_orderkey, l_linenumber, coalesce(string_agg(CAST(position AS VARCHAR), ',' ORDER BY position), '') AS positions "
+    "FROM cells LEFT JOIN codes USING (feature, value) GROUP BY row, l_orderkey, l_linenumber",
+    "one_hot_shares": f"WITH {SPARSE}, sizes AS (SELECT l_returnflag, count(*) AS size FROM lineitem GROUP BY l_returnflag) "
+    "SELECT l_returnflag, feature, value, count(*) AS ones, round(count(*) / any_value(size), 9) AS share "
+    "FROM cells JOIN codes USING (feature, value) JOIN sizes USING (l_returnflag) GROUP BY l_returnflag, feature, value",
     "label_encode": query(
         "SELECT record_id, cell_type, CASE cell_type WHEN 'macro' THEN CAST(3 AS DOUBLE) WHEN 'micro' THEN CAST(8 AS DOUBLE) ELSE "
         "(SELECT median(CASE cell_type WHEN 'macro' THEN CAST(3 AS DOUBLE) ELSE CAST(8 AS DOUBLE) END) FROM kpi WHERE cell_type <> 'pico') END AS cell_type_enc FROM kpi"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cellsight.functions.text import parse_breakdown, split_list
-from cellsight.operators import clean, features as feat, profile, rca, recommend, retrieval, scoring
+from cellsight.operators import clean, encoding, features as feat, profile, rca, recommend, retrieval, scoring
 from cellsight.operators.forest import Forest, fit_forest
 from cellsight.plans.common import Spark, explained, joined, kpi_view, labelled_kpi, rounded, scored_view, table, time_text
 from cellsight.session import scratch_path
@@ -182,6 +182,29 @@ def one_hot_dynamic(spark: Spark, sf_dir: str) -> DataFrame:
     return clean.one_hot(events, known)
 
 
+ENCODED = ["l_partkey", "l_suppkey", "l_linestatus"]
+
+
+def _sparse_lines(spark: Spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines encoded by the stored categories of the lines that were not returned."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *ENCODED)
+    path = scratch_path(spark, "dictionary")
+    encoding.write_dictionary(encoding.fit_dictionary(lines.where("l_returnflag <> 'R'"), ENCODED), path)
+    dictionary = encoding.read_dictionary(spark, path)
+    return encoding.one_hot_sparse(lines, dictionary, ENCODED), dictionary
+
+
+def one_hot_sparse(spark: Spark, sf_dir: str) -> DataFrame:
+    encoded, _ = _sparse_lines(spark, sf_dir)
+    return encoded.selectExpr("l_orderkey", "l_linenumber", "array_join(positions, ',') AS positions")
+
+
+def one_hot_shares(spark: Spark, sf_dir: str) -> DataFrame:
+    """The means of all one-hot columns by return flag."""
+    shares = encoding.column_shares(*_sparse_lines(spark, sf_dir), ["l_returnflag"])
+    return rounded(shares.select("l_returnflag", "feature", "value", "ones", "share"), 9)
+
+
 def _coded_reference(spark: Spark, sf_dir: str) -> DataFrame:
     """Rows of two cell types with a numeric code; the third type is not in the reference."""
     return kpi_view(spark, sf_dir).where("cell_type <> 'pico'").selectExpr(
@@ -450,7 +473,7 @@ QUERIES = {
     for f in (
         scan_kpi_csv, scan_dataset_glob, rate_from_path, scan_json_records, require_fields, read_feature_report, sink_csv,
         json_records, model_table_io, doc_listing, page_metadata, trim_columns, coerce_types, time_features, ratio_features,
-        clean_infinite, one_hot_static, one_hot_dynamic, label_encode, distinct_mapping, minmax_vs_reference, pair_features,
+        clean_infinite, one_hot_static, one_hot_dynamic, one_hot_sparse, one_hot_shares, label_encode, distinct_mapping, minmax_vs_reference, pair_features,
         composite_indices, context_z, reference_stats_join, drop_id_time, split_types, kpi_columns, feature_taxonomy,
         risk_status, risk_level, family_candidate, sla_infer, enrich_defaults, live_incident_id, rca_sla_gate,
         rca_rule_scores, rca_signals, rca_affected_kpis, rca_classify, rca_confidence, rca_severity_actions,
