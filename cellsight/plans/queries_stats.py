@@ -449,6 +449,8 @@ def live_decision(spark: Spark, sf_dir: str) -> DataFrame:
 def production_output(spark: Spark, sf_dir: str) -> DataFrame:
     rows = feat.ratio_features(kpi_view(spark, sf_dir)).join(scored_view(spark, sf_dir).select("record_id", "score", "label"), "record_id")
     rows = feat.clean_infinite(rows, [*KPI_FIELDS, *RATIO_FIELDS]).withColumnsRenamed({"score": "ensemble_score", "label": "is_anomaly"})
+    # Read six times below: joined once, with the columns that are used.
+    rows = materialise(rows.select("record_id", *KPI_FIELDS, *RATIO_FIELDS, "ensemble_score", "is_anomaly"), "scored_rows")
     return scoring.production_output(rows, scoring.fit_deviation(rows), "given")
 
 

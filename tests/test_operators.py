@@ -296,3 +296,19 @@ def test_stress_sets_mix_regimes_and_mark_faults(spark, sf_dir):
             assert found[regime, 0] / total == pytest.approx(share * (1 - rate), abs=0.01)
     swept = perturb.sweep_sets(base, [0.15]).groupBy("anomaly_family").count().collect()
     assert {r.anomaly_family for r in swept} == {"Normal", *perturb.SWEEP_PATTERNS}
+
+
+def test_production_rows_are_joined_once(spark, sf_dir, monkeypatch):
+    """The rows handed to the output are stored, so none of its passes repeats their join."""
+    from cellsight.plans import queries_stats
+
+    plans = []
+    made = scoring.production_output
+
+    def watched(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return made(rows, *rest)
+
+    monkeypatch.setattr(scoring, "production_output", watched)
+    assert queries_stats.production_output(spark, sf_dir).count() > 0
+    assert len(plans) == 1 and "Join" not in plans[0]
