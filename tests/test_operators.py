@@ -312,3 +312,11 @@ def test_production_rows_are_joined_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(scoring, "production_output", watched)
     assert queries_stats.production_output(spark, sf_dir).count() > 0
     assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_wide_projections_stay_compiled(spark, sf_dir):
+    """A session of its own settings gets the limit of generated methods with the first KPI rows."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(name, "65535")
+    kpi_view(spark, sf_dir)
+    assert spark.conf.get(name) == "8000"
