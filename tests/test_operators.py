@@ -314,6 +314,13 @@ def test_production_rows_are_joined_once(spark, sf_dir, monkeypatch):
     assert len(plans) == 1 and "Join" not in plans[0]
 
 
+def test_faults_are_drawn_once_per_choice(spark):
+    """Chance, family, difficulty and quarter: one hash each, not one per name."""
+    marked = perturb.assign_faults(spark.range(100).withColumnRenamed("id", "record_id"), 0.3)
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 4
+    assert marked.where("ground_truth_label = 1 AND (anomaly_family IS NULL OR difficulty IS NULL)").count() == 0
+
+
 def test_wide_projections_stay_compiled(spark, sf_dir):
     """A session of its own settings gets the limit of generated methods with the first KPI rows."""
     name = "spark.sql.codegen.hugeMethodLimit"
