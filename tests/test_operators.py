@@ -327,3 +327,10 @@ def test_wide_projections_stay_compiled(spark, sf_dir):
     spark.conf.set(name, "65535")
     kpi_view(spark, sf_dir)
     assert spark.conf.get(name) == "8000"
+
+
+def test_rows_are_dealt_before_they_are_multiplied(spark, sf_dir):
+    """The sets of a table that one task reads are made by all tasks."""
+    base = features.ratio_features(kpi_view(spark, sf_dir))
+    plan = perturb.stress_sets(base, [0.05, 0.2])._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("RepartitionByExpression [record_id")
