@@ -334,3 +334,19 @@ def test_rows_are_dealt_before_they_are_multiplied(spark, sf_dir):
     base = features.ratio_features(kpi_view(spark, sf_dir))
     plan = perturb.stress_sets(base, [0.05, 0.2])._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("Generate") < plan.index("RepartitionByExpression [record_id")
+
+
+def test_filtered_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("{}",)], "value string").repartition(1)
+    for part in (readers.accepted(readers.parse_records(lines)), readers.quarantine(readers.parse_records(lines))):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1
+
+
+def test_rows_outside_the_condition_stay_unexplained(spark, sf_dir):
+    rows = rca.attach_thresholds(kpi_view(spark, sf_dir), "slice_type").withColumn("asked", F.col("record_id") % 3 == 0)
+    every = rca.explain_rows(rows)
+    some = rca.explain_rows(rows, only="asked")
+    assert some.where("asked").exceptAll(every.where("asked")).isEmpty() and every.where("asked").exceptAll(some.where("asked")).isEmpty()
+    for c in ("root_cause", "severity", "score_breakdown", "explanation", "affected", "actions"):
+        assert some.where(f"NOT asked AND {c} IS NOT NULL").isEmpty(), c
