@@ -70,3 +70,10 @@ def test_moments_of_parts_and_far_from_zero(spark):
             assert math.isclose(found[name][column], value, rel_tol=1e-6, abs_tol=1e-6), (name, column)
         assert found[name]["min"] == x.min() and found[name]["max"] == x.max()
     assert found["none"]["mean"] is None and found["flat"]["std"] == 0 and found["flat"]["skewness"] is None
+
+
+def test_a_single_grouped_column_is_not_snapped_in_python(spark, monkeypatch):
+    rows = spark.range(30_000).selectExpr("id % 3 AS g", "CAST(pmod(hash(id), 10007) AS DOUBLE) AS v")
+    expected = quantiles.exact_quantiles(rows.selectExpr("*", "v AS w"), {"v": [0.25, 0.5, 0.99], "w": [0.5]}, ["g"]).where("feature = 'v'").collect()
+    monkeypatch.setattr(quantiles, "_snap_batches", lambda *_: (_ for _ in ()).throw(AssertionError("sent to Python")))
+    assert sorted(quantiles.exact_quantiles(rows, {"v": [0.25, 0.5, 0.99]}, ["g"]).collect()) == sorted(expected)
