@@ -94,3 +94,14 @@ def test_tail_without_enough_excesses(spark):
     assert found == {k: np.quantile(v, 0.99) for k, v in groups.items()}
     alone = thresholds.evt_likelihood_thresholds(table(spark, {"few": np.arange(100.0)}).select("score"), []).first()
     assert alone["threshold"] == np.quantile(np.arange(100.0), 0.99)
+
+
+def test_offsets_of_several_scores_are_selected_together(spark, monkeypatch):
+    """Before, the sweep read all scores once per number of trees."""
+    from cellsight.operators import scoring
+
+    rows = spark.range(4_000).selectExpr("CAST(pmod(hash(id), 997) AS DOUBLE) AS `a`", "CAST(id * id % 1013 AS DOUBLE) AS b")
+    expected = {c: scoring.fit_offsets(rows, [0.05, 0.1], c) for c in "ab"}
+    passes, original = [], scoring.quantile_values
+    monkeypatch.setattr(scoring, "quantile_values", lambda *a: passes.append(1) or original(*a))
+    assert scoring.fit_offsets_of(rows, ["a", "b"], [0.05, 0.1]) == expected and len(passes) == 1
